@@ -34,6 +34,8 @@ LEAF, FAN = 16, 8
 SAMPLE, COMMON = 4000, 1 << 17
 #: Members of a group that one task takes; larger groups are parted.
 BLOCK = 20_000
+#: Keys of two numbers that may be broadcast.
+BROADCAST_ROWS = 500_000
 
 
 def shingle_set(text: bytes, k: int) -> np.ndarray:
@@ -47,11 +49,25 @@ def fingerprint(own: np.ndarray) -> int:
     return int(np.uint64(xxhash.xxh3_64_intdigest(own.tobytes())).astype(np.int64))
 
 
-def bitmap(own: np.ndarray) -> np.ndarray:
-    out = np.zeros(WORDS, np.uint64)
-    h = mix64(own)
-    np.bitwise_or.at(out, (h >> np.uint64(6) & np.uint64(WORDS - 1)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-    return out
+def bitmap(own: np.ndarray, bits: int) -> np.ndarray:
+    """A bit for each shingle by its hash; bits: a power of two, 64 at least."""
+    out = np.zeros(bits, bool)
+    out[(mix64(own) & np.uint64(bits - 1)).astype(np.int64)] = True
+    return np.packbits(out, bitorder="little").view(np.uint64)
+
+
+def wide(own: np.ndarray) -> np.ndarray:
+    """A bitmap with two to four bits a shingle."""
+    return bitmap(own, 1 << max(6, (2 * len(own) - 1).bit_length()))
+
+
+def most_shared(n: int, bits: np.ndarray, m: int, other: np.ndarray) -> int:
+    """The most shingles that two sets of n and m can share by their wide bitmaps, the larger one folded."""
+    while len(bits) > len(other):
+        bits = bits[: len(bits) // 2] | bits[len(bits) // 2 :]
+    while len(other) > len(bits):
+        other = other[: len(other) // 2] | other[len(other) // 2 :]
+    return min(n - int(np.bitwise_count(bits & ~other).sum()), m - int(np.bitwise_count(other & ~bits).sum()))
 
 
 class Common:
@@ -108,7 +124,7 @@ def nodes_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 own = shingle_set(text, k)
                 n.append(len(own))
                 node.append(fingerprint(own) if len(own) else None)
-                bits.append(bitmap(own).tobytes() if len(own) else None)
+                bits.append(bitmap(own, 64 * WORDS).tobytes() if len(own) else None)
                 pre.append(prefix(own, sent.value, num, den).view(np.int64) if len(own) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(pre, pa.list_(pa.int64()))], ["doc_id", "h", "n", "node", "bits", "prefix"])
 
@@ -146,8 +162,29 @@ class Tree:
         overlap = min(shared, int(x["most"][i]), int(x["most"][j]))
         return overlap * (num + den) >= num * int(x["least"][i] + x["least"][j])
 
+    def partnered(self, num: int, den: int) -> np.ndarray:
+        """Which members may be similar to another one."""
+        self.labels = -1 - np.arange(len(self.n))  # 0, alike for all, once a partner is found
+        for a, b, ok, _ in self._leaves(num, den):
+            p, q = np.nonzero(ok)
+            self.labels[a[p]] = self.labels[b[q]] = 0
+        return self.labels == 0
+
     def pairs(self, num: int, den: int, every: bool) -> Iterator[tuple[int, int]]:
         """Pairs of members of different components that may be similar: all, or such as join what isn't joined yet."""
+        for a, b, ok, share in self._leaves(num, den):
+            p, q = np.nonzero(ok)
+            if every:
+                yield from zip(a[p].tolist(), b[q].tolist(), strict=True)
+                continue
+            for at in np.argsort(-share[p, q], kind="stable").tolist():
+                u, v = int(a[p[at]]), int(b[q[at]])
+                if self.labels[u] != self.labels[v]:
+                    yield u, v
+                    self.labels[self.labels == self.labels[v]] = self.labels[u]
+
+    def _leaves(self, num: int, den: int) -> Iterator[tuple[np.ndarray, ...]]:
+        """The dual traversal: members of two leaves, which pairs may be similar, and the most that they can share."""
         todo = [(len(self.levels) - 1, 0, 0)]
         while todo:
             k, i, j = todo.pop()
@@ -166,20 +203,12 @@ class Tree:
             ok = (over * (num + den) >= num * (na + nb)) & (self.labels[a][:, None] != self.labels[b][None])
             if i == j:
                 ok &= a[:, None] < b[None]
-            p, q = np.nonzero(ok)
-            if every:
-                yield from zip(a[p].tolist(), b[q].tolist(), strict=True)
-                continue
-            share = over[p, q] / (na + nb)[p, q]
-            for at in np.argsort(-share, kind="stable").tolist():
-                u, v = int(a[p[at]]), int(b[q[at]])
-                if self.labels[u] != self.labels[v]:
-                    yield u, v
-                    self.labels[self.labels == self.labels[v]] = self.labels[u]
+            if ok.any():
+                yield a, b, ok, over / (na + nb)
 
 
-def candidates(members: DataFrame, num: int, den: int, every: bool) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes. members: key, node, n, bits, comp; the rows of a key stand for a group's block, or
+def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
+    """Pairs (a, b), a < b, of nodes; in mode "screen", (node, node) of each that has a partner. members: key, node, n, bits, comp; the rows of a key stand for a group's block, or
     for two blocks of it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -191,8 +220,11 @@ def candidates(members: DataFrame, num: int, den: int, every: bool) -> DataFrame
             node, n, comp = (np.array(held[c], np.int64)[order] for c in ("node", "n", "comp"))
             bits = np.frombuffer(b"".join(held["bits"]), np.uint64).reshape(-1, WORDS)[order]
             tree = Tree(n, bits, np.unique(comp, return_inverse=True)[1])
-            found = [(min(node[u], node[v]), max(node[u], node[v])) for u, v in tree.pairs(num, den, every)]
-            return [int(a) for a, _ in found], [int(b) for _, b in found]
+            if mode == "screen":
+                found = node[tree.partnered(num, den)].tolist()
+                return found, found
+            found = [(int(min(node[u], node[v])), int(max(node[u], node[v]))) for u, v in tree.pairs(num, den, mode == "every")]
+            return [a for a, _ in found], [b for _, b in found]
 
         for batch in batches:
             left, right = [], []
@@ -215,9 +247,16 @@ def candidates(members: DataFrame, num: int, den: int, every: bool) -> DataFrame
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """The pairs whose sets (node, own) are similar."""
+    """The pairs whose sets are similar. sets: node, n, wide, own. Their wide bitmaps are compared before the sets."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b, n, x, m, y = (batch.column(i).to_pylist() for i in range(6))
+            over = [most_shared(i, np.frombuffer(p, np.uint64), j, np.frombuffer(q, np.uint64)) for i, p, j, q in zip(n, x, m, y, strict=True)]
+            keep = [o * (num + den) >= num * (i + j) for o, i, j in zip(over, n, m, strict=True)]
+            yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+
+    def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -226,9 +265,13 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
                 keep.append(both * den >= num * (len(x) + len(y) - both))
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    left = pairs.join(sets.select(F.col("node").alias("a"), F.col("own").alias("x")), "a")
-    both = left.join(sets.select(F.col("node").alias("b"), F.col("own").alias("y")), "b")
-    return both.select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    def joined(left: DataFrame, columns: list[str]) -> DataFrame:
+        for side in ("a", "b"):
+            left = left.join(sets.select(F.col("node").alias(side), *(F.col(c).alias(c + side) for c in columns)), side)
+        return left.select("a", "b", *(c + side for side in ("a", "b") for c in columns))
+
+    some = staged(joined(pairs, ["n", "wide"]).mapInArrow(bounded, "a long, b long"), "bounded")
+    return joined(some, ["own"]).mapInArrow(exact, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -258,17 +301,12 @@ def classes(docs: DataFrame, k: int, num: int, den: int, block: int = BLOCK) ->
     every = staged(nodes_of(rows, k, num, den), "sets")
     some = every.where("node is not null")
     # one row for each distinct set, then for each shingle of its prefix, then for each group with several members
-    one = some.groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("prefix").alias("prefix"), F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("d"), "h")).alias("rep"))
-    one = staged(one, "nodes")
     w = Window.partitionBy("s")
-    own = one.select(F.explode("prefix").alias("s"), "node")
+    own = some.groupBy("node").agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("s"), "node")
     own = own.withColumn("size", F.count("*").over(w)).where("size > 1")
     own = own.withColumn("key", F.xxhash64("size", F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).over(w), F.min("node").over(w), F.max("node").over(w)))
     groups = staged(own.select("key", "node", "size").distinct(), "groups")
-    if groups.isEmpty():
-        labels = None
-    else:
-        labels = _links(groups, one.select("node", "n", "bits", "rep"), rows, k, num, den, block)
+    labels = None if groups.isEmpty() else _links(groups, some, rows, k, num, den, block)
     out = every.select("doc_id", "h", "n", "node")
     out = out.withColumn("comp", F.col("node")) if labels is None else out.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     # an empty set is its own component, whose key must not be shared
@@ -277,18 +315,36 @@ def classes(docs: DataFrame, k: int, num: int, den: int, block: int = BLOCK) ->
     return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
 
 
-def _links(groups: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame | None:
+def parted(members: DataFrame, block: int, mode: str) -> DataFrame:
+    """Large groups in blocks: each block alone, or (screen, every) every two blocks of a group together, once."""
+    parts = F.ceil(F.col("size") / block).cast("int")
+    part = F.pmod(F.xxhash64("node", F.lit(mode)), parts).cast("int")
+    if mode == "span":
+        return members.withColumn("key", F.xxhash64("key", part))
+    pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.xxhash64("key", F.least(p, F.col("part")), F.greatest(p, F.col("part"))))
+    return members.withColumn("part", part).withColumn("key", F.explode(pair))
+
+
+def _links(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame | None:
     """node, comp of the nodes that are linked with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             own = [shingle_set(t, k) for t in binary_rows(batch, "body")]
-            yield pa.RecordBatch.from_arrays([pa.array([fingerprint(x) for x in own], pa.int64()), pa.array([x.tobytes() for x in own], pa.binary())], ["node", "own"])
-
-    grouped = staged(groups.join(nodes.select("node", "n", "bits"), "node"), "members")
-    wanted = groups.select("node").distinct().join(nodes, "node").select(F.col("rep.d").alias("d"), F.col("rep.h").alias("h"))
+            columns = [[fingerprint(x) for x in own], [len(x) for x in own], [wide(x).tobytes() for x in own], [x.tobytes() for x in own]]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "wide", "own"])
+
+    nodes = every.join(groups.select("node").distinct(), "node", "left_semi").groupBy("node")
+    nodes = nodes.agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.min(F.struct(F.coalesce("doc_id", F.lit(-1)).alias("d"), "h")).alias("rep"))
+    members = groups.join(nodes, "node").withColumn("comp", F.col("node"))
+    members = staged(members.select("key", "node", "size", "n", "bits", "comp", "rep"), "members")
+    alive = staged(candidates(parted(members, block, "screen"), num, den, "screen").select(F.col("a").alias("node")), "partnered")
+    grouped = staged(members.join(alive, "node", "left_semi").drop("comp"), "partnered-members")
+    wanted = staged(grouped.select(F.col("rep.d").alias("d"), F.col("rep.h").alias("h")).distinct(), "wanted")
+    wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = rows.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["d", "h"], "left_semi")
-    sets = staged(texts.select("body").mapInArrow(run, "node long, own binary").dropDuplicates(["node"]), "verify-sets")
+    sets = staged(texts.select("body").mapInArrow(run, "node long, n long, wide binary, own binary"), "verify-sets")
+    grouped = grouped.drop("rep")
     links, labels = None, None
     for turn in ("span", "span", "every"):
         now = grouped.withColumn("comp", F.col("node")) if labels is None else grouped.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -297,14 +353,7 @@ def _links(groups: DataFrame, nodes: DataFrame, rows: DataFrame, k: int, num: in
             now = now.withColumn("open", F.min("comp").over(w) < F.max("comp").over(w)).where("open")
             if turn == "span":  # one member of a component stands for it, of which other rounds see all
                 now = now.groupBy("key", "comp").agg(F.min(F.struct("node", "n", "bits", "size")).alias("m")).select("key", "comp", "m.*")
-        parts = F.ceil(F.col("size") / block).cast("int")
-        part = F.pmod(F.xxhash64("node", F.lit(turn)), parts).cast("int")
-        if turn == "span":
-            now = now.withColumn("key", F.xxhash64("key", part))
-        else:  # every two blocks of a group meet once
-            pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.xxhash64("key", F.least(p, F.col("part")), F.greatest(p, F.col("part"))))
-            now = now.withColumn("part", part).withColumn("key", F.explode(pair))
-        pairs = staged(candidates(now, num, den, turn == "every"), "pairs")
+        pairs = staged(candidates(parted(now, block, turn), num, den, turn), "pairs")
         if pairs.isEmpty():
             continue
         fresh = staged(verified(pairs, sets, num, den), "links")
