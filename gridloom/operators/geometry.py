@@ -143,7 +143,7 @@ def marching_segments(field: DataFrame, iso: float = 0.0, v: str = "v") -> DataF
     for k, own in joins.items():
         pieces = F.when(F.col("_k") == k, F.array(*(F.struct(side[p].alias("a"), side[q].alias("b")) for p, q in own))).otherwise(pieces)
     f = f.withColumn("_k", case).where("_k between 1 and 14").select("image", F.col("y").alias("cy"), F.col("x").alias("cx"), F.explode(pieces).alias("s"))
-    return f.select("image", "cy", "cx", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by"))
+    return f.select("image", "cy", "cx", F.col("s.a.x").alias("ax"), F.col("s.a.y").alias("ay"), F.col("s.b.x").alias("bx"), F.col("s.b.y").alias("by")).where("ax <> bx or ay <> by")
 
 
 # ---- boxes

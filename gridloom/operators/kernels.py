@@ -107,7 +107,7 @@ def watershed_of_mask(mask: np.ndarray, least: float = 1.5) -> np.ndarray:
     d = np.where(np.isfinite(d), d, max(mask.shape))
     relief = np.where(mask, -d, 1e6)
     peaks = minima(relief)
-    peaks = np.where(mask & (d >= least), peaks, 0)
+    peaks = components(mask & (d >= least) & (peaks > 0))
     if not peaks.any() and mask.any():
         peaks[np.unravel_index(np.argmax(np.where(mask, d, -1)), mask.shape)] = 1
     return watershed(relief, peaks)

@@ -179,7 +179,8 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
 
 
 def tsv_rows(lines: DataFrame) -> DataFrame:
-    f = lines.select(F.split(F.regexp_replace("line", "\r", ""), "\t").alias("fields"), "line").where(F.trim("line") != "")
+    line = F.regexp_replace("line", "\r", "")
+    f = lines.where(F.trim(line) != "").select(F.split(line, "\t").alias("fields"))
     return f.select(F.get("fields", 0).alias("file"), F.get("fields", 1).alias("label"), F.get("fields", 2).alias("extra"), "fields")
 
 
