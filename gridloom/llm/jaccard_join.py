@@ -30,8 +30,9 @@ from gridloom.llm.common import binary_rows, mix64, prepare, shingle_hashes, sta
 
 WORDS = 16  # of 64 bits in a bitmap
 LEAF, FAN = 16, 8
-#: Documents of the sample that finds common shingles, and how many of those are used. Both only change costs.
-SAMPLE, COMMON = 4000, 1 << 17
+#: The sample that finds common shingles: so many documents, or one in so many if that is more; and the most shingles
+#: that count as common. These change the order of shingles, and with it costs, but no result.
+SAMPLE, ONE_IN, COMMON = 4000, 16, 1 << 20
 #: Members of a group that one task takes; larger groups are parted.
 BLOCK = 20_000
 #: Keys of two numbers that may be broadcast.
@@ -95,8 +96,8 @@ def prefix(own: np.ndarray, common: Common, num: int, den: int) -> np.ndarray:
     return np.concatenate([own[~rare][:size], own[rare]])[:size]
 
 
-def common_shingles(docs: DataFrame, k: int, sample: int = SAMPLE, most: int = COMMON) -> np.ndarray:
-    """Shingles of three or more documents of a sample of so many."""
+def common_shingles(docs: DataFrame, k: int, sample: int = SAMPLE, one_in: int = ONE_IN, most: int = COMMON) -> np.ndarray:
+    """Shingles of three or more documents of the sample, the most common ones first."""
     n = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,9 +105,9 @@ def common_shingles(docs: DataFrame, k: int, sample: int = SAMPLE, most: int = C
             own = [shingle_set(t, k) for t in binary_rows(batch, "body")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else [], pa.int64())], ["s"])
 
-    some = docs if n <= sample else docs.where(F.pmod(F.xxhash64("body"), F.lit(1 << 30)) < sample * (1 << 30) // n)
+    some = docs if n <= sample else docs.where(F.pmod(F.xxhash64("body"), F.lit(1 << 30)) < max(sample * (1 << 30) // n, (1 << 30) // one_in))
     got = some.mapInArrow(run, "s long").groupBy("s").count().where("count >= 3").orderBy(F.desc("count"), "s").limit(most)
-    return np.array([r.s for r in got.collect()], np.int64).view(np.uint64)
+    return got.select("s").toArrow()["s"].to_numpy().view(np.uint64)  # eight bytes each, `most` at most
 
 
 SETS = "doc_id long, h long, n long, node long, bits binary, prefix array<long>"
@@ -134,8 +135,11 @@ def nodes_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 class Tree:
     """A signature tree over members in the order of their components and sizes."""
 
-    def __init__(self, n: np.ndarray, bits: np.ndarray, labels: np.ndarray):
+    ANCHORS = 4
+
+    def __init__(self, n: np.ndarray, bits: np.ndarray, labels: np.ndarray, node: np.ndarray):
         self.n, self.bits, self.labels = n, bits, labels
+        self.anchors = np.argsort(node)[: self.ANCHORS].tolist()
         pop = np.bitwise_count(bits).sum(1).astype(np.int64)
         self.slack = n - pop
         first = np.arange(0, len(n), LEAF)
@@ -171,7 +175,21 @@ class Tree:
         return self.labels == 0
 
     def pairs(self, num: int, den: int, every: bool) -> Iterator[tuple[int, int]]:
-        """Pairs of members of different components that may be similar: all, or such as join what isn't joined yet."""
+        """Pairs of members of different components that may be similar: all, or such as join what isn't joined yet.
+
+        In the latter case a few members are tried against all others first. They are the least by their nodes' numbers,
+        so the groups that near copies share give the same pairs.
+        """
+        for u in [] if every else self.anchors:
+            rest = np.flatnonzero(self.labels != self.labels[u])
+            if not len(rest):
+                break
+            mine, other = self.bits[u][None], self.bits[rest]
+            over = np.minimum(self.n[u] - np.bitwise_count(mine & ~other).sum(1).astype(np.int64), self.n[rest] - np.bitwise_count(other & ~mine).sum(1).astype(np.int64))
+            for v in rest[over * (num + den) >= num * (self.n[u] + self.n[rest])].tolist():
+                if self.labels[u] != self.labels[v]:
+                    yield u, v
+                    self.labels[self.labels == self.labels[v]] = self.labels[u]
         for a, b, ok, share in self._leaves(num, den):
             p, q = np.nonzero(ok)
             if every:
@@ -219,7 +237,7 @@ def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
             order = np.lexsort((held["node"], held["n"], held["comp"]))
             node, n, comp = (np.array(held[c], np.int64)[order] for c in ("node", "n", "comp"))
             bits = np.frombuffer(b"".join(held["bits"]), np.uint64).reshape(-1, WORDS)[order]
-            tree = Tree(n, bits, np.unique(comp, return_inverse=True)[1])
+            tree = Tree(n, bits, np.unique(comp, return_inverse=True)[1], node)
             if mode == "screen":
                 found = node[tree.partnered(num, den)].tolist()
                 return found, found
