@@ -29,8 +29,17 @@ LEAST = 0.5
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
 
 
+_SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
 def normal(word: bytes) -> bytes:
-    text = word.decode("utf-8", "replace").lower()
+    """A word in lower case, from its first letter or digit to its last; empty without any."""
+    bare = word.strip(_SIGNS)
+    if bare.isascii():
+        return bare.lower()
+    text = bare.decode("utf-8", "replace").lower()
+    if text[0].isalnum() and text[-1].isalnum():
+        return text.encode()
     keep = [i for i, c in enumerate(text) if c.isalnum()]
     return text[keep[0] : keep[-1] + 1].encode() if keep else b""
 
@@ -38,6 +47,8 @@ def normal(word: bytes) -> bytes:
 class Vocabulary(TwoGenerations):
     """Number of a word among the items' words: 0 for others, -1 for what holds no word."""
 
+    MOST = 1 << 19
+
     def __init__(self, known: dict[bytes, int]):
         super().__init__()
         self.known = known
@@ -74,7 +85,7 @@ class Block:
             raise ValueError("a block's words are too many to number; make blocks smaller")
         self.ids = [i for i, _ in texts]
         self.words = [np.array([self.known[w] for w in ws], np.int64) for _, ws in texts]
-        codes = [self.code(w) for w in self.words]
+        codes = [self.code(w)[1] for w in self.words]
         self.codes = np.unique(np.concatenate(codes)) if codes else np.zeros(0, np.int64)
         owner = np.concatenate([np.full(len(np.unique(c)), k) for k, c in enumerate(codes)]) if codes else np.zeros(0, np.int64)
         at = np.searchsorted(self.codes, np.concatenate([np.unique(c) for c in codes])) if codes else owner
@@ -83,16 +94,20 @@ class Block:
         self.kept = np.ones(len(self.seed_of), bool)
         self.ready()
 
-    def code(self, n: np.ndarray) -> np.ndarray:
-        """Codes of the runs of `seed` words; -1 where a word isn't an item's."""
+    def code(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Places of the runs of `seed` words that are all items' words, and their codes."""
         m = len(n) - self.seed + 1
         if m <= 0:
-            return np.zeros(0, np.int64)
-        out, ok = np.zeros(m, np.int64), np.ones(m, bool)
-        for k in range(self.seed):
-            out = out * self.base + n[k : k + m]
-            ok &= n[k : k + m] > 0
-        return np.where(ok, out, -1)
+            return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        known = n > 0
+        ok = known[:m].copy()
+        for k in range(1, self.seed):
+            ok &= known[k : k + m]
+        place = np.flatnonzero(ok)
+        out = n[place]
+        for k in range(1, self.seed):
+            out = out * self.base + n[place + k]
+        return place, out
 
     def ready(self) -> None:
         self.first = np.searchsorted(self.seed_of[self.kept], np.arange(len(self.codes) + 1))
@@ -115,13 +130,11 @@ class Block:
 
     def seeds(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a document at which seeds stand, and the seeds' numbers."""
-        some = np.flatnonzero(n > 0)
-        if len(some) < self.seed or not len(self.codes):
-            return some[:0], some[:0]
-        code = self.code(n)
-        place = np.flatnonzero(code >= 0)
-        at = np.minimum(np.searchsorted(self.codes, code[place]), len(self.codes) - 1)
-        hit = self.codes[at] == code[place]
+        place, code = self.code(n)
+        if not len(place) or not len(self.codes):
+            return place[:0], place[:0]
+        at = np.minimum(np.searchsorted(self.codes, code), len(self.codes) - 1)
+        hit = self.codes[at] == code
         return place[hit], at[hit]
 
     def matches(self, n: np.ndarray) -> list[tuple[int, float, int, int]]:

@@ -37,10 +37,12 @@ TEMPLATES = (
 LEAST = 0.8
 
 
+_SIGNS = bytes(c for c in range(128) if not chr(c).isalnum())
+
+
 def normal(word: bytes) -> bytes:
     """A word in lower case, without what isn't a letter or digit at its ends (bytes above ASCII stay)."""
-    keep = [i for i, c in enumerate(word) if c > 127 or chr(c).isalnum()]
-    return word[keep[0] : keep[-1] + 1].lower() if keep else b""
+    return word.strip(_SIGNS).lower()
 
 
 def words(text: bytes) -> list[bytes]:
