@@ -26,7 +26,7 @@ from gridloom.llm.common import binary_rows, crc32, prepare, staged, table, text
 
 MAGIC = b"CMR1"
 #: Ids of a segment (a segment ends with the document that reaches it), of a block, and blocks that a segment aims at.
-SEGMENT, BLOCK, LANES = 1 << 22, 4096, 1024
+SEGMENT, BLOCK, LANES = 1 << 22, 2048, 2048
 ORDER2, ORDER1 = 12, 11
 TOTAL, TOP = 24, 16
 _32, _24 = np.uint64(32), np.uint64(TOTAL)
@@ -45,7 +45,7 @@ class Model:
         self.h1 = np.full(lanes << ORDER1, -4, np.int32)
         start2 = np.arange(4, dtype=np.int32)[:, None] * (1 << 21) + (1 << 20) + np.zeros((4, 5), np.int32)
         start1 = np.zeros((4, 5), np.int32) + np.array([1 << 20, 1 << 21, 3 << 21, 1 << 23, 1 << 10], np.int32) // 2
-        self.w2, self.w1 = (np.tile(x.ravel().astype(np.int32), lanes) for x in (start2, start1))
+        self.weights = np.tile(np.stack([start2.ravel(), start1.ravel()], 1).astype(np.int32).ravel().view(np.int64), lanes)
         lane = np.arange(lanes, dtype=np.int32)
         self.base2, self.base1, self.base = lane << ORDER2, lane << ORDER1, lane * 20
         self.a = np.zeros(lanes, np.int32)
@@ -56,27 +56,42 @@ class Model:
         b = self.b
         self.i1 = self.base1 + ((b * np.int32(-1640531527)) >> 8 & ((1 << ORDER1) - 1))
         self.i2 = self.base2 + ((b * np.int32(-2048144789) + self.a * np.int32(-1028477379)) >> 9 & ((1 << ORDER2) - 1))
-        e2, e1 = self.h2[self.i2], self.h1[self.i1]
+        e2, e1 = self.h2.take(self.i2), self.h1.take(self.i1)
         self.e2, self.e1 = e2, e1
         c2, c1 = e2 >> 2, e1 >> 2
         k1 = e1 & 3
         k1[c1 == c2] = 4
         self.iw = self.base + (e2 & 3) * 5 + k1
-        self.w = w2, w1 = self.w2[self.iw], self.w1[self.iw]
+        self.w = self.weights.take(self.iw)
+        w2, w1 = self.w.view(np.int32).reshape(-1, 2).T
         return c2, c1, w2 - (w2 >> 4) + 1, w1 - (w1 >> 4) + 1
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, c1: np.ndarray) -> None:
-        w2, w1 = self.w
-        self.w2[self.iw] = w2 + (((hit2.astype(np.int32) << TOTAL) - w2) >> 5)
-        self.w1[self.iw] = w1 + (((hit1.astype(np.int32) << TOTAL) - w1) >> 5)
+        w = self.w.view(np.int32).reshape(-1, 2)
+        target = np.empty_like(w)
+        target[:, 0], target[:, 1] = hit2, hit1
+        self.weights[self.iw] = (w + (((target << TOTAL) - w) >> 5)).view(np.int64).ravel()
         fresh = ids << 2
         for h, i, e, hit in ((self.h2, self.i2, self.e2, hit2), (self.h1, self.i1, self.e1, c1 == ids)):
             sure = e & 3
-            lost = np.where(sure > 0, e - 1, fresh)
-            h[i] = np.where(hit, e + (sure < 3), lost)
+            new = np.where(sure > 0, e - 1, fresh)
+            np.copyto(new, e + (sure < 3), where=hit)
+            h[i] = new
         self.a, self.b = self.b, ids
 
 
+def interval(part: np.ndarray, unit: np.ndarray, rest: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, f2: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and width of what is coded, out of 2**24: a candidate's share, or order 0's part of the rest."""
+    start = (part >> 32) * unit
+    start += rest
+    width = (part & 0xFFFFFFFF) * unit
+    np.copyto(start, f2, where=hit1)
+    np.copyto(width, f1, where=hit1)
+    np.copyto(start, 0, where=hit2)
+    np.copyto(width, f2, where=hit2)
+    return start, width
+
+
 def scaled(counts: np.ndarray) -> np.ndarray:
     """Counts (each 1 at least) scaled to sum 2**16, each 1 at least."""
     total, n = 1 << TOP, len(counts)
@@ -104,6 +119,7 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
     k = -(-n // size)
     freq = scaled(counts)
     cum = np.concatenate([[0], np.cumsum(freq)])[:-1]
+    parts = cum << 32 | freq
     grid = np.zeros(k * size, np.int32)
     grid[:n] = at
     grid = np.ascontiguousarray(grid.reshape(k, size).T)
@@ -116,12 +132,11 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
         hit1 = (c1 == x) & ~hit2
         rest = f2 + f1
         unit = ((1 << TOTAL) - rest) >> TOP
-        start = np.where(hit2, 0, np.where(hit1, f2, rest + cum[x] * unit))
-        width = np.where(hit2, f2, np.where(hit1, f1, freq[x] * unit))
+        start, width = interval(parts.take(x), unit, rest, hit2, hit1, f2, f1)
         model.update(x, hit2, hit1, c1)
         r = rng >> _24
-        low = low + start.astype(np.uint64) * r
-        rng = width.astype(np.uint64) * r
+        low += start.view(np.uint64) * r
+        rng = width.view(np.uint64) * r
         if len(out := np.flatnonzero(rng <= _LOW32)):
             lo, ra = low[out], rng[out]
             cross = ((lo ^ (lo + ra - np.uint64(1))) >> _32) != 0
@@ -172,6 +187,7 @@ def decode(data: bytes, only: int | None = None) -> np.ndarray:
 
 def _decode_blocks(payload: np.ndarray, place: np.ndarray, freq: np.ndarray, size: int, k: int) -> np.ndarray:
     cum = np.concatenate([[0], np.cumsum(freq)])[:-1]
+    parts = cum << 32 | freq
     owner = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
     end = len(payload) - 1
     word = payload.astype(np.uint64)
@@ -189,13 +205,14 @@ def _decode_blocks(payload: np.ndarray, place: np.ndarray, freq: np.ndarray, siz
         hit2 = v < f2
         hit1 = (v < rest) & ~hit2
         slot = np.clip((v - rest) / unit, 0, (1 << TOP) - 1).astype(np.int32)
-        x = np.where(hit2, c2, np.where(hit1, c1, owner[slot]))
-        start = np.where(hit2, 0, np.where(hit1, f2, rest + cum[x] * unit))
-        width = np.where(hit2, f2, np.where(hit1, f1, freq[x] * unit))
+        x = owner.take(slot)
+        np.copyto(x, c1, where=hit1)
+        np.copyto(x, c2, where=hit2)
+        start, width = interval(parts.take(x), unit, rest, hit2, hit1, f2, f1)
         model.update(x, hit2, hit1, c1)
         grid[step] = x
-        low = low + start.astype(np.uint64) * r
-        rng = width.astype(np.uint64) * r
+        low += start.view(np.uint64) * r
+        rng = width.view(np.uint64) * r
         if len(out := np.flatnonzero(rng <= _LOW32)):
             lo, ra = low[out], rng[out]
             cross = ((lo ^ (lo + ra - np.uint64(1))) >> _32) != 0
