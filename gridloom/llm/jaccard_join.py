@@ -35,6 +35,8 @@ LEAF, FAN = 16, 8
 SAMPLE, ONE_IN, COMMON = 4000, 16, 1 << 20
 #: Members of a group that one task takes; larger groups are parted.
 BLOCK = 20_000
+#: A node with more groups than this doesn't carry their list, so its pairs may be given by several groups.
+KEYS = 64
 #: Keys of two numbers that may be broadcast.
 BROADCAST_ROWS = 500_000
 
@@ -226,8 +228,13 @@ class Tree:
 
 
 def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
-    """Pairs (a, b), a < b, of nodes; in mode "screen", (node, node) of each that has a partner. members: key, node, n, bits, comp; the rows of a key stand for a group's block, or
-    for two blocks of it."""
+    """Pairs (a, b), a < b, of nodes; in mode "screen", (node, node) of each that has a partner.
+
+    members: key, node, n, bits, comp; the rows of a key stand for a group's block, or for two blocks of it. In mode
+    "every" also grp, the group, and keys, a node's groups in order (null if they are many): a pair of nodes with keys is
+    given by the first group that both are in, and by no other.
+    """
+    columns = ["key", "node", "n", "bits", "comp", *(["grp", "keys"] if mode == "every" else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, list] = {}
@@ -241,17 +248,22 @@ def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
             if mode == "screen":
                 found = node[tree.partnered(num, den)].tolist()
                 return found, found
-            found = [(int(min(node[u], node[v])), int(max(node[u], node[v]))) for u, v in tree.pairs(num, den, mode == "every")]
+            pairs = tree.pairs(num, den, mode == "every")
+            if mode == "every":
+                grp = held["grp"][0]
+                before = [None if k is None else {x for x in k if x < grp} for k in (held["keys"][i] for i in order.tolist())]
+                pairs = ((u, v) for u, v in pairs if before[u] is None or before[v] is None or before[u].isdisjoint(before[v]))
+            found = [(int(min(node[u], node[v])), int(max(node[u], node[v]))) for u, v in pairs]
             return [a for a, _ in found], [b for _, b in found]
 
         for batch in batches:
             left, right = [], []
-            for key, *row in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
+            for key, *row in zip(*(batch.column(i).to_pylist() for i in range(len(columns))), strict=True):
                 if key != now:
                     if now is not None and len(held["node"]) > 1:
                         a, b = solved()
                         left, right = left + a, right + b
-                    now, held = key, {"node": [], "n": [], "bits": [], "comp": []}
+                    now, held = key, {c: [] for c in columns[1:]}
                 for c, v in zip(held, row, strict=True):
                     held[c].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
@@ -260,7 +272,7 @@ def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = members.select("key", "node", "n", "bits", "comp").repartition(parts, "key").sortWithinPartitions("key")
+    dealt = members.select(*columns).repartition(parts, "key").sortWithinPartitions("key")
     return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
@@ -371,6 +383,9 @@ def _links(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num: in
             now = now.withColumn("open", F.min("comp").over(w) < F.max("comp").over(w)).where("open")
             if turn == "span":  # one member of a component stands for it, of which other rounds see all
                 now = now.groupBy("key", "comp").agg(F.min(F.struct("node", "n", "bits", "size")).alias("m")).select("key", "comp", "m.*")
+        if turn == "every":
+            keys = now.groupBy("node").agg(F.collect_set("key").alias("keys"))
+            now = now.join(keys.select("node", F.when(F.size("keys") <= KEYS, F.col("keys")).alias("keys")), "node").withColumn("grp", F.col("key"))
         pairs = staged(candidates(parted(now, block, turn), num, den, turn), "pairs")
         if pairs.isEmpty():
             continue
