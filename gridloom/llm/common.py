@@ -122,8 +122,25 @@ class WordCache(TwoGenerations):
 _CACHES: dict[str, WordCache] = {}
 
 
+_LAST = ""
+
+
+def begin(kind: str) -> None:
+    """Called by a task before its rows: where the worker's last task was of another kind, the caches of that go."""
+    global _LAST
+    if _LAST != kind:
+        import gc
+
+        _CACHES.clear()
+        for x in (_WORDS, _WORDS.old):
+            x.clear()
+        gc.collect()
+        _LAST = kind
+
+
 def word_cache(path: str) -> WordCache:
     """One cache for each vocabulary and worker process."""
+    begin("tokens")
     if path not in _CACHES:
         _CACHES[path] = WordCache(path)
     return _CACHES[path]

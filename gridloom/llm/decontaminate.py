@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import TwoGenerations, binary_rows, prepare, table, text_bytes
+from gridloom.llm.common import TwoGenerations, begin, binary_rows, prepare, table, text_bytes
 
 SEED = 3
 LEAST = 0.5
@@ -186,6 +186,7 @@ def count_seeds(docs: DataFrame, block: Block) -> np.ndarray:
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("seeds")
         block = sent.value
         vocabulary, total = Vocabulary(block.known), np.zeros(len(block.codes), np.int64)
         for batch in batches:
@@ -216,6 +217,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str], least: floa
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            begin("seeds")
             block = sent.value
             vocabulary = Vocabulary(block.known)
             for batch in batches:

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import binary_rows, mix64, prepare, shingle_hashes, staged, table, text_bytes, word_hashes
+from gridloom.llm.common import begin, binary_rows, mix64, prepare, shingle_hashes, staged, table, text_bytes, word_hashes
 
 WORDS = 16  # of 64 bits in a bitmap
 LEAF, FAN = 16, 8
@@ -103,6 +103,7 @@ def common_shingles(docs: DataFrame, k: int, sample: int = SAMPLE, one_in: int =
     n = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles")
         for batch in batches:
             own = [shingle_set(t, k) for t in binary_rows(batch, "body")]
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else [], pa.int64())], ["s"])
@@ -121,6 +122,7 @@ def nodes_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles")
         for batch in batches:
             n, node, bits, pre = [], [], [], []
             for text in binary_rows(batch, "body"):
@@ -237,6 +239,7 @@ def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
     columns = ["key", "node", "n", "bits", "comp", *(["grp", "keys"] if mode == "every" else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles")
         held: dict[str, list] = {}
         now = None
 
@@ -280,6 +283,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
     """The pairs whose sets are similar. sets: node, n, wide, own. Their wide bitmaps are compared before the sets."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles")
         for batch in batches:
             a, b, n, x, m, y = (batch.column(i).to_pylist() for i in range(6))
             over = [most_shared(i, np.frombuffer(p, np.uint64), j, np.frombuffer(q, np.uint64)) for i, p, j, q in zip(n, x, m, y, strict=True)]
@@ -287,6 +291,7 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -359,6 +364,7 @@ def _links(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num: in
     """node, comp of the nodes that are linked with others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("shingles")
         for batch in batches:
             own = [shingle_set(t, k) for t in binary_rows(batch, "body")]
             columns = [[fingerprint(x) for x in own], [len(x) for x in own], [wide(x).tobytes() for x in own], [x.tobytes() for x in own]]

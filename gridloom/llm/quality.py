@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import TwoGenerations, binary_rows, mix64, prepare, shingle_hashes, table, text_bytes
+from gridloom.llm.common import TwoGenerations, begin, binary_rows, mix64, prepare, shingle_hashes, table, text_bytes
 
 WORDS, SHAPES, DIM, REACH = 1536, 512, 32, 2
 UNITS = WORDS + SHAPES
@@ -80,6 +80,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
     """[unit, dimension] sums of the index vectors of all neighbours in the corpus. docs: a binary column body."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("units")
         from pyspark import TaskContext
 
         units, pairs = Units(), np.zeros(UNITS * UNITS, np.int64)
@@ -107,6 +108,7 @@ def context_sums(docs: DataFrame) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()), pa.array([x.tobytes() for x in parts])], ["chunk", "salt", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("units")
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for r in batch.to_pylist():
@@ -216,6 +218,7 @@ def features(rows: DataFrame, vectors: np.ndarray) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(vectors)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("units")
         units = Units()
         for batch in batches:
             texts = binary_rows(batch, "body")
@@ -243,6 +246,7 @@ def scores(docs: DataFrame, vectors: np.ndarray, net: Network) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((vectors, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin("units")
         units = Units()
         for batch in batches:
             vectors, net = sent.value
