@@ -35,7 +35,7 @@ LEAF, FAN = 16, 8
 SAMPLE, ONE_IN, COMMON = 4000, 16, 1 << 20
 #: Members of a group that one task takes; larger groups are parted.
 BLOCK = 20_000
-#: A node with more groups than this doesn't carry their list, so its pairs may be given by several groups.
+#: The most of its groups, the first ones, that a node lists; see candidates.
 KEYS = 64
 #: Keys of two numbers that may be broadcast.
 BROADCAST_ROWS = 500_000
@@ -233,8 +233,8 @@ def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
     """Pairs (a, b), a < b, of nodes; in mode "screen", (node, node) of each that has a partner.
 
     members: key, node, n, bits, comp; the rows of a key stand for a group's block, or for two blocks of it. In mode
-    "every" also grp, the group, and keys, a node's groups in order (null if they are many): a pair of nodes with keys is
-    given by the first group that both are in, and by no other.
+    "every" also grp, the group, and keys, the first of a node's groups: a group leaves a pair to an earlier group that
+    both list. The first group that both are in has none before it, so it gives the pair, and as a rule no other does.
     """
     columns = ["key", "node", "n", "bits", "comp", *(["grp", "keys"] if mode == "every" else [])]
 
@@ -254,8 +254,8 @@ def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
             pairs = tree.pairs(num, den, mode == "every")
             if mode == "every":
                 grp = held["grp"][0]
-                before = [None if k is None else {x for x in k if x < grp} for k in (held["keys"][i] for i in order.tolist())]
-                pairs = ((u, v) for u, v in pairs if before[u] is None or before[v] is None or before[u].isdisjoint(before[v]))
+                before = [{x for x in held["keys"][i] if x < grp} for i in order.tolist()]
+                pairs = ((u, v) for u, v in pairs if before[u].isdisjoint(before[v]))
             found = [(int(min(node[u], node[v])), int(max(node[u], node[v]))) for u, v in pairs]
             return [a for a, _ in found], [b for _, b in found]
 
@@ -390,8 +390,8 @@ def _links(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num: in
             if turn == "span":  # one member of a component stands for it, of which other rounds see all
                 now = now.groupBy("key", "comp").agg(F.min(F.struct("node", "n", "bits", "size")).alias("m")).select("key", "comp", "m.*")
         if turn == "every":
-            keys = now.groupBy("node").agg(F.collect_set("key").alias("keys"))
-            now = now.join(keys.select("node", F.when(F.size("keys") <= KEYS, F.col("keys")).alias("keys")), "node").withColumn("grp", F.col("key"))
+            keys = now.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, KEYS).alias("keys"))
+            now = now.join(keys, "node").withColumn("grp", F.col("key"))
         pairs = staged(candidates(parted(now, block, turn), num, den, turn), "pairs")
         if pairs.isEmpty():
             continue
