@@ -8,9 +8,9 @@ common last, which changes costs alone. Groups with the same members are one gro
 In a group, members are the leaves of a signature tree whose nodes hold the OR of their bitmaps, the range of their sizes
 and the most shingles that share a bit. Two tree nodes are traversed together and left when the most overlap that their
 bitmaps and sizes allow is too small, or when all their members are joined already. Surviving pairs are verified on the
-sets themselves. The first rounds take only pairs that join different components (a large group of near copies then gives
-as many pairs as members, not their square); the last one takes every surviving pair between different components, so no
-link that matters is lost. Components come from repeated hooking to a neighbour and contraction, in tables.
+sets themselves. The first round takes only pairs that join different components (a large group of near copies then gives
+as many pairs as members, not their square), the second a few surviving pairs of each member, drawn by a hash; the last
+one takes every surviving pair between different components, so no link that matters is lost. Components come from repeated hooking to a neighbour and contraction, in tables.
 
 Rows. Null and empty texts have an empty set, link with nothing and are their own component. Repeated rows and copies are
 kept. A null doc_id takes part; a component's id is its smallest doc_id, null if it has none. An empty table gives no rows;
@@ -139,10 +139,10 @@ def nodes_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
 class Tree:
     """A signature tree over members in the order of their components and sizes."""
 
-    ANCHORS = 4
+    ANCHORS, TRIES = 4, 8
 
     def __init__(self, n: np.ndarray, bits: np.ndarray, labels: np.ndarray, node: np.ndarray):
-        self.n, self.bits, self.labels = n, bits, labels
+        self.n, self.bits, self.labels, self.node = n, bits, labels, node.view(np.uint64)
         self.anchors = np.argsort(node)[: self.ANCHORS].tolist()
         pop = np.bitwise_count(bits).sum(1).astype(np.int64)
         self.slack = n - pop
@@ -178,6 +178,18 @@ class Tree:
             self.labels[a[p]] = self.labels[b[q]] = 0
         return self.labels == 0
 
+    def drawn(self, num: int, den: int) -> Iterator[tuple[int, int]]:
+        """About TRIES of each member's pairs with members of other components that may be similar, drawn by a hash."""
+        degree = np.zeros(len(self.n), np.int64)
+        for a, b, ok, _ in self._leaves(num, den):
+            degree[a] += ok.sum(1)
+            degree[b] += ok.sum(0)
+        for a, b, ok, _ in self._leaves(num, den):
+            p, q = np.nonzero(ok)
+            p, q = a[p], b[q]
+            take = mix64(self.node[p] + self.node[q]) / 2.0**64 * np.minimum(degree[p], degree[q]) < self.TRIES
+            yield from zip(p[take].tolist(), q[take].tolist(), strict=True)
+
     def pairs(self, num: int, den: int, every: bool) -> Iterator[tuple[int, int]]:
         """Pairs of members of different components that may be similar: all, or such as join what isn't joined yet.
 
@@ -232,11 +244,11 @@ class Tree:
 def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
     """Pairs (a, b), a < b, of nodes; in mode "screen", (node, node) of each that has a partner.
 
-    members: key, node, n, bits, comp; the rows of a key stand for a group's block, or for two blocks of it. In mode
-    "every" also grp, the group, and keys, the first of a node's groups: a group leaves a pair to an earlier group that
-    both list. The first group that both are in has none before it, so it gives the pair, and as a rule no other does.
+    members: key, node, n, bits, comp; the rows of a key stand for a group's block, or for two blocks of it. In modes
+    "some" and "every" also grp, the group, and keys, the first of a node's groups: a group leaves a pair to an earlier
+    group that both list. The first group that both are in has none before it, so it gives the pair, and as a rule no other does.
     """
-    columns = ["key", "node", "n", "bits", "comp", *(["grp", "keys"] if mode == "every" else [])]
+    columns = ["key", "node", "n", "bits", "comp", *(["grp", "keys"] if mode in ("some", "every") else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("shingles")
@@ -251,8 +263,8 @@ def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
             if mode == "screen":
                 found = node[tree.partnered(num, den)].tolist()
                 return found, found
-            pairs = tree.pairs(num, den, mode == "every")
-            if mode == "every":
+            pairs = tree.drawn(num, den) if mode == "some" else tree.pairs(num, den, mode == "every")
+            if mode != "span":
                 grp = held["grp"][0]
                 before = [{x for x in held["keys"][i] if x < grp} for i in order.tolist()]
                 pairs = ((u, v) for u, v in pairs if before[u].isdisjoint(before[v]))
@@ -351,10 +363,10 @@ def classes(docs: DataFrame, k: int, num: int, den: int, block: int = BLOCK) ->
 
 
 def parted(members: DataFrame, block: int, mode: str) -> DataFrame:
-    """Large groups in blocks: each block alone, or (screen, every) every two blocks of a group together, once."""
+    """Large groups in blocks: each block alone (span, some), or every two blocks of a group together, once."""
     parts = F.ceil(F.col("size") / block).cast("int")
     part = F.pmod(F.xxhash64("node", F.lit(mode)), parts).cast("int")
-    if mode == "span":
+    if mode in ("span", "some"):
         return members.withColumn("key", F.xxhash64("key", part))
     pair = F.transform(F.sequence(F.lit(0), parts - 1), lambda p: F.xxhash64("key", F.least(p, F.col("part")), F.greatest(p, F.col("part"))))
     return members.withColumn("part", part).withColumn("key", F.explode(pair))
@@ -382,14 +394,12 @@ def _links(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num: in
     sets = staged(texts.select("body").mapInArrow(run, "node long, n long, wide binary, own binary"), "verify-sets")
     grouped = grouped.drop("rep")
     links, labels = None, None
-    for turn in ("span", "span", "every"):
+    for turn in ("span", "some", "every"):
         now = grouped.withColumn("comp", F.col("node")) if labels is None else grouped.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if labels is not None:
             w = Window.partitionBy("key")
             now = now.withColumn("open", F.min("comp").over(w) < F.max("comp").over(w)).where("open")
-            if turn == "span":  # one member of a component stands for it, of which other rounds see all
-                now = now.groupBy("key", "comp").agg(F.min(F.struct("node", "n", "bits", "size")).alias("m")).select("key", "comp", "m.*")
-        if turn == "every":
+        if turn != "span":
             keys = now.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, KEYS).alias("keys"))
             now = now.join(keys, "node").withColumn("grp", F.col("key"))
         pairs = staged(candidates(parted(now, block, turn), num, den, turn), "pairs")
