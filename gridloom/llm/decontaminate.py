@@ -1,11 +1,12 @@
 """Operator 10, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Runs of three words of the test items are the seeds. How many documents hold each seed is counted over the whole corpus;
-an item keeps those seeds that are no more common than its median one, so the rare ones lead. Seeds join documents to
-items: where two kept seeds of an item (one, if it has no more) lie near each other, the passage around them is aligned
-with the item word by word (match 2, other word -1, gap -1). A document is reported for an item when the best alignment
-reaches half of the item's own score, so edited and paraphrased copies count too. Items go out in blocks whose size is
-bounded; a larger benchmark makes more passes.
+Runs of two words of the test items are the seeds: a copy with a third of its words changed may hold no longer run. How
+many documents hold each seed is counted over the whole corpus; an item's rare seeds are those no more common than the
+median one of its seeds that occur. No seed is dropped. Seeds join documents to items: where one rare seed of an item or
+any two (one, if it has no more) lie near each other, the passage around them is aligned with the item word by word
+(match 2, other word -1, gap -1), unless its words alone bound the score below the threshold. A document is reported for
+an item when the best alignment reaches half of the item's own score, so edited and paraphrased copies count too. Items
+go out in blocks whose size is bounded; a larger benchmark makes more passes.
 
 Words are lower-cased and stripped of punctuation at their ends. Rows. Items with a null id or fewer than three words
 take no part; null or empty texts match nothing; repeated documents are reported each, equal items each; a null doc_id
@@ -23,7 +24,9 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import TwoGenerations, begin, binary_rows, prepare, table, text_bytes
 
-SEED = 3
+SEED = 2
+#: Words of an item that takes part.
+ITEM_WORDS = 3
 LEAST = 0.5
 #: Items, and bytes of their texts, of a block.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
@@ -72,13 +75,24 @@ def align(item: np.ndarray, passage: np.ndarray) -> tuple[int, int]:
     return best, end
 
 
+def bound(passage: np.ndarray, known: np.ndarray, least: float = 0) -> int:
+    """No alignment scores more: the best run of the passage's words, 2 for a word of the item, -1 for another. Where
+    the passage holds too few of the item's words for `least`, twice their number."""
+    own = known[passage]
+    if (n := 2 * int(np.count_nonzero(own))) < least:
+        return n
+    total = np.zeros(len(passage) + 1, np.int64)
+    np.cumsum(own * 3 - 1, out=total[1:])
+    return int((total - np.minimum.accumulate(total)).max())
+
+
 class Block:
     """Test items, their words by number, and their seeds."""
 
     def __init__(self, items: list[tuple[int, str]], seed: int = SEED, least: float = LEAST):
         self.seed, self.least = seed, least
         texts = [(i, [w for w in map(normal, t.encode("utf-8", "replace").split()) if w]) for i, t in items]
-        texts = sorted((i, ws) for i, ws in texts if len(ws) >= seed)
+        texts = sorted((i, ws) for i, ws in texts if len(ws) >= max(seed, ITEM_WORDS))
         self.known = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
         self.base = len(self.known) + 1
         if self.base >= 1 << 21:
@@ -91,8 +105,10 @@ class Block:
         at = np.searchsorted(self.codes, np.concatenate([np.unique(c) for c in codes])) if codes else owner
         order = np.lexsort((owner, at))
         self.seed_of, self.item_of = at[order], owner[order]
-        self.kept = np.ones(len(self.seed_of), bool)
-        self.ready()
+        self.sizes = np.array([len(w) for w in self.words], np.int64)
+        self.rare = np.ones(len(self.seed_of), bool)
+        self.first = np.searchsorted(self.seed_of, np.arange(len(self.codes) + 1))
+        self.enough = np.minimum(2, np.bincount(self.item_of, minlength=len(self.ids)))
 
     def code(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places of the runs of `seed` words that are all items' words, and their codes."""
@@ -109,19 +125,15 @@ class Block:
             out = out * self.base + n[place + k]
         return place, out
 
-    def ready(self) -> None:
-        self.first = np.searchsorted(self.seed_of[self.kept], np.arange(len(self.codes) + 1))
-        self.items = self.item_of[self.kept]
-        self.enough = np.minimum(2, np.bincount(self.items, minlength=len(self.ids)))
-
-    def keep_rare(self, documents: np.ndarray) -> None:
-        """Of each item, keeps the seeds no more common than its median one. documents: how many hold each seed."""
+    def mark_rare(self, documents: np.ndarray) -> None:
+        """Of each item, marks the seeds no more common than the median one of those that occur. documents: how many hold each seed."""
         common = documents[self.seed_of]
-        order = np.lexsort((common, self.item_of))
-        item, sizes = self.item_of[order], np.bincount(self.item_of, minlength=len(self.ids))
-        median = common[order][np.cumsum(sizes) - sizes + (sizes - 1) // 2] if len(item) else common
-        self.kept = common <= median[self.item_of] if len(item) else self.kept
-        self.ready()
+        occurs = np.flatnonzero(common)
+        order = occurs[np.lexsort((common[occurs], self.item_of[occurs]))]
+        sizes = np.bincount(self.item_of[order], minlength=len(self.ids))
+        median, some = np.zeros(len(self.ids), np.int64), sizes > 0
+        median[some] = common[order][(np.cumsum(sizes) - sizes + (sizes - 1) // 2)[some]]
+        self.rare = common <= median[self.item_of]
 
     def numbers(self, text: bytes, vocabulary: Vocabulary) -> np.ndarray:
         parts = text.split()
@@ -145,30 +157,37 @@ class Block:
             return []
         place = np.repeat(place, times)
         start = np.repeat(self.first[seed] - np.concatenate([[0], np.cumsum(times)[:-1]]), times)
-        item = self.items[start + np.arange(len(place))]
+        pair = start + np.arange(len(place))
+        item, rare = self.item_of[pair], self.rare[pair]
         seed = np.repeat(seed, times)
-        order = np.lexsort((place, item))
-        place, item, seed = place[order], item[order], seed[order]
-        out = []
-        edges = np.flatnonzero(np.diff(item)) + 1
-        for a, b in zip([0, *edges.tolist()], [*edges.tolist(), len(item)], strict=True):
-            k = int(item[a])
-            if b - a < self.enough[k]:
+        order = np.argsort(item, kind="stable")  # places are in order already
+        place, item, seed, rare = place[order], item[order], seed[order], rare[order]
+        # near each other: hits of an item with no more than one and a half of its length between them
+        sizes = self.sizes[item]
+        cut = np.append(True, (item[1:] != item[:-1]) | (np.diff(place) > (sizes + sizes // 2)[1:]))
+        edges = np.flatnonzero(cut)
+        several = np.minimum.reduceat(seed, edges) < np.maximum.reduceat(seed, edges)
+        open_ = np.logical_or.reduceat(rare, edges) | several | (self.enough[item[edges]] == 1)
+        ends = np.append(edges[1:], len(item)) - 1
+        best: dict[int, tuple[float, int, int]] = {}
+        if not open_.any():
+            return []
+        known = np.zeros(self.base, bool)
+        for k, a, b in zip(item[edges[open_]].tolist(), place[edges[open_]].tolist(), place[ends[open_]].tolist(), strict=True):
+            words = self.words[k]
+            reach = len(words)
+            first = max(0, a - reach)
+            passage = n[first : b + self.seed + reach]
+            known[words] = True
+            most = bound(passage, known, self.least * 2 * reach)
+            known[words] = False
+            if most < self.least * 2 * reach:
                 continue
-            words, own = self.words[k], place[a:b]
-            reach, best = len(words), (0.0, 0, 0)
-            cuts = np.flatnonzero(np.diff(own) > reach + reach // 2) + 1
-            for c, d in zip([0, *cuts.tolist()], [*cuts.tolist(), b - a], strict=True):
-                if len(np.unique(seed[a + c : a + d])) < self.enough[k]:
-                    continue
-                first = max(0, int(own[c]) - reach)
-                score, end = align(words, n[first : int(own[d - 1]) + self.seed + reach])
-                share = score / (2 * len(words))
-                if share > best[0]:
-                    best = share, max(0, first + end - reach), first + end
-            if best[0] >= self.least:
-                out.append((self.ids[k], *best))
-        return out
+            score, end = align(words, passage)
+            share = score / (2 * reach)
+            if share >= self.least and share > best.get(k, (0.0,))[0]:
+                best[k] = share, max(0, first + end - reach), first + end
+        return [(self.ids[k], *found) for k, found in best.items()]
 
 
 def blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
@@ -213,7 +232,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str], least: floa
         block = Block(items, least=least)
         if not block.ids:
             continue
-        block.keep_rare(count_seeds(docs.select(text_bytes().alias("body")), block))
+        block.mark_rare(count_seeds(docs.select(text_bytes().alias("body")), block))
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:

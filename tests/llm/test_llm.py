@@ -305,6 +305,25 @@ def test_copies_are_found_and_clean_rows_left(spark, odd):
     assert decontaminate.annotate(odd, bench.where("false"), ["doc_id"]).count() == len(TEXTS) + 1
 
 
+@pytest.mark.parametrize("every", [3, 4, 5])
+def test_edited_copies_that_lack_most_seeds_are_found(spark, every):
+    items = [" ".join(f"b{k}x{v}" for v in range(40)) for k in range(2)]
+    edited = [" ".join(f"z{v}" if v % every == every - 1 else w for v, w in enumerate(b.split())) for b in items]
+    clean = " ".join(f"c{v}" for v in range(300))
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    # item 0 has an edited copy alone; of item 1 a few documents quote the copy's gaps, which makes those seeds the rarer ones
+    texts = [f"{clean} {edited[0]} {clean}", *[f"{clean} {edited[1]} {clean}"] * 9, *(" ".join(items[1].split()[v - 1 : v + 2]) for v in range(every - 1, 39, every))]
+    got = {(r.doc_id, r.item_id) for r in decontaminate.annotate(documents(spark, texts), bench, ["doc_id"]).select("doc_id", F.inline("matches")).collect()}
+    assert got == {(0, 0)} | {(i, 1) for i in range(1, 10)}
+
+
+def test_bound_is_never_below_the_alignment():
+    rng = np.random.default_rng(8)
+    for _ in range(200):
+        a, b = rng.integers(1, 6, rng.integers(3, 9)), rng.integers(0, 9, rng.integers(1, 30))
+        assert decontaminate.bound(b, np.isin(np.arange(10), a)) >= decontaminate.align(a, b)[0]
+
+
 # ---- pipeline
 
 
