@@ -3,8 +3,9 @@
 Two smoothed Markov models of variable order over the bytes of host and path, one of URLs that the rules allow and one of
 those that they block, are counted over all pages. An order's estimate is drawn towards the next lower order's by a fixed
 weight, so unseen contexts fall back. A URL without a rule is judged by the difference of the two log-likelihoods a byte,
-against a threshold set on a held-out fifth of the rule-judged URLs. Counts are kept in tables of fixed size by hash, so
-what is collected is bounded whatever the input.
+against a threshold set on a held-out fifth of the rule-judged URLs. Counts are exact: each context, and each context with
+a byte, is a number of its own and a row of a distributed table that grows with the pages. Chunks of pages ask that table
+for what they hold, each key once, so that a common one doesn't gather in a task; nothing of it goes to the driver.
 
 Rows. A null URL, or one without "://", has an empty host and path and no rule; an empty one scores 0 for the models.
 Without URLs of both kinds to learn from, the method allows. Repeated rows are judged each; a null page_id stays null;
@@ -20,11 +21,13 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import binary_rows, mix64, table
+from gridloom.llm.common import binary_rows, staged, table
 
 #: (rule, verdict), a host and the start of a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
-ORDERS, SLOTS, WEIGHT = 6, 1 << 15, 3.0
+ORDERS, WEIGHT = 6, 3.0
+#: Pages of a chunk, as a power of two, and bytes of URLs that are taken apart at once.
+CHUNK, PIECE = 11, 1 << 18
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -46,59 +49,76 @@ def rule_and_verdict(rules=RULES) -> tuple[Column, Column]:
 
 
 def contexts(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of all bytes of the texts: slots of the context and of context and byte, by order; and the text's number."""
+    """Of all bytes of the texts: keys of the context and of context and byte, by order; and the text's number.
+
+    A key holds the bytes themselves, and above them the order and whether the byte is among them."""
     lengths = np.array([len(t) + 1 for t in texts], np.int64)
     pad = b"\0" * ORDERS
-    data = np.frombuffer(b"".join(pad + t + b"\1" for t in texts), np.uint8).astype(np.uint64)
+    data = np.frombuffer(b"".join(pad + t + b"\1" for t in texts), np.uint8).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), lengths + ORDERS)
     first = np.cumsum(lengths + ORDERS) - (lengths + ORDERS)
     place = np.flatnonzero(np.arange(len(data)) - first[owner] >= ORDERS) if len(texts) else np.zeros(0, np.int64)
-    slots = np.uint64(SLOTS - 1)
-    h, before, after = np.zeros(len(place), np.uint64), [], []
+    h, before, after = np.zeros(len(place), np.int64), [], []
     for k in range(ORDERS):
         if k:
-            h = mix64(h * np.uint64(257) + data[place - k] + np.uint64(k))
-        before.append((mix64(h + np.uint64(k)) & slots).astype(np.int64))
-        after.append((mix64(h * np.uint64(263) + data[place] + np.uint64(1000 + k)) & slots).astype(np.int64))
+            h = h | data[place - k] << 8 * (k - 1)
+        before.append(h | 2 * k << 8 * ORDERS)
+        after.append(h << 8 | data[place] | (2 * k + 1) << 8 * ORDERS)
     return np.array(before), np.array(after), owner[place]
 
 
-COUNTS = "cell long, n long"
-_ORDER = np.arange(ORDERS)[:, None] * SLOTS
+def pieces(texts: list[bytes]) -> Iterator[list[bytes]]:
+    """The texts in order, in lists of bounded size."""
+    own, size = [], 0
+    for t in texts:
+        if own and size + len(t) > PIECE:
+            yield own
+            own, size = [], 0
+        own.append(t)
+        size += len(t) + ORDERS + 1
+    if own:
+        yield own
+
+
+def distinct(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The keys that the texts hold, in order, and how often."""
+    found = [np.unique(np.concatenate([x.ravel() for x in contexts(own)[:2]]), return_counts=True) for own in pieces(texts)]
+    if not found:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    keys, at = np.unique(np.concatenate([k for k, _ in found]), return_inverse=True)
+    return keys, np.bincount(at, np.concatenate([n for _, n in found])).astype(np.int64)
 
 
-def count_contexts(judged: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Counts [kind, order, slot] of contexts, and of contexts with a byte; kind 0 blocked, 1 allowed. judged: url, kind."""
-    cells = 2 * ORDERS * SLOTS
+def count_contexts(judged: DataFrame) -> DataFrame:
+    """key, blocked, allowed: how often each context, and context with a byte, stands in URLs of either kind. judged: url, kind."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(2 * cells, np.int64)
         for batch in batches:
-            kind = np.array(batch.column(1).to_pylist(), np.int64)
-            before, after, owner = contexts(binary_rows(batch, "url"))
-            base = kind[owner] * (ORDERS * SLOTS) + _ORDER if len(owner) else np.zeros((ORDERS, 0), np.int64)
-            total += np.bincount((base + before).ravel(), minlength=2 * cells)
-            total += np.bincount((base + after).ravel() + cells, minlength=2 * cells)
-        some = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["cell", "n"])
-
-    out = np.zeros(2 * cells, np.int64)
-    got = judged.mapInArrow(run, COUNTS).groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # as many rows as cells, at most
-    out[got.cell.to_numpy(np.int64)] = got.n.to_numpy(np.int64)
-    return out[:cells].reshape(2, ORDERS, SLOTS), out[cells:].reshape(2, ORDERS, SLOTS)
-
-
-def log_ratio(texts: list[bytes], before_counts: np.ndarray, after_counts: np.ndarray) -> np.ndarray:
-    """Log-likelihood as allowed less as blocked, a byte, of each text."""
-    before, after, owner = contexts(texts)
-    total = np.zeros((2, len(owner)))
-    for kind in range(2):
-        p = np.full(len(owner), 1 / 256)
+            kinds, urls = batch.column(1).to_pylist(), binary_rows(batch, "url")
+            for kind in range(2):
+                keys, n = distinct([u for u, k in zip(urls, kinds, strict=True) if k == kind])
+                counts = [n, np.zeros_like(n)] if kind == 0 else [np.zeros_like(n), n]
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (keys, *counts)], ["key", "blocked", "allowed"])
+
+    return judged.mapInArrow(run, "key long, blocked long, allowed long").groupBy("key").agg(F.sum("blocked").alias("blocked"), F.sum("allowed").alias("allowed"))
+
+
+def log_ratio(texts: list[bytes], keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Log-likelihood as allowed less as blocked, a byte, of each text. keys in order; counts [kind, key]."""
+    keys, counts = np.append(keys, np.int64(1) << 62), np.pad(counts, ((0, 0), (0, 1)))
+
+    def count(asked: np.ndarray) -> np.ndarray:
+        at = np.searchsorted(keys, asked)
+        return np.where(keys[at] == asked, counts[:, at], 0)
+
+    out = [np.zeros(0)]
+    for own in pieces(texts):
+        before, after, owner = contexts(own)
+        p = np.full((2, len(owner)), 1 / 256)
         for k in range(ORDERS):
-            p = (after_counts[kind, k][after[k]] + WEIGHT * p) / (before_counts[kind, k][before[k]] + WEIGHT)
-        total[kind] = np.log(p)
-    sums = np.bincount(owner, total[1] - total[0], minlength=len(texts)) if len(texts) else np.zeros(0)
-    return sums / np.array([len(t) + 1 for t in texts])
+            p = (count(after[k]) + WEIGHT * p) / (count(before[k]) + WEIGHT)
+        out.append(np.bincount(owner, np.log(p[1]) - np.log(p[0]), minlength=len(own)) / np.array([len(t) + 1 for t in own]))
+    return np.concatenate(out)
 
 
 def calibrated(scored: DataFrame, bins: int = 4096, reach: float = 8.0) -> float:
@@ -118,15 +138,24 @@ def calibrated(scored: DataFrame, bins: int = 4096, reach: float = 8.0) -> float
     return float(s[int(right.argmax())] + 2 * reach / bins)
 
 
-def scored(rows: DataFrame, before: np.ndarray, after: np.ndarray) -> DataFrame:
-    """Adds llr, the ratio for the binary column url."""
-    sent = rows.sparkSession.sparkContext.broadcast((before, after))
+def scored(rows: DataFrame, counts: DataFrame) -> DataFrame:
+    """Adds llr, the ratio for the binary column url. rows: also chunk, the number of a bounded set of rows."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.append_column("llr", pa.array(log_ratio(binary_rows(batch, "url"), *sent.value), pa.float64()))
+            urls = binary_rows(batch, "url")
+            chunks = np.array(batch.column(0).to_pylist(), np.int64)
+            for chunk in np.unique(chunks).tolist():
+                keys, _ = distinct([urls[i] for i in np.flatnonzero(chunks == chunk)])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(keys), chunk)), pa.array(keys)], ["chunk", "key"])
+
+    def score(rows: pa.Table, found: pa.Table) -> pa.Table:
+        keys, first = np.unique(found.column("key").to_numpy(), return_index=True)
+        counts = np.array([found.column(x).to_numpy()[first] for x in ("blocked", "allowed")], np.int64).reshape(2, -1)
+        return rows.append_column("llr", pa.array(log_ratio(rows.column("url").to_pylist(), keys.astype(np.int64), counts), pa.float64()))
 
-    return rows.mapInArrow(run, rows.select("*", F.lit(0.0).alias("llr")).schema)
+    found = rows.select("chunk", "url").mapInArrow(ask, "chunk long, key long").join(counts, "key")
+    return rows.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(score, rows.select("*", F.lit(0.0).alias("llr")).schema)
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
@@ -135,12 +164,13 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_and_verdict(rules)
     rows = rows.select("*", rule.alias("rule"), verdict.alias("by_rule"), F.concat("host", "path").cast("binary").alias("url"))
-    held = F.pmod(F.crc32("url"), F.lit(5)) == 0
-    known = rows.where(F.col("by_rule").isNotNull()).select("url", (F.col("by_rule") == "allow").cast("int").alias("kind"))
-    before, after = count_contexts(known.where(~held))
-    both = bool(before[0].any() and before[1].any())
-    cut = calibrated(scored(known.where(held), before, after)) if both else 0.0
-    out = scored(rows, before, after)
+    rows = rows.withColumn("kind", (F.col("by_rule") == "allow").cast("int")).withColumn("chunk", F.shiftright(F.monotonically_increasing_id(), CHUNK))
+    rows = staged(rows, "pages")
+    held, known = F.pmod(F.crc32("url"), F.lit(5)) == 0, F.col("kind").isNotNull()
+    learnt = rows.where(known & ~held).select("url", "kind")
+    both = learnt.select("kind").distinct().count() == 2
+    out = staged(scored(rows, count_contexts(learnt)), "scored-pages")
+    cut = calibrated(out.where(known & held).select("kind", "llr")) if both else 0.0
     says = F.when((F.col("llr") >= cut) | F.lit(not both), "allow").otherwise("block")
     return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", says).alias("verdict"), "llr", F.lit(cut).alias("threshold"))
 

@@ -195,6 +195,36 @@ def test_url_rules_and_models(spark):
     assert url_filter.judge(df.where("page_id < 3")).where("verdict = 'allow'").count() == 3
 
 
+def test_url_models_count_every_context_by_itself(spark):
+    rng = np.random.default_rng(9)
+    parts = ["".join(chr(97 + v) for v in rng.integers(0, 26, 30)) for _ in range(1500)]
+    urls = [f"https://{p[:8]}.{('com/en/', 'example.com/en/7', 'org/fr/')[i % 3]}{p[8:]}" for i, p in enumerate(parts)]
+    df = spark.createDataFrame([(i, u) for i, u in enumerate(urls)], "page_id long, url string").repartition(3)
+    got = {r.page_id: r for r in url_filter.judge(df).collect()}
+    counts = [{}, {}]
+    texts = [u.removeprefix("https://").encode() for u in urls]
+
+    def grams(t):
+        padded = bytes(url_filter.ORDERS) + t + b"\1"
+        for i in range(url_filter.ORDERS, len(padded)):
+            yield [(padded[i - k : i], padded[i]) for k in range(url_filter.ORDERS)]
+
+    for i, t in enumerate(texts):
+        if i % 3 < 2 and zlib.crc32(t) % 5:
+            for key in itertools.chain(*grams(t)):
+                for x in (key, key[0]):
+                    counts[i % 3][x] = counts[i % 3].get(x, 0) + 1
+    for i, t in enumerate(texts):
+        llr = 0
+        for own in grams(t):
+            p = [1 / 256, 1 / 256]
+            for key in own:
+                p = [(c.get(key, 0) + url_filter.WEIGHT * q) / (c.get(key[0], 0) + url_filter.WEIGHT) for c, q in zip(counts, p, strict=True)]
+            assert max(p) < 1
+            llr += np.log(p[1] / p[0])
+        assert got[i].llr == pytest.approx(llr / (len(t) + 1), abs=1e-9)
+
+
 # ---- 7
 
 
