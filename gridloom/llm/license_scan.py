@@ -1,9 +1,10 @@
 """Operator 8, licence scans: Dice coefficient over word bigrams against licence templates.
 
-Text and templates are brought to lower-case words without punctuation at their ends. Passages are the windows of a
-document with as many bigrams as the template. A passage's size, and with it the best Dice coefficient it can have, is
-bounded by the run of bigrams known from any template in which it lies: templates that the bound rules out are not
-compared, and windows start only where a known bigram stands. The best window of each template counts.
+Text and templates are brought to lower-case words without punctuation at their ends. Templates are customary grants and
+notices, and whole licence texts (`licenses`). Passages are all windows of a document, of any size. A passage of m bigrams
+shares m at most, so one that reaches the threshold against a template of n has from least * n / (2 - least) to
+n * (2 - least) / least, and shares as many as the former: templates of which a document holds fewer are not compared, and
+windows start and end only at bigrams of the template. The best window of each licence counts.
 
 Rows. A document gives a row for each licence whose best window reaches the threshold, so a null, empty or clean text
 gives none. Among equal windows the first counts. Repeated rows are scanned each; a null doc_id stays null; an empty
@@ -14,6 +15,7 @@ from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
+from importlib import resources
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from gridloom.llm.common import TwoGenerations, binary_rows, prepare, table, text_bytes
 
 #: (licence, a text by which it is granted). The licences' own or customary words.
-TEMPLATES = (
+GRANTS = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
@@ -33,7 +35,20 @@ TEMPLATES = (
     ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
     ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
+    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "This project is licensed under the terms of the MIT License."),
+    ("MIT", "Use of this source code is governed by an MIT-style license that can be found in the LICENSE file."),
+    ("Apache-2.0", "This project is licensed under the Apache License 2.0."),
+    ("Apache-2.0", "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."),
+    ("BSD-3-Clause", "Use of this source code is governed by a BSD-style license that can be found in the LICENSE file."),
+    ("BSD-3-Clause", "Licensed under the BSD 3-Clause License."),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies."),
+    ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: And the licences' whole texts.
+TEMPLATES = GRANTS + tuple((f.name.removesuffix(".txt"), f.read_text("utf-8")) for f in sorted(resources.files("gridloom.llm").joinpath("licenses").iterdir(), key=lambda f: f.name) if f.name.endswith(".txt"))
 LEAST = 0.8
 
 
@@ -72,8 +87,58 @@ class Scanner:
             n = [known[w] for w in ws]
             self.templates.append((name, Counter(a * self.base + b for a, b in zip(n, n[1:], strict=False))))
         self.seen = np.zeros(self.base * self.base, bool)
+        self.bigrams = []
         for _, bigrams in self.templates:
-            self.seen[list(bigrams)] = True
+            codes = np.array(sorted(bigrams), np.int64)
+            self.bigrams.append((codes, np.array([bigrams[c] for c in codes.tolist()], np.int64)))
+            self.seen[codes] = True
+        self.sizes = np.array([sum(t.values()) for _, t in self.templates], np.int64)
+        # what a passage shares at least, and its size at most
+        self.needed = np.ceil(least * self.sizes / (2 - least) - 1e-9).astype(np.int64)
+        self.longest = np.floor(self.sizes * (2 - least) / least + 1e-9).astype(np.int64)
+        # the templates of each bigram, and how often they hold it
+        owner = np.repeat(np.arange(len(self.bigrams)), [len(c) for c, _ in self.bigrams])
+        code = np.concatenate([c for c, _ in self.bigrams])
+        order = np.argsort(code, kind="stable")
+        self.owner, self.times = owner[order], np.concatenate([n for _, n in self.bigrams])[order]
+        self.codes, self.first = np.unique(code[order], return_index=True)
+        self.first = np.append(self.first, len(code))
+
+    def open_templates(self, grams: np.ndarray) -> np.ndarray:
+        """Numbers of the templates of which a document with these known bigrams holds as many as a passage must share."""
+        code, n = np.unique(grams, return_counts=True)
+        at = np.searchsorted(self.codes, code)
+        many = self.first[at + 1] - self.first[at]
+        pair = np.repeat(self.first[at] - np.cumsum(many) + many, many) + np.arange(many.sum())
+        shared = np.bincount(self.owner[pair], np.minimum(self.times[pair], np.repeat(n, many)), minlength=len(self.sizes))
+        return np.flatnonzero((shared >= self.needed) & (self.sizes > 0))
+
+    def best_window(self, k: int, hits: np.ndarray, grams: np.ndarray) -> tuple[float, int, int]:
+        """Dice, first bigram and bigrams of the best of all windows for template k. grams: the bigrams at the places hits."""
+        codes, most = self.bigrams[k]
+        g = np.minimum(np.searchsorted(codes, grams), len(codes) - 1)
+        own = codes[g] == grams
+        at, g = hits[own], g[own]
+        # a bigram counts in a window that starts after the last place from which on there would be more than in the template
+        order = np.argsort(g, kind="stable")
+        sorted_g = g[order]
+        rank = np.arange(len(g)) - np.searchsorted(sorted_g, sorted_g)
+        full = np.flatnonzero(rank >= most[sorted_g])
+        after = np.full(len(g), -1, np.int64)
+        after[order[full]] = at[order[full - most[sorted_g[full]]]]
+        near = np.searchsorted(at, at + self.longest[k]) - np.arange(len(at))
+        best, size = (0.0, 0, 0), int(self.sizes[k])
+        for i in np.flatnonzero(near >= self.needed[k]).tolist():
+            end, first = i + int(near[i]), int(at[i])
+            shared = np.cumsum(after[i:end] < first)
+            if shared[-1] < self.needed[k]:
+                continue
+            m = at[i:end] - (first - 1)
+            dice = 2 * shared / (m + size)
+            j = int(dice.argmax())
+            if dice[j] > best[0]:
+                best = float(dice[j]), first, int(m[j])
+        return best
 
     def scan(self, text: bytes) -> list[tuple[str, float, int, int]]:
         """(licence, Dice, first word, words) of the best window of each licence that reaches the threshold."""
@@ -84,20 +149,11 @@ class Scanner:
         hits = np.flatnonzero(self.seen[grams]) if len(grams) else grams
         best: dict[str, tuple[float, int, int]] = {}
         if len(hits):
-            for name, template in self.templates:
-                size = sum(template.values())
-                own = np.flatnonzero(np.isin(grams[hits], list(template)))
-                # size bound: a window of m bigrams shares m at most, so that 2 * shared / (m + size) >= least needs so many
-                needed = int(np.ceil(self.least * size / (2 - self.least) - 1e-9))
-                at = hits[own]
-                if len(at) < needed:
-                    continue
-                near = np.searchsorted(at, at + size) - np.arange(len(at))
-                for first in at[near >= needed].tolist():
-                    window = Counter(grams[first : first + size].tolist())
-                    dice = 2 * sum((window & template).values()) / (sum(window.values()) + size)
-                    if dice >= self.least and dice > best.get(name, (0.0,))[0]:
-                        best[name] = dice, first, min(size, len(grams) - first) + 1
+            for k in self.open_templates(grams[hits]).tolist():
+                name = self.templates[k][0]
+                dice, first, m = self.best_window(k, hits, grams[hits])
+                if dice >= self.least and dice > best.get(name, (0.0,))[0]:
+                    best[name] = dice, first, m + 1
         return [(name, *best[name]) for name in sorted(best)]
 
 

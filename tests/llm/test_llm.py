@@ -269,6 +269,37 @@ def test_licences_against_all_windows(spark, odd):
     assert license_scan.scan_documents(documents(spark, texts)).count() >= 3
 
 
+def test_licence_passages_of_all_sizes():
+    s = license_scan.Scanner()
+    got = s.scan(b"Licensed under the MIT License, see the file for more. " + b"other words " * 20)
+    assert got[0][:2] == ("MIT", 1.0)
+    short = license_scan.Scanner((("MIT", "Released under the MIT License."), ("rep", "a b a b a c")))
+    assert short.scan(b"Licensed under the MIT License, see the file for more.") == [("MIT", 6 / 7, 1, 4)]
+    rng = np.random.default_rng(10)
+    for _ in range(150):
+        words = [("released", "under", "the", "mit", "license", "x"), ("a", "b", "c", "x")][rng.integers(0, 2)]
+        text = " ".join(rng.choice(words, rng.integers(0, 25)))
+        n = [short.vocabulary[w] for w in text.encode().split()]
+        g, want = [a * short.base + b for a, b in itertools.pairwise(n)], {}
+        for name, template in short.templates:
+            for i, j in itertools.combinations(range(len(g) + 1), 2):
+                d = 2 * sum((license_scan.Counter(g[i:j]) & template).values()) / (j - i + sum(template.values()))
+                if d >= short.least:
+                    want[name] = max(d, want.get(name, 0))
+        assert {name: d for name, d, *_ in short.scan(text.encode())} == want
+
+
+def test_whole_licence_texts_are_found():
+    s = license_scan.Scanner()
+    texts = [(name, t) for name, t in license_scan.TEMPLATES if len(t) > 900]
+    assert {"MIT", "Apache-2.0", "GPL-3.0", "MPL-2.0", "BSD-3-Clause"} <= {name for name, _ in texts}
+    for name, t in texts:
+        w = t.split()
+        del w[:: len(w) // 10]
+        assert name in {x[0] for x in s.scan(("before " * 50 + " ".join(w) + " after" * 50).encode())}
+        assert s.scan(" ".join(w[: len(w) // 2 : 3]).encode()) == []
+
+
 # ---- 9
 
 
