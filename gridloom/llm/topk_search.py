@@ -4,7 +4,8 @@ Each partition of the candidates is a shard with a ball tree of its own. A block
 kth score that is already reached among the block's own vectors (they are candidates too). In a shard, nodes are opened
 in order of their upper bound q.c + |q|r on the inner product; the search of a query ends when the best bound left is
 below its kth score, which the shared one and the shard's finds both raise. Equal vectors are one point of the tree that
-keeps the ids it may need, k + 1 at most, so a common vector doesn't slow the ties down.
+keeps the rows it may need: the first k besides those of any one id, 2 k at most, so a common vector doesn't slow the
+ties down.
 
 Rows. Vectors that are null, or hold nulls or non-finite components, and rows without an id take no part. Components
 that one vector lacks count as 0. Rows that share an id are one query (the smallest vector), and none of them is a
@@ -46,17 +47,32 @@ def matrix(rows: list[list[int]], width: int = 0) -> np.ndarray:
     return out
 
 
+def needed(ids: np.ndarray, k: int) -> list[int]:
+    """Of ids in ascending order, with repeats, the first that hold the first k besides any one id."""
+    if len(ids) <= k:
+        return ids.tolist()
+    out: list[int] = []
+    most = 0
+    for v, n in zip(*(x.tolist() for x in np.unique(ids, return_counts=True)), strict=True):
+        n = min(n, k)
+        out += [v] * n
+        most = max(most, n)
+        if len(out) - most >= k:
+            break
+    return out
+
+
 class BallTree:
-    """Balls around the distinct vectors of a shard; ids of equal vectors in ascending order, `keep` at most."""
+    """Balls around the distinct vectors of a shard; rows of equal vectors by ascending id, those that a search for k needs."""
 
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray, keep: int):
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, k: int):
         order = np.lexsort((ids, *vectors.T[::-1]))
         ids, vectors = ids[order], vectors[order]
         new = np.ones(len(ids), bool)
         new[1:] = (vectors[1:] != vectors[:-1]).any(1)
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(ids))
-        self.ids = [ids[a : min(b, a + keep)].tolist() for a, b in zip(first.tolist(), last.tolist(), strict=True)]
+        self.ids = [needed(ids[a:b], k) for a, b in zip(first.tolist(), last.tolist(), strict=True)]
         self.x = vectors[first]
         self.exact = bool((np.abs(self.x) <= EXACT).all())
         self.order = np.arange(len(first))
@@ -145,7 +161,7 @@ def search_block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: in
             return
         ids, queries, least = sent.value
         width = max(queries.shape[1], *(r.shape[1] for r in rows), 1)
-        tree = BallTree(np.array(names, np.int64), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in rows]), k + 1)
+        tree = BallTree(np.array(names, np.int64), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in rows]), k)
         queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
         out: list[tuple[int, int, int]] = []
         for own, q, bound in zip(ids.tolist(), queries, least, strict=True):

@@ -113,6 +113,17 @@ def test_topk_against_brute_force(spark):
     assert topk_search.top_k(df.where("false"), F.col("vec_id") % 100 == 0).count() == 0
 
 
+def test_topk_keeps_ties_beside_repeated_ids(spark):
+    rows = [(i, [0.5, 1.0]) for i in [100] * 2 + list(range(101, 111)) + [200] * 15 + [300] * 12 + [301, 302] + [99] * 3] + [(i, [0.1, 0.0]) for i in range(20)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1)
+    got = sorted(map(tuple, topk_search.top_k(df, F.col("vec_id").isin(99, 100, 200, 300), 10).collect()))
+    want = []
+    for q in (99, 100, 200, 300):
+        best = sorted((-512 * int(1024 * np.float32(v[0])) - 1024 * int(1024 * np.float32(v[1])), i) for i, v in rows if i != q)[:10]
+        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want)
+
+
 # ---- 4
 
 
