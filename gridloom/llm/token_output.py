@@ -1,7 +1,7 @@
 """Operator 1, token-id output: an adaptive context-mixing range coder over independently reset, checksummed blocks.
 
-A segment is some whole documents' ids in a row. Its header holds the ids' counts in the segment, scaled to 2**16 (the
-order-0 prediction). It is cut into blocks; each block starts from an empty model and an own coder state and carries the
+A segment is some whole documents' ids in a row. Its header holds the ids' counts in the segment, scaled to 2**16 or
+more (the order-0 prediction). It is cut into blocks; each block starts from an empty model and an own coder state and carries the
 crc32 of its ids, so any block can be decoded, and found damaged, alone. Within a block, hashed contexts of one and of
 two ids before predict one id each, with a confidence; for each pair of confidences an adaptive pair of weights mixes
 order 2, order 1 and order 0 into one distribution, which drives a carry-less range coder with 64-bit state and 32-bit
@@ -29,6 +29,7 @@ MAGIC = b"CMR1"
 SEGMENT, BLOCK, LANES = 1 << 22, 2048, 2048
 ORDER2, ORDER1 = 12, 11
 TOTAL, TOP = 24, 16
+MOST_SYMBOLS = 1 << 19
 _32, _24 = np.uint64(32), np.uint64(TOTAL)
 _LOW32 = np.uint64(0xFFFFFFFF)
 
@@ -92,9 +93,14 @@ def interval(part: np.ndarray, unit: np.ndarray, rest: np.ndarray, hit2: np.ndar
     return start, width
 
 
+def precision(symbols: int) -> int:
+    """Bits of order 0's frequencies for so many distinct ids: two for each at least. Order 0 has 2**20, so 20 at most."""
+    return max(TOP, (symbols - 1).bit_length() + 1)
+
+
 def scaled(counts: np.ndarray) -> np.ndarray:
-    """Counts (each 1 at least) scaled to sum 2**16, each 1 at least."""
-    total, n = 1 << TOP, len(counts)
+    """Counts (each 1 at least) scaled to sum 2**precision, each 1 at least."""
+    total, n = 1 << precision(len(counts)), len(counts)
     out = np.maximum(1, counts * (total - n) // max(1, counts.sum())).astype(np.int64)
     over = int(out.sum()) - total
     while over:
@@ -109,15 +115,18 @@ def scaled(counts: np.ndarray) -> np.ndarray:
 
 
 def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
-    """A segment's file form. Ids are unsigned 32-bit integers, at most 2**15 distinct ones coded, else stored raw."""
+    """A segment's file form. Ids are unsigned 32-bit integers, at most 2**19 distinct ones coded, else stored raw.
+
+    Both forms have blocks with a checksum each, that can be read alone."""
     ids = np.ascontiguousarray(ids, "<u4")
     n = len(ids)
     symbols, at, counts = np.unique(ids, return_inverse=True, return_counts=True)
-    if not n or len(symbols) > 1 << 15:
-        return MAGIC + struct.pack("<BQI", 0, n, crc32(ids.tobytes())) + ids.tobytes()
     size = min(block, max(256, -(-n // lanes)))
     k = -(-n // size)
-    freq = scaled(counts)
+    sums = np.array([crc32(ids[i * size : (i + 1) * size].tobytes()) for i in range(k)], "<u4")
+    if not n or len(symbols) > MOST_SYMBOLS:
+        return MAGIC + struct.pack("<BQI", 0, n, size) + sums.tobytes() + ids.tobytes()
+    freq, top = scaled(counts), precision(len(symbols))
     cum = np.concatenate([[0], np.cumsum(freq)])[:-1]
     parts = cum << 32 | freq
     grid = np.zeros(k * size, np.int32)
@@ -131,7 +140,7 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
         hit2 = c2 == x
         hit1 = (c1 == x) & ~hit2
         rest = f2 + f1
-        unit = ((1 << TOTAL) - rest) >> TOP
+        unit = ((1 << TOTAL) - rest) >> top
         start, width = interval(parts.take(x), unit, rest, hit2, hit1, f2, f1)
         model.update(x, hit2, hit1, c1)
         r = rng >> _24
@@ -151,7 +160,6 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES) -> bytes:
     who, words = np.concatenate(who), np.concatenate(words)
     payload = words[np.argsort(who, kind="stable")].tobytes()
     lengths = np.bincount(who, minlength=k).astype("<u4")
-    sums = np.array([crc32(ids[i * size : (i + 1) * size].tobytes()) for i in range(k)], "<u4")
     head = zlib.compress(np.diff(symbols, prepend=0).astype("<u4").tobytes() + freq.astype("<u4").tobytes() + lengths.tobytes() + sums.tobytes(), 6)
     return MAGIC + struct.pack("<BQIIII", 1, n, len(symbols), size, k, len(head)) + head + payload
 
@@ -161,11 +169,15 @@ def decode(data: bytes, only: int | None = None) -> np.ndarray:
     if data[:4] != MAGIC:
         raise BadBlock("not a segment")
     if data[4] == 0:
-        _, n, check = struct.unpack_from("<BQI", data, 4)
-        raw = data[4 + struct.calcsize("<BQI") :]
-        if len(raw) != 4 * n or crc32(raw) != check:
-            raise BadBlock("stored block")
-        return np.frombuffer(raw, "<u4")
+        _, n, size = struct.unpack_from("<BQI", data, 4)
+        at, k = 4 + struct.calcsize("<BQI"), -(-n // size)
+        if len(data) != at + 4 * (k + n):
+            raise BadBlock("a segment is cut short")
+        sums, ids = np.frombuffer(data, "<u4", k, at), np.frombuffer(data, "<u4", n, at + 4 * k)
+        for b in range(k) if only is None else [only]:
+            if crc32(ids[b * size : (b + 1) * size].tobytes()) != sums[b]:
+                raise BadBlock(f"block {b}")
+        return ids if only is None else ids[only * size : (only + 1) * size]
     _, n, m, size, k, h = struct.unpack_from("<BQIIII", data, 4)
     at = 4 + struct.calcsize("<BQIIII")
     head = np.frombuffer(zlib.decompress(data[at : at + h]), "<u4")
@@ -189,7 +201,7 @@ def _decode_blocks(payload: np.ndarray, place: np.ndarray, freq: np.ndarray, siz
     cum = np.concatenate([[0], np.cumsum(freq)])[:-1]
     parts = cum << 32 | freq
     owner = np.repeat(np.arange(len(freq), dtype=np.int32), freq)
-    end = len(payload) - 1
+    end, top = len(payload) - 1, precision(len(freq))
     word = payload.astype(np.uint64)
     code = (word[place] << _32) | word[place + 1]
     place = place + 2
@@ -201,10 +213,10 @@ def _decode_blocks(payload: np.ndarray, place: np.ndarray, freq: np.ndarray, siz
         r = rng >> _24
         v = np.minimum(((code - low) // r).astype(np.int64), most)
         rest = f2 + f1
-        unit = ((1 << TOTAL) - rest) >> TOP
+        unit = ((1 << TOTAL) - rest) >> top
         hit2 = v < f2
         hit1 = (v < rest) & ~hit2
-        slot = np.clip((v - rest) / unit, 0, (1 << TOP) - 1).astype(np.int32)
+        slot = np.clip((v - rest) / unit, 0, (1 << top) - 1).astype(np.int32)
         x = owner.take(slot)
         np.copyto(x, c1, where=hit1)
         np.copyto(x, c2, where=hit2)

@@ -57,6 +57,22 @@ def test_codec_round_trip_and_damage():
         token_output.decode(bytes(bad))
 
 
+@pytest.mark.parametrize(("symbols", "form"), [(49_152, 1), (70_000, 1), ((1 << 19) + 1, 0)])
+def test_blocks_of_segments_with_many_distinct_ids(symbols, form):
+    rng = np.random.default_rng(1)
+    ids = np.concatenate([rng.permutation(symbols), rng.zipf(1.3, 150_000) % symbols]).astype("<u4")
+    data = token_output.encode(ids)
+    assert data[4] == form and (form == 0 or len(data) < 0.8 * ids.nbytes)
+    assert (token_output.decode(data) == ids).all()
+    size = min(token_output.BLOCK, max(256, -(-len(ids) // token_output.LANES)))
+    assert (token_output.decode(data, 3) == ids[3 * size : 4 * size]).all()
+    bad = bytearray(data)
+    bad[-40] ^= 255
+    with pytest.raises(token_output.BadBlock, match=r"block \d+"):
+        token_output.decode(bytes(bad))
+    assert (token_output.decode(bytes(bad), 3) == ids[3 * size : 4 * size]).all()
+
+
 def test_token_output(spark, odd):
     got = token_output.read_segments(token_output.write_segments(odd, PATH, 1, segment=50)).collect()
     got.sort(key=lambda r: r.start)
