@@ -10,7 +10,9 @@ and the most shingles that share a bit. Two tree nodes are traversed together an
 bitmaps and sizes allow is too small, or when all their members are joined already. Surviving pairs are verified on the
 sets themselves. The first round takes only pairs that join different components (a large group of near copies then gives
 as many pairs as members, not their square), the second a few surviving pairs of each member, drawn by a hash; the last
-one takes every surviving pair between different components, so no link that matters is lost. Components come from repeated hooking to a neighbour and contraction, in tables.
+one takes every surviving pair between different components. Components come from repeated hooking to a neighbour and
+contraction, in tables. These stops serve components alone: links() verifies every surviving pair of distinct sets, and
+gives those that are similar and which document has which set.
 
 Rows. Null and empty texts have an empty set, link with nothing and are their own component. Repeated rows and copies are
 kept. A null doc_id takes part; a component's id is its smallest doc_id, null if it has none. An empty table gives no rows;
@@ -341,8 +343,8 @@ def components(links: DataFrame) -> DataFrame:
         turn += 1
 
 
-def classes(docs: DataFrame, k: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
-    """Of each document: doc_id, h (a hash of its text), n_shingles, component_id. Similar: Jaccard of num / den or more."""
+def _routed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The documents as bytes; their sets, all and those with shingles; and the groups that the sets are routed to."""
     prepare(docs.sparkSession)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), text_bytes().alias("body"))
     every = staged(nodes_of(rows, k, num, den), "sets")
@@ -353,6 +355,28 @@ def classes(docs: DataFrame, k: int, num: int, den: int, block: int = BLOCK) ->
     own = own.withColumn("size", F.count("*").over(w)).where("size > 1")
     own = own.withColumn("key", F.xxhash64("size", F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).over(w), F.min("node").over(w), F.max("node").over(w)))
     groups = staged(own.select("key", "node", "size").distinct(), "groups")
+    return rows, every, some, groups
+
+
+def links(docs: DataFrame, k: int, num: int, den: int, block: int = BLOCK) -> tuple[DataFrame, DataFrame]:
+    """All links between different texts: (a, b), a < b, each pair of distinct sets with Jaccard of num / den or more; and
+    membership: doc_id, h (a hash of its text), n_shingles, node, the document's set as in a and b, null for an empty set.
+
+    Documents of one node have equal sets, and so are linked with each other.
+    """
+    rows, every, some, groups = _routed(docs, k, num, den)
+    membership = every.select("doc_id", "h", F.col("n").alias("n_shingles"), "node")
+    if groups.isEmpty():
+        return docs.sparkSession.createDataFrame([], "a long, b long"), membership
+    grouped, sets = _members(groups, some, rows, k, num, den, block)
+    # each set is a component of its own, so nothing counts as joined already
+    pairs = candidates(parted(_listed(grouped.withColumn("comp", F.col("node"))), block, "every"), num, den, "every")
+    return staged(verified(staged(pairs, "pairs"), sets, num, den).distinct(), "links"), membership
+
+
+def classes(docs: DataFrame, k: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
+    """Of each document: doc_id, h (a hash of its text), n_shingles, component_id. Similar: Jaccard of num / den or more."""
+    rows, every, some, groups = _routed(docs, k, num, den)
     labels = None if groups.isEmpty() else _links(groups, some, rows, k, num, den, block)
     out = every.select("doc_id", "h", "n", "node")
     out = out.withColumn("comp", F.col("node")) if labels is None else out.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
@@ -372,8 +396,14 @@ def parted(members: DataFrame, block: int, mode: str) -> DataFrame:
     return members.withColumn("part", part).withColumn("key", F.explode(pair))
 
 
-def _links(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame | None:
-    """node, comp of the nodes that are linked with others."""
+def _listed(members: DataFrame) -> DataFrame:
+    """Adds grp, the group, and keys, the first of the node's groups."""
+    keys = members.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, KEYS).alias("keys"))
+    return members.join(keys, "node").withColumn("grp", F.col("key"))
+
+
+def _members(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num: int, den: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """The members of groups that may be similar to another one, and their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("shingles")
@@ -392,23 +422,27 @@ def _links(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num: in
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = rows.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["d", "h"], "left_semi")
     sets = staged(texts.select("body").mapInArrow(run, "node long, n long, wide binary, own binary"), "verify-sets")
-    grouped = grouped.drop("rep")
-    links, labels = None, None
+    return grouped.drop("rep"), sets
+
+
+def _links(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num: int, den: int, block: int) -> DataFrame | None:
+    """node, comp of the nodes that are linked with others."""
+    grouped, sets = _members(groups, every, rows, k, num, den, block)
+    found, labels = None, None
     for turn in ("span", "some", "every"):
         now = grouped.withColumn("comp", F.col("node")) if labels is None else grouped.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if labels is not None:
             w = Window.partitionBy("key")
             now = now.withColumn("open", F.min("comp").over(w) < F.max("comp").over(w)).where("open")
         if turn != "span":
-            keys = now.groupBy("node").agg(F.slice(F.array_sort(F.collect_set("key")), 1, KEYS).alias("keys"))
-            now = now.join(keys, "node").withColumn("grp", F.col("key"))
+            now = _listed(now)
         pairs = staged(candidates(parted(now, block, turn), num, den, turn), "pairs")
         if pairs.isEmpty():
             continue
         fresh = staged(verified(pairs, sets, num, den), "links")
-        links = fresh if links is None else links.unionAll(fresh)
+        found = fresh if found is None else found.unionAll(fresh)
         if not fresh.isEmpty():
-            labels = components(links)
+            labels = components(found)
     return labels
 
 

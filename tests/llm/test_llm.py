@@ -198,6 +198,32 @@ def test_jaccard_components(spark, block):
     assert [got[i].component_id for i in range(len(texts))] == comp
 
 
+@pytest.mark.parametrize("block", [20_000, 5])
+def test_jaccard_links_of_all_distinct_sets(spark, block):
+    rng = np.random.default_rng(11)
+    texts = [None, "", "A b", "a B", "one"]
+    for b in [[f"w{v}" for v in rng.integers(0, 500, n)] for n in (150, 250, 350)]:
+        for _ in range(14):  # near copies, most of them similar to each other
+            w = list(b)
+            for _ in range(rng.integers(0, 3)):
+                w[rng.integers(0, len(w))] = f"n{rng.integers(0, 9)}"
+            texts.append(" ".join(w))
+    texts += texts[5:9]
+    sets = []
+    for t in texts:
+        w = (t or "").lower().split()
+        sets.append(frozenset(tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))) if w else frozenset())
+    want = {frozenset((a, b)) for a, b in itertools.combinations(set(sets) - {frozenset()}, 2) if 100 * len(a & b) >= 85 * len(a | b)}
+    pairs, membership = jaccard_join.links(documents(spark, texts), 4, 85, 100, block)
+    rows = membership.collect()
+    node = {r.node: sets[r.doc_id] for r in rows if r.node is not None}
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    assert all(node.get(r.node, frozenset()) == sets[r.doc_id] and r.n_shingles == len(sets[r.doc_id]) for r in rows)
+    got = [frozenset((node[r.a], node[r.b])) for r in pairs.collect()]
+    assert len(got) == len(set(got)) and set(got) == want and len(want) > 2 * len(set(sets))
+    assert [x.count() for x in jaccard_join.links(documents(spark, texts).where("false"), 4, 85, 100)] == [0, 0]
+
+
 def test_jaccard_of_odd_rows(spark, odd):
     assert jaccard_join.classes(odd.where("false"), 4, 85, 100).count() == 0
     got = jaccard_join.classes(documents(spark, ["a b c d e"] * 3 + [None], [None, None, 4, None]), 4, 85, 100).collect()
