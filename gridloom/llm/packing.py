@@ -4,7 +4,8 @@ A sequence has three limits at once: tokens, segments (pieces in it) and loss-be
 time; of the examples that fit all three, the one whose demand has the largest dot product with what is left goes in.
 Where none fits, the example with most tokens is cut to fill the gap. Examples longer than a sequence fill whole
 sequences from their front first. A sequence that must close early is parted into lengths that are powers of two, which
-need no padding. An example's loss-bearing tokens are its last ones, as in instruction data.
+need no padding. An example's loss-bearing tokens are its last ones, as in instruction data; pack_documents takes their
+number from a column. The query has none, so all tokens bear loss there and the third limit is the first.
 
 Work is by windows within a task's rows, so memory is bounded and nothing is shuffled; what a window leaves over starts
 the next one. Rows. Null or empty texts have the end id alone; a null doc_id stays null; repeated rows are packed each;
@@ -19,6 +20,7 @@ from dataclasses import dataclass, field
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from gridloom.llm.common import binary_rows, crc32, prepare, table, text_bytes, tokenizer_path, word_cache
 
@@ -115,8 +117,12 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS) -> DataFrame:
-    """Every document's ids and end_id in pieces of sequences; all its tokens bear loss. One row a piece."""
+def pack_documents(docs: DataFrame, path: str, end_id: int, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS, bearing: str | None = None) -> DataFrame:
+    """Every document's ids and end_id in pieces of sequences. One row a piece.
+
+    bearing: a column that says how many of a document's last tokens, end_id among them, bear loss; all do without it,
+    or where it is null or above their number.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -140,11 +146,11 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, tokens: int = TOKENS
 
         number = held = 0
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), binary_rows(batch, "body"), strict=True):
+            for doc_id, text, some in zip(batch.column(0).to_pylist(), binary_rows(batch, "body"), binary_rows(batch, "bearing"), strict=True):
                 ids = cache.encode(text) + end
                 kept[number] = doc_id, ids
                 n = len(ids) // 4
-                take(packer.add(number, n, n))
+                take(packer.add(number, n, n if some is None else max(0, min(n, some))))
                 number, held = number + 1, held + n
                 if held >= WINDOW_TOKENS or len(packer.waiting) >= WINDOW_ROWS:
                     take(packer.pack(False))
@@ -155,7 +161,8 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, tokens: int = TOKENS
         yield rows()
 
     prepare(docs.sparkSession)
-    return docs.select("doc_id", text_bytes().alias("body")).mapInArrow(run, SCHEMA)
+    own = F.lit(None) if bearing is None else F.col(bearing)
+    return docs.select("doc_id", text_bytes().alias("body"), own.cast("long").alias("bearing")).mapInArrow(run, SCHEMA)
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

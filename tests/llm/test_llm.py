@@ -387,6 +387,36 @@ def test_packed_documents(spark, odd):
     assert packing.pack_documents(odd.where("false"), PATH, 2).count() == 0
 
 
+def test_packed_conversations_keep_the_loss_limit(spark):
+    turns = {}
+    for r in C.table(spark, SF, "conversations").orderBy("conv_id", "turn").limit(400).collect():
+        turns.setdefault(r.conv_id, []).append(r.text or "")
+    sizes, rows = {}, []
+    for i, own in turns.items():
+        text = " ".join(own)
+        n, answer = len(encoded(text, 2)), len(encoded(own[-1], 2))
+        sizes[i] = n, min(n, answer)
+        rows.append((i, text, answer))
+    sizes[-1] = len(encoded("all of it", 2)), len(encoded("all of it", 2))
+    df = spark.createDataFrame([*rows, (-1, "all of it", None)], "doc_id long, text string, answer long").coalesce(1)
+    totals = []
+    for bearing in ("answer", None):
+        sequences = {}
+        got = packing.pack_documents(df, PATH, 2, 512, 64, 48, bearing).collect()
+        for r in got:
+            n, some = sizes[r.doc_id][0], sizes[r.doc_id][0 if bearing is None else 1]
+            assert r.doc_tokens == n
+            now = sequences.setdefault(r.sequence_id, [0, 0])
+            now[0] += r.length
+            now[1] += max(0, r.start + r.length - max(r.start, n - some))
+        assert sum(x for x, _ in sequences.values()) == sum(n for n, _ in sizes.values())
+        assert all(x <= 512 and y <= 48 for x, y in sequences.values())
+        totals.append(len(sequences))
+        if bearing:
+            assert max(x for x, _ in sequences.values()) > 48
+    assert totals[0] < totals[1]
+
+
 # ---- 10
 
 
