@@ -2,10 +2,14 @@
 
 A sequence has three limits at once: tokens, segments (pieces in it) and loss-bearing tokens. One sequence is open at a
 time; of the examples that fit all three, the one whose demand has the largest dot product with what is left goes in.
-Where none fits, the example with most tokens is cut to fill the gap. Examples longer than a sequence fill whole
-sequences from their front first. A sequence that must close early is parted into lengths that are powers of two, which
-need no padding. An example's loss-bearing tokens are its last ones, as in instruction data; pack_documents takes their
-number from a column. The query has none, so all tokens bear loss there and the third limit is the first.
+Where none fits, the example with most tokens is cut to fill the gap, as far as the limits allow; once no more loss may go
+in, the one with most tokens without any at its front. Examples longer than a sequence fill whole sequences from their front first. A sequence that must close early is parted into lengths that are
+powers of two, which need no padding.
+
+Which tokens bear loss, in two forms. pack_documents takes a number of last tokens from a column, as of prompt and answer.
+Without one, an example counts as a dialogue of turns: of every TURN tokens the first PROMPT are asked and bear none. The
+query does the latter, with at most LOSS loss-bearing tokens in SEGMENTS pieces a sequence; all three limits close
+sequences on mixed documents (Packer.closed counts them).
 
 Work is by windows within a task's rows, so memory is bounded and nothing is shuffled; what a window leaves over starts
 the next one. Rows. Null or empty texts have the end id alone; a null doc_id stays null; repeated rows are packed each;
@@ -14,6 +18,7 @@ other columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -24,47 +29,60 @@ from pyspark.sql import functions as F
 
 from gridloom.llm.common import binary_rows, crc32, prepare, table, text_bytes, tokenizer_path, word_cache
 
-#: Limits of a sequence, and tokens and examples of a window.
-TOKENS, SEGMENTS = 4096, 1024
+#: Limits of a sequence: tokens, pieces, loss-bearing tokens.
+TOKENS, SEGMENTS, LOSS = 4096, 16, 3056
+#: Tokens of a dialogue's turn, and its first ones, that are asked and bear no loss.
+TURN, PROMPT = 256, 64
+#: Tokens and examples of a window.
 WINDOW_TOKENS, WINDOW_ROWS = 1 << 22, 2048
 
 
 @dataclass
 class Example:
-    """What is left of an example: tokens from `at` to `end`; those from `loss_from` on bear loss."""
+    """What is left of an example: tokens from `at` to `end`. Of those from `loss_from` on, all but the first `prompt` of
+    every `turn` tokens bear loss."""
 
     key: object
     at: int
     end: int
-    loss_from: int
+    loss_from: int = 0
+    turn: int = 1
+    prompt: int = 0
+
+    def borne(self, to: int) -> int:
+        """Loss-bearing tokens among the first `to`."""
+        turns, rest = divmod(max(0, to - self.loss_from), self.turn)
+        return turns * (self.turn - self.prompt) + max(0, rest - self.prompt)
 
     def loss(self, length: int) -> int:
-        return max(0, self.at + length - max(self.at, self.loss_from))
+        return self.borne(self.at + length) - self.borne(self.at)
 
     def longest(self, tokens: int, loss: int) -> int:
         """Tokens from the front that keep within both limits."""
-        return min(self.end - self.at, tokens, max(0, self.loss_from - self.at) + loss)
+        turns, rest = divmod(self.borne(self.at) + loss, self.turn - self.prompt)
+        return min(self.end - self.at, tokens, self.loss_from + turns * self.turn + self.prompt + rest - self.at)
 
 
 @dataclass
 class Packer:
     tokens: int = TOKENS
     segments: int = SEGMENTS
-    loss: int = TOKENS
+    loss: int = LOSS
     waiting: list[Example] = field(default_factory=list)
     number: int = 0
+    #: How many sequences each limit closed; "end" where nothing was left to put in.
+    closed: Counter = field(default_factory=Counter)
 
     def __post_init__(self):
         if min(self.tokens, self.segments, self.loss) < 1:
             raise ValueError("each limit is 1 at least")
 
-    def add(self, key: object, length: int, loss: int) -> Iterator[tuple[object, int, int, int, int]]:
-        """Takes an example in; gives the whole sequences at its front, as pack() does."""
-        x = Example(key, 0, length, length - loss)
-        while x.end - x.at >= self.tokens or x.longest(self.tokens, self.loss) < x.end - x.at:
-            n = x.longest(self.tokens, self.loss)
-            yield from self.close([(key, x.at, n)])
-            x.at += n
+    def add(self, x: Example) -> Iterator[tuple[object, int, int, int, int]]:
+        """Takes an example in; gives the whole sequences at its front, as pack() does, while they keep all limits."""
+        while x.longest(self.tokens, self.loss) == self.tokens:
+            self.closed["tokens"] += 1
+            yield from self.close([(x.key, x.at, self.tokens)])
+            x.at += self.tokens
         if x.at < x.end:
             self.waiting.append(x)
 
@@ -86,21 +104,28 @@ class Packer:
         """(key, start, length, sequence, offset) of pieces, while what waits can fill a sequence, or to its end."""
         items = self.waiting
         size = np.array([x.end - x.at for x in items], np.float64)
-        need = np.stack([size / self.tokens, np.full(len(items), 1 / self.segments), np.array([x.loss(x.end - x.at) for x in items], np.float64) / self.loss], 1) if items else np.zeros((0, 3))
+        a, b, c = size / self.tokens, np.full(len(items), 1 / self.segments), np.array([x.loss(x.end - x.at) for x in items], np.float64) / self.loss
+        free = np.array([x.longest(self.tokens, 0) for x in items], np.float64)
         total, slack = int(size.sum()), 1e-9
         alive = np.ones(len(items), bool)
         while total and (last or total >= self.tokens):
-            left, pieces = [self.tokens, self.segments, self.loss], []
-            while left[0] and left[1] and total:
-                room = np.array([left[0] / self.tokens, left[1] / self.segments, left[2] / self.loss])
-                fits = alive & (need <= room + slack).all(1)
+            left, pieces, why = [self.tokens, self.segments, self.loss], [], "end"
+            while total:
+                if not left[0] or not left[1]:
+                    why = "segments" if left[0] else "tokens"
+                    break
+                p, q, r = left[0] / self.tokens, left[1] / self.segments, left[2] / self.loss
+                fits = alive & (a <= p + slack) & (c <= r + slack)
                 if fits.any():
-                    i = int(np.where(fits, need @ room, -1.0).argmax())
+                    i = int(np.where(fits, a * p + b * q + c * r, -1.0).argmax())
                     n = items[i].end - items[i].at
                 else:
                     i = int(np.where(alive, size, -1.0).argmax())
-                    n = items[i].longest(left[0], left[2])
+                    if not (n := items[i].longest(left[0], left[2])):
+                        i = int(np.where(alive, free, -1.0).argmax())
+                        n = items[i].longest(left[0], left[2]) if alive[i] else 0
                     if not n:
+                        why = "loss"
                         break
                 x = items[i]
                 left = [left[0] - n, left[1] - 1, left[2] - x.loss(n)]
@@ -109,7 +134,8 @@ class Packer:
                 total -= n
                 size[i] = x.end - x.at
                 alive[i] = x.at < x.end
-                need[i] = size[i] / self.tokens, 1 / self.segments, x.loss(x.end - x.at) / self.loss
+                a[i], c[i], free[i] = size[i] / self.tokens, x.loss(x.end - x.at) / self.loss, x.longest(self.tokens, 0)
+            self.closed[why if total or left[0] else "tokens"] += 1
             yield from self.close(pieces)
         self.waiting = [x for x, y in zip(items, alive, strict=True) if y]
 
@@ -117,11 +143,11 @@ class Packer:
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
-def pack_documents(docs: DataFrame, path: str, end_id: int, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = TOKENS, bearing: str | None = None) -> DataFrame:
+def pack_documents(docs: DataFrame, path: str, end_id: int, tokens: int = TOKENS, segments: int = SEGMENTS, loss: int = LOSS, bearing: str | None = None) -> DataFrame:
     """Every document's ids and end_id in pieces of sequences. One row a piece.
 
-    bearing: a column that says how many of a document's last tokens, end_id among them, bear loss; all do without it,
-    or where it is null or above their number.
+    bearing: a column that says how many of a document's last tokens, end_id among them, bear loss; all do where it is
+    null or above their number. Without it documents are dialogues of turns.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,6 +155,7 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, tokens: int = TOKENS
 
         base = TaskContext.get().partitionId() << 32
         cache, end = word_cache(path), np.array([end_id], "<u4").tobytes()
+        turns = {} if bearing else {"turn": TURN, "prompt": PROMPT}
         packer = Packer(tokens, segments, loss)
         kept: dict[int, tuple[int | None, bytes]] = {}
         out: list[tuple] = []
@@ -146,11 +173,11 @@ def pack_documents(docs: DataFrame, path: str, end_id: int, tokens: int = TOKENS
 
         number = held = 0
         for batch in batches:
-            for doc_id, text, some in zip(batch.column(0).to_pylist(), binary_rows(batch, "body"), binary_rows(batch, "bearing"), strict=True):
-                ids = cache.encode(text) + end
+            for doc_id, ids, some in zip(batch.column(0).to_pylist(), cache.encode_all(binary_rows(batch, "body")), binary_rows(batch, "bearing"), strict=True):
+                ids = ids.tobytes() + end
                 kept[number] = doc_id, ids
                 n = len(ids) // 4
-                take(packer.add(number, n, n if some is None else max(0, min(n, some))))
+                take(packer.add(Example(number, 0, n, 0 if some is None else n - max(0, min(n, some)), **turns)))
                 number, held = number + 1, held + n
                 if held >= WINDOW_TOKENS or len(packer.waiting) >= WINDOW_ROWS:
                     take(packer.pack(False))
