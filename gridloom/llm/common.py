@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import json
+import re
 import tempfile
 import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,22 +32,48 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share. Only where the session names none (tests), one is set."""
+    """The folder that driver and executors share. Where the session names none, one is made if driver and executors are
+    one process (tests); on a cluster that is an error."""
     path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not re.fullmatch(r"local(\[[^\]]*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         path = getattr(spark, "_llm_shared_dir", None) or tempfile.mkdtemp(prefix="llm-shared-")
         spark._llm_shared_dir = path
     return path.rstrip("/")
 
 
+#: Folders of the tables that the query in hand has staged, while release() may remove them.
+_STAGED: list[str] = []
+
+
 def staged(df: DataFrame, name: str) -> DataFrame:
     """Writes df to the shared folder and reads it again: lineage is cut, and a lost executor loses none of it."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _STAGED.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def remove(spark: SparkSession, path: str) -> None:
+    """Removes a folder of the shared store."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def release(make, name: str) -> DataFrame:
+    """The table that make() gives, staged; the tables that were staged for it are removed."""
+    held = len(_STAGED)
+    out = make()
+    mine = _STAGED[held:]
+    out = staged(out, name)
+    del _STAGED[held:]
+    for path in mine:
+        remove(out.sparkSession, path)
+    return out
+
+
 def text_bytes(column: str = "text") -> Column:
     """A text as UTF-8 bytes, null as none."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")
@@ -80,43 +110,140 @@ class TwoGenerations(dict):
             self[key] = value
 
 
+#: ASCII signs that are a pre-token of their own beside a word: all but the apostrophe (contractions) and what special
+#: tokens begin with.
+SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not in "'<")
+#: The characters by which byte-level vocabularies write bytes: printable ones of Latin 1 stand for themselves, the others
+#: follow from U+0100 on.
+BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255))}
+#: Bytes of text that are taken apart at once.
+CHUNK = 4 << 20
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
 class WordCache(TwoGenerations):
     """Ids of a white-space-free piece as little-endian unsigned 32-bit bytes, by the piece's UTF-8 bytes.
 
-    A tokenizer that never joins text across white space gives a text the ids of its pieces in order. Pieces are cut
-    at ASCII white space alone, so any other white space stays inside a piece and is the tokenizer's own business.
-    A piece that ends in a letter and ASCII stops is taken as the word and its stops, as the vocabulary's own
-    pattern parts them too.
+    A tokenizer that never joins text across white space gives a text the ids of its pieces in order. Pieces are cut at
+    ASCII white space alone, so any other white space stays inside a piece and is the tokenizer's own business. A piece of
+    letters below U+0100 between ASCII signs is taken as the word in lower case and its signs: none of these characters
+    changes the class or is joined by the normaliser. Whether a vocabulary's normaliser and pre-tokenizer allow that is
+    read from its file; if they don't, whole texts go to the tokenizer.
     """
 
-    MOST, STOPS = 3 << 18, b".,!?;:"
+    MOST = 1 << 19
 
     def __init__(self, path: str):
         super().__init__()
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-
-    def parts(self, piece: bytes) -> tuple[bytes, bytes]:
-        """The piece's word, in lower case if ASCII, and its stops; the piece alone where it isn't so plain."""
-        if b"<" not in piece and b"'" not in piece:
-            word = piece.rstrip(self.STOPS)
-            if word and word.decode("utf-8", "replace")[-1].isalpha():
-                return word.lower() if piece.isascii() else word, piece[len(word) :]
-        return piece, b""
+        self.model = self.tokenizer.model
+        self.packed = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
+        with open(path, encoding="utf-8") as f:
+            self.parted = self.permits(json.load(f))
+
+    @staticmethod
+    def permits(spec: dict) -> bool:
+        """Whether white space parts tokens, letters and signs are parted, and case doesn't matter."""
+        def steps(x: dict | None, inner: str) -> list[dict]:
+            return [] if x is None else x[inner] if x["type"] == "Sequence" else [x]
+
+        normal, parting = steps(spec["normalizer"], "normalizers"), steps(spec["pre_tokenizer"], "pretokenizers")
+        split = [x for x in parting if x["type"] == "Split"]
+        pattern = split[0]["pattern"].get("Regex", "") if len(split) == 1 else ""
+        signs = not any(set(t["content"].encode()) & set(b" \t\n\r") or not t["content"].startswith("<") for t in spec["added_tokens"])
+        level = all(x["type"] == "Split" or x["type"] == "ByteLevel" and not x["add_prefix_space"] and not x["use_regex"] for x in parting)
+        known = [x["type"] for x in normal] == ["NFC", "Replace", "Lowercase"] and normal[1]["pattern"] == {"Regex": r"\s+"} and normal[1]["content"] == " "
+        return known and level and signs and spec["post_processor"] is None and pattern == r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+" and split[0]["invert"] and split[0]["behavior"] == "Removed"
+
+    @staticmethod
+    def parts(piece: bytes) -> tuple[bytes, bytes, bytes]:
+        """The signs before a piece's word, the word in lower case, the signs after it; where it isn't so plain, the piece."""
+        if piece.isalpha():
+            return b"", piece.lower(), b""
+        if b"<" not in piece and b"'" not in piece and (word := piece.strip(SIGNS)):
+            if word.isalpha():
+                low = word.lower()
+            else:
+                text = word.decode("utf-8", "replace")
+                low = text.lower().encode() if text.isalpha() and max(text) < "\u0100" else b""
+            if low:
+                front, _, back = piece.partition(word)
+                return front, low, back
+        return b"", piece.lower() if piece.isascii() else piece, b""
 
     def compute(self, piece: bytes) -> bytes:
-        word, stops = self.parts(piece)
+        front, word, back = self.parts(piece)
         if word != piece:
-            return self[word] + self[stops] if stops else self[word]
-        return np.asarray(self.tokenizer.encode(piece.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
+            ids = self[word]
+            return self[front] + ids + self[back] if front else ids + self[back] if back else ids
+        letters = piece.decode("utf-8", "replace")
+        if letters.isalpha() and max(letters) < "\u0100":  # in lower case, or parts() had changed it
+            return b"".join([self.packed[t.id] for t in self.model.tokenize(piece.decode("latin-1").translate(BYTE_CHARACTERS))])
+        return self.whole(piece)
 
-    def encode(self, text: bytes) -> bytes:
-        return b"".join(map(self.__getitem__, text.split()))
+    def whole(self, text: bytes) -> bytes:
+        return np.asarray(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode_all(self, texts: list[bytes]):
-        """Of each text in turn, the ids' bytes."""
-        return map(self.encode, texts)
+    def encode(self, text: bytes) -> bytes:
+        """The ids of a short text."""
+        return b"".join(map(self.__getitem__, text.split())) if self.parted else self.whole(text)
+
+    def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        """Of each text in turn, the ids. Texts are taken apart together, long ones bit by bit."""
+        if not self.parted:
+            yield from (np.frombuffer(self.whole(t), "<u4") for t in texts)
+            return
+        own, size = [], 0
+        for text in texts:
+            if size + len(text) > CHUNK:
+                yield from self._together(own)
+                own, size = [], 0
+            if len(text) > CHUNK:
+                yield np.concatenate([next(iter(self._together([t]))) for t in slices(text, CHUNK)])
+            else:
+                own.append(text)
+                size += len(text)
+        yield from self._together(own)
+
+    def _together(self, texts: list[bytes]) -> Iterator[np.ndarray]:
+        if not texts:
+            return
+        # characters below U+0100 are in lower case the same before and after the normaliser; special tokens are not
+        data = pa.array([t.lower() if b"<" not in t and t and np.frombuffer(t, np.uint8).max() < 0xC4 else t for t in texts], pa.binary())
+        pieces = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(data), *data.buffers()[1:]))
+        code = pieces.flatten().cast(pa.binary()).dictionary_encode()
+        ids = list(map(self.__getitem__, byte_strings(code.dictionary)))
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        own = code.indices.to_numpy()
+        n = sizes[own]
+        last = np.cumsum(n)
+        place = np.repeat((np.cumsum(sizes) - sizes)[own] - last + n, n)
+        place += np.arange(len(place))
+        found = flat[place]
+        ends = np.append(0, last)[pieces.offsets.to_numpy()].tolist()
+        for a, b in zip(ends, ends[1:], strict=False):
+            yield found[a:b]
+
+
+def slices(text: bytes, size: int) -> Iterator[bytes]:
+    """The text in parts of `size` bytes or little more, cut before white space."""
+    at = 0
+    while at < len(text):
+        found = _SPACE.search(text, at + size)
+        end = found.start() if found else len(text)
+        yield text[at:end]
+        at = end
+
+
+def byte_strings(column: pa.Array) -> list[bytes]:
+    """A binary column without nulls as a list."""
+    _, offsets, data = column.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(column) + 1, 4 * column.offset).tolist()
+    view = data.to_pybytes() if data else b""
+    return [view[a:b] for a, b in zip(ends, ends[1:], strict=False)]
 
 
 _CACHES: dict[str, WordCache] = {}
