@@ -7,8 +7,9 @@ range: the leaves that it touches, and a neighbour where it comes close to a lea
 ends are parted), are joined, changed and encoded anew, and the sums on the paths to them are set right. No other text is
 encoded again, and no other node of the tree is made again.
 
-Trees are kept as a table of leaf sizes and counts (build_trees), from which a tree is put together without encoding
-anything; apply_edits joins it with a table of edits and the documents. Rows. A null text counts as empty, with no tokens;
+Trees can be kept as a table of leaf sizes and counts (build_trees), from which a tree is put together without encoding
+anything; apply_edits joins it with a table of edits and the documents. The query's edits follow from each document alone,
+so there trees are built and edited in one task (count_edited), and no text is shuffled. Rows. A null text counts as empty, with no tokens;
 edits are clamped to the text; repeated rows have equal trees and are counted each; a null doc_id stays null; an empty
 table gives no rows; other columns are ignored.
 """
@@ -19,12 +20,11 @@ import unicodedata
 from collections.abc import Iterable, Iterator
 from typing import NamedTuple
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import WordCache, binary_rows, prepare, staged, table, text_bytes, tokenizer_path, word_cache
+from gridloom.llm.common import WordCache, binary_rows, prepare, table, text_bytes, tokenizer_path, word_cache
 
 LEAF_BYTES = 512
 #: An edit that comes so near to a leaf's end takes the neighbour in.
@@ -269,10 +269,34 @@ def sample_edits(trees: DataFrame) -> DataFrame:
     return trees.dropDuplicates(["key"]).select("key", own.alias("edits"))
 
 
+def sample_edits_of(size: int, number: int) -> list[tuple[int, int, bytes]]:
+    """The same edits, for a text of so many bytes and a doc_id."""
+    spots = [(size * (2 * k + 1) // 7 + number * 31) % (size + 1) for k in range(3)]
+    return [(spots[0], spots[0] + 11, b"revised"), (spots[1], spots[1], b" inserted passage, "), (spots[2], spots[2] + 40, b"")]
+
+
 SCHEMA = "doc_id long, n_tokens long, n_bytes long, n_edits long, n_tokens_after long, n_bytes_after long, bytes_reencoded long"
 
 
+def count_edited(docs: DataFrame, path: str, edits=sample_edits_of) -> DataFrame:
+    """Token counts of each document before and after its edits, edits(bytes, doc_id or 0) -> [(start, end, new)]."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache = word_cache(path)
+        for batch in batches:
+            out = []
+            for doc_id, text in zip(batch.column(0).to_pylist(), binary_rows(batch, "body"), strict=True):
+                tree = CountTree(text, cache)
+                before, tree.encoded = (tree.tokens, tree.size), 0
+                own = edits(tree.size, doc_id or 0)
+                for e in own:
+                    tree.edit(*e)
+                out.append((doc_id, *before, len(own), tree.tokens, tree.size, tree.encoded))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 7)], [x.split()[0] for x in SCHEMA.split(", ")])
+
+    prepare(docs.sparkSession)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_bytes().alias("body")).mapInArrow(run, SCHEMA)
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, path = table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json")
-    trees = staged(build_trees(docs, path), "count-trees")
-    return apply_edits(docs, trees, sample_edits(trees), path)
+    return count_edited(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))

@@ -365,7 +365,11 @@ def test_edits_by_a_table(spark, odd):
     assert long.bytes_reencoded < long.n_bytes / 5
     kept = token_counts.apply_edits(odd, trees, token_counts.sample_edits(trees).where("false"), PATH).collect()
     assert all((r.n_tokens, r.n_edits, r.bytes_reencoded) == (r.n_tokens_after, 0, 0) for r in kept) and len(kept) == len(TEXTS) + 1
-    assert token_counts.op7_token_counts(spark, SF).count() == C.table(spark, SF, "documents").count()
+    direct = token_counts.count_edited(odd, PATH).collect()
+    assert sorted(map(str, direct)) == sorted(map(str, got))
+    docs = C.table(spark, SF, "documents").where("doc_id < 60")
+    whole = {r.doc_id: r for r in token_counts.count_edited(docs, PATH).collect()}
+    assert all(whole[r.doc_id].n_tokens == len(encoded(r.text, 0)) - 1 for r in docs.collect())
     empty = odd.where("false")
     none = token_counts.build_trees(empty, PATH)
     assert token_counts.apply_edits(empty, none, token_counts.sample_edits(none), PATH).count() == 0
