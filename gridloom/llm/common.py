@@ -195,37 +195,67 @@ class WordCache(TwoGenerations):
         if not self.parted:
             yield from (np.frombuffer(self.whole(t), "<u4") for t in texts)
             return
-        own, size = [], 0
-        for text in texts:
-            if size + len(text) > CHUNK:
-                yield from self._together(own)
-                own, size = [], 0
-            if len(text) > CHUNK:
-                yield np.concatenate([next(iter(self._together([t]))) for t in slices(text, CHUNK)])
-            else:
-                own.append(text)
-                size += len(text)
-        yield from self._together(own)
 
-    def _together(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        if not texts:
-            return
+        def flat(pieces: list[bytes], own: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ids = list(map(self.__getitem__, pieces))
+            sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+            n = sizes[own]
+            last = np.cumsum(n)
+            place = np.repeat((np.cumsum(sizes) - sizes)[own] - last + n, n)
+            place += np.arange(len(place))
+            return np.frombuffer(b"".join(ids), "<u4")[place], np.append(0, last)[ends]
+
         # characters below U+0100 are in lower case the same before and after the normaliser; special tokens are not
-        data = pa.array([t.lower() if b"<" not in t and t and np.frombuffer(t, np.uint8).max() < 0xC4 else t for t in texts], pa.binary())
-        pieces = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(data), *data.buffers()[1:]))
-        code = pieces.flatten().cast(pa.binary()).dictionary_encode()
-        ids = list(map(self.__getitem__, byte_strings(code.dictionary)))
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        flat = np.frombuffer(b"".join(ids), "<u4")
-        own = code.indices.to_numpy()
-        n = sizes[own]
-        last = np.cumsum(n)
-        place = np.repeat((np.cumsum(sizes) - sizes)[own] - last + n, n)
-        place += np.arange(len(place))
-        found = flat[place]
-        ends = np.append(0, last)[pieces.offsets.to_numpy()].tolist()
-        for a, b in zip(ends, ends[1:], strict=False):
-            yield found[a:b]
+        yield from by_text((t.lower() if b"<" not in t and t and np.frombuffer(t, np.uint8).max() < 0xC4 else t for t in texts), flat)
+
+
+def pieces_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """The distinct pieces between ASCII white space, the number of each piece of the texts in turn, and the places in
+    these at which texts end, with 0 before. Empty pieces may be among them."""
+    data = pa.array(texts, pa.binary())
+    pieces = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(data), *data.buffers()[1:]))
+    code = pieces.flatten().cast(pa.binary()).dictionary_encode()
+    return byte_strings(code.dictionary), code.indices.to_numpy(), pieces.offsets.to_numpy()
+
+
+def by_text(texts, flat) -> Iterator[np.ndarray]:
+    """Of each text in turn, its part of what flat(*pieces_of(some texts)) gives: values, and where texts end in them."""
+    own: list[bytes] = []
+    size = 0
+
+    def done(some: list[bytes]) -> Iterator[np.ndarray]:
+        if some:
+            values, ends = flat(*pieces_of(some))
+            ends = ends.tolist()
+            for a, b in zip(ends, ends[1:], strict=False):
+                yield values[a:b]
+
+    for text in texts:
+        if size + len(text) > CHUNK:
+            yield from done(own)
+            own, size = [], 0
+        if len(text) > CHUNK:
+            yield np.concatenate([next(done([t])) for t in slices(text, CHUNK)])
+        else:
+            own.append(text)
+            size += len(text)
+    yield from done(own)
+
+
+def word_values(texts: list[bytes], value, dtype=np.int64) -> Iterator[np.ndarray]:
+    """Of each text in turn, value(word) of its words between ASCII white space."""
+
+    def flat(pieces: list[bytes], own: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        if b"" in pieces:
+            keep = own != pieces.index(b"")
+            ends = np.append(0, np.cumsum(keep))[ends]
+            own = own[keep]
+            values = np.fromiter((value(p) if p else 0 for p in pieces), dtype, len(pieces))
+        else:
+            values = np.fromiter(map(value, pieces), dtype, len(pieces))
+        return values[own], ends
+
+    return by_text(texts, flat)
 
 
 def slices(text: bytes, size: int) -> Iterator[bytes]:
@@ -295,10 +325,9 @@ class WordHash(TwoGenerations):
 _WORDS = WordHash()
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """Hashes of the words between ASCII white space (space and 0x09 to 0x0D)."""
-    words = text.split()
-    return np.fromiter(map(_WORDS.__getitem__, words), np.uint64, len(words))
+def word_hashes(texts: list[bytes]) -> Iterator[np.ndarray]:
+    """Of each text in turn, the hashes of its words between ASCII white space (space and 0x09 to 0x0D)."""
+    return word_values(texts, _WORDS.__getitem__, np.uint64)
 
 
 _STEP = np.uint64(0x9E3779B97F4A7C15)

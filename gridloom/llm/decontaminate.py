@@ -1,15 +1,16 @@
 """Operator 10, benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
 
-Runs of two words of the test items are the seeds: a copy with a third of its words changed may hold no longer run. How
+Runs of two words of the test items are the seeds: a copy with a third of its words changed may hold no longer run. An
+alignment of half the score or more holds one, unless words are inserted after nearly each of the item's. How
 many documents hold each seed is counted over the whole corpus; an item's rare seeds are those no more common than the
 median one of its seeds that occur. No seed is dropped. Seeds join documents to items: where one rare seed of an item or
-any two (one, if it has no more) lie near each other, the passage around them is aligned with the item word by word
+any two (one, if it has fewer than nine words, or no other seed) lie near each other, the passage around them is aligned with the item word by word
 (match 2, other word -1, gap -1), unless its words alone bound the score below the threshold. A document is reported for
 an item when the best alignment reaches half of the item's own score, so edited and paraphrased copies count too. Items
 go out in blocks whose size is bounded; a larger benchmark makes more passes.
 
-Words are lower-cased and stripped of punctuation at their ends. Rows. Items with a null id or fewer than three words
-take no part; null or empty texts match nothing; repeated documents are reported each, equal items each; a null doc_id
+Words are lower-cased and stripped of punctuation at their ends. Rows. Items of one or two words are found where they are
+a whole document, for alignment would find them anywhere; items with a null id or without words take no part; null or empty texts match nothing; repeated documents are reported each, equal items each; a null doc_id
 stays null; without documents or items there are no rows; other columns are ignored, or kept by annotate().
 """
 
@@ -22,11 +23,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import TwoGenerations, begin, binary_rows, prepare, table, text_bytes
+from gridloom.llm.common import TwoGenerations, begin, binary_rows, mix64, prepare, table, text_bytes, word_values
 
 SEED = 2
-#: Words of an item that takes part.
-ITEM_WORDS = 3
+#: Words of an item that is aligned, and of one of which two seeds are asked for.
+ITEM_WORDS, LONG_WORDS = 3, 9
 LEAST = 0.5
 #: Items, and bytes of their texts, of a block.
 BLOCK_ITEMS, BLOCK_BYTES = 20_000, 16 << 20
@@ -92,11 +93,13 @@ class Block:
     def __init__(self, items: list[tuple[int, str]], seed: int = SEED, least: float = LEAST):
         self.seed, self.least = seed, least
         texts = [(i, [w for w in map(normal, t.encode("utf-8", "replace").split()) if w]) for i, t in items]
-        texts = sorted((i, ws) for i, ws in texts if len(ws) >= max(seed, ITEM_WORDS))
         self.known = {w: k + 1 for k, w in enumerate(sorted({w for _, ws in texts for w in ws}))}
         self.base = len(self.known) + 1
-        if self.base >= 1 << 21:
-            raise ValueError("a block's words are too many to number; make blocks smaller")
+        self.whole: dict[bytes, list[int]] = {}
+        for i, ws in sorted(texts):
+            if 0 < len(ws) < max(seed, ITEM_WORDS):
+                self.whole.setdefault(np.array([self.known[w] for w in ws], np.int64).tobytes(), []).append(i)
+        texts = sorted((i, ws) for i, ws in texts if len(ws) >= max(seed, ITEM_WORDS))
         self.ids = [i for i, _ in texts]
         self.words = [np.array([self.known[w] for w in ws], np.int64) for _, ws in texts]
         codes = [self.code(w)[1] for w in self.words]
@@ -108,10 +111,12 @@ class Block:
         self.sizes = np.array([len(w) for w in self.words], np.int64)
         self.rare = np.ones(len(self.seed_of), bool)
         self.first = np.searchsorted(self.seed_of, np.arange(len(self.codes) + 1))
-        self.enough = np.minimum(2, np.bincount(self.item_of, minlength=len(self.ids)))
+        self.enough = np.where(self.sizes < LONG_WORDS, 1, np.minimum(2, np.bincount(self.item_of, minlength=len(self.ids))))
+        self.marks = np.zeros(0, bool)
 
     def code(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places of the runs of `seed` words that are all items' words, and their codes."""
+        """Places of the runs of `seed` words that are all items' words, and their codes: exact where they fit 63 bits,
+        else hashes, which may add a seed that the alignment then refuses."""
         m = len(n) - self.seed + 1
         if m <= 0:
             return np.zeros(0, np.int64), np.zeros(0, np.int64)
@@ -122,7 +127,7 @@ class Block:
         place = np.flatnonzero(ok)
         out = n[place]
         for k in range(1, self.seed):
-            out = out * self.base + n[place + k]
+            out = out * self.base + n[place + k] if self.base**self.seed < 1 << 63 else mix64((out * self.base + n[place + k]).view(np.uint64)).view(np.int64)
         return place, out
 
     def mark_rare(self, documents: np.ndarray) -> None:
@@ -135,10 +140,9 @@ class Block:
         median[some] = common[order][(np.cumsum(sizes) - sizes + (sizes - 1) // 2)[some]]
         self.rare = common <= median[self.item_of]
 
-    def numbers(self, text: bytes, vocabulary: Vocabulary) -> np.ndarray:
-        parts = text.split()
-        n = np.fromiter(map(vocabulary.__getitem__, parts), np.int64, len(parts))
-        return n[n >= 0]
+    def numbers(self, texts: list[bytes], vocabulary: Vocabulary) -> Iterator[np.ndarray]:
+        """Of each text in turn, its words' numbers."""
+        return (n[n >= 0] for n in word_values(texts, vocabulary.__getitem__))
 
     def seeds(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Places in a document at which seeds stand, and the seeds' numbers."""
@@ -151,6 +155,8 @@ class Block:
 
     def matches(self, n: np.ndarray) -> list[tuple[int, float, int, int]]:
         """(item_id, share of the item's own score, first word, end) of the document's best alignments."""
+        if 0 < len(n) < ITEM_WORDS and (same := self.whole.get(n.tobytes())):
+            return [(i, 1.0, 0, len(n)) for i in same]
         place, seed = self.seeds(n)
         times = self.first[seed + 1] - self.first[seed]
         if not times.any():
@@ -172,7 +178,9 @@ class Block:
         best: dict[int, tuple[float, int, int]] = {}
         if not open_.any():
             return []
-        known = np.zeros(self.base, bool)
+        if len(self.marks) != self.base:
+            self.marks = np.zeros(self.base, bool)
+        known = self.marks  # none is set between calls
         for k, a, b in zip(item[edges[open_]].tolist(), place[edges[open_]].tolist(), place[ends[open_]].tolist(), strict=True):
             words = self.words[k]
             reach = len(words)
@@ -209,8 +217,8 @@ def count_seeds(docs: DataFrame, block: Block) -> np.ndarray:
         block = sent.value
         vocabulary, total = Vocabulary(block.known), np.zeros(len(block.codes), np.int64)
         for batch in batches:
-            for text in binary_rows(batch, "body"):
-                total[np.unique(block.seeds(block.numbers(text, vocabulary))[1])] += 1
+            for n in block.numbers(binary_rows(batch, "body"), vocabulary):
+                total[np.unique(block.seeds(n)[1])] += 1
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
 
@@ -230,7 +238,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str], least: floa
     out = docs.select(*keep, text_bytes().alias("_body"), F.array().cast(MATCHES).alias("matches"))
     for items in blocks(benchmark):
         block = Block(items, least=least)
-        if not block.ids:
+        if not block.ids and not block.whole:
             continue
         block.mark_rare(count_seeds(docs.select(text_bytes().alias("body")), block))
         sent = docs.sparkSession.sparkContext.broadcast(block)
@@ -240,7 +248,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str], least: floa
             block = sent.value
             vocabulary = Vocabulary(block.known)
             for batch in batches:
-                found = [[dict(zip(("item_id", "similarity", "first_word", "last_word"), m, strict=True)) for m in block.matches(block.numbers(t, vocabulary))] for t in binary_rows(batch, "_body")]
+                found = [[dict(zip(("item_id", "similarity", "first_word", "last_word"), m, strict=True)) for m in block.matches(n)] for n in block.numbers(binary_rows(batch, "_body"), vocabulary)]
                 at = batch.schema.get_field_index("matches")
                 found = [a + b for a, b in zip(batch.column(at).to_pylist(), found, strict=True)]
                 yield batch.set_column(at, "matches", pa.array(found, _ARROW))

@@ -43,9 +43,9 @@ KEYS = 64
 BROADCAST_ROWS = 500_000
 
 
-def shingle_set(text: bytes, k: int) -> np.ndarray:
-    """The distinct shingles' hashes in ascending order; words part at white space, A-Z in lower case."""
-    return np.unique(shingle_hashes(word_hashes(text.lower()), k))
+def shingle_sets(texts: list[bytes], k: int) -> Iterator[np.ndarray]:
+    """Of each text in turn, the distinct shingles' hashes in ascending order; words part at white space, A-Z in lower case."""
+    return (np.unique(shingle_hashes(words, k)) for words in word_hashes([t.lower() for t in texts]))
 
 
 def fingerprint(own: np.ndarray) -> int:
@@ -107,7 +107,7 @@ def common_shingles(docs: DataFrame, k: int, sample: int = SAMPLE, one_in: int =
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("shingles")
         for batch in batches:
-            own = [shingle_set(t, k) for t in binary_rows(batch, "body")]
+            own = list(shingle_sets(binary_rows(batch, "body"), k))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else [], pa.int64())], ["s"])
 
     some = docs if n <= sample else docs.where(F.pmod(F.xxhash64("body"), F.lit(1 << 30)) < max(sample * (1 << 30) // n, (1 << 30) // one_in))
@@ -127,8 +127,7 @@ def nodes_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
         begin("shingles")
         for batch in batches:
             n, node, bits, pre = [], [], [], []
-            for text in binary_rows(batch, "body"):
-                own = shingle_set(text, k)
+            for own in shingle_sets(binary_rows(batch, "body"), k):
                 n.append(len(own))
                 node.append(fingerprint(own) if len(own) else None)
                 bits.append(bitmap(own, 64 * WORDS).tobytes() if len(own) else None)
@@ -408,7 +407,7 @@ def _members(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         begin("shingles")
         for batch in batches:
-            own = [shingle_set(t, k) for t in binary_rows(batch, "body")]
+            own = list(shingle_sets(binary_rows(batch, "body"), k))
             columns = [[fingerprint(x) for x in own], [len(x) for x in own], [wide(x).tobytes() for x in own], [x.tobytes() for x in own]]
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["node", "n", "wide", "own"])
 

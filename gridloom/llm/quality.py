@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import TwoGenerations, begin, binary_rows, mix64, prepare, shingle_hashes, table, text_bytes
+from gridloom.llm.common import TwoGenerations, begin, binary_rows, mix64, prepare, shingle_hashes, table, text_bytes, word_values
 
 WORDS, SHAPES, DIM, REACH = 1536, 512, 32, 2
 UNITS = WORDS + SHAPES
@@ -65,11 +65,7 @@ def index_vectors() -> np.ndarray:
 
 
 def units_of(texts: list[bytes], units: Units) -> list[np.ndarray]:
-    out = []
-    for t in texts:
-        parts = t.split()
-        out.append(np.fromiter(map(units.__getitem__, parts), np.int64, len(parts)))
-    return out
+    return list(word_values(texts, units.__getitem__))
 
 
 CHUNKS, SALTS = 8, 16
