@@ -141,9 +141,75 @@ def test_quality_of_odd_rows(spark, odd):
     assert quality.scores(odd.where("false").select("doc_id", "text"), vectors, net).count() == 0
 
 
+def plain_index(h):
+    out = np.zeros(quality.DIM)
+    for at, sign in zip(*(x[0] for x in quality.index_entries(np.array([h], np.uint64))), strict=True):
+        out[at] += sign
+    return out
+
+
+def test_quality_against_plain_loops(spark):
+    """Context sums, loads, pooled features and scores of whole documents, word by word."""
+    texts = [None, "", "One two, three. one", "two three\ntwo three", "x1 AB-9! one", "Dos uno: tres", "one", "a b " * 300]
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(len(texts))], "doc_id long, quality int, toxic int")
+    docs = documents(spark, texts).repartition(3)
+    sketch, net = quality.fit(docs, labels)
+    units = quality.Units()
+    sums, load = np.zeros((quality.UNITS, quality.DIM), int), np.zeros(quality.UNITS, int)
+    words = [[units[w.encode()] for w in (t or "").split()] for t in texts]
+    assert units[b"One"] == units[b"one,"] and units[b"x1"] == units[b"y77"] != units[b"xy"]
+    place = {h: sorted({int(x) for x in quality.units_of(np.array([h], np.uint64))[:, 0]}) for own in words for h in own}
+    for own in words:
+        for i, h in enumerate(own):
+            for u in place[h]:
+                load[u] += 1
+                for j in range(max(0, i - quality.REACH), min(len(own), i + quality.REACH + 1)):
+                    if j != i:
+                        sums[u] += plain_index(own[j]).astype(int)
+    assert (sketch.sums == sums).all() and (sketch.load == load).all()
+    got = {r.doc_id: r.score for r in quality.scores(documents(spark, texts).select("doc_id", "text"), sketch, net).collect()}
+    for i, own in enumerate(words):
+        rows = []
+        for h in own:
+            u = min(place[h], key=lambda u: (load[u], place[h].index(u)))
+            f = sums[u].astype(float)
+            rows.append(np.concatenate([(f / max(1.0, np.sqrt((f**2).sum()))).astype(np.float32), plain_index(h) / 2]))
+        x = np.zeros(quality.FEATURES)
+        if rows:
+            mean = sum(rows) / len(rows)
+            lines, t = texts[i].split("\n"), texts[i].encode()
+            runs = {tuple(own[j : j + 6]) for j in range(max(1, len(own) - 5))}
+            x[:] = [*mean, *np.sqrt(sum((r - mean) ** 2 for r in rows) / len(rows)), np.log1p(len(own)), len(set(lines)) / len(lines), len(runs) / max(1, len(own) - 5), sum(h & 1 == 0 for h in own) / len(own), len(t) / len(own) / 10]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-net.logits(x[None])[0] / net.temperature)), abs=1e-6)
+
+
+def test_gradients_and_temperature():
+    rng = np.random.default_rng(5)
+    z, y = rng.normal(size=(40, 6)), rng.integers(0, 2, 40).astype(float)
+    p = [rng.normal(size=(6, 4)), rng.normal(size=4), rng.normal(size=4), rng.normal(size=1)]
+    full = lambda: quality.log_loss(z, y, p) + quality.DECAY / 2 * ((p[0] ** 2).sum() + (p[2] ** 2).sum())
+    for part, grad in zip(p, quality.gradients(z, y, p), strict=True):
+        for at in np.ndindex(part.shape):
+            keep, step = part[at], 1e-6
+            part[at] = keep + step
+            up = full()
+            part[at] = keep - step
+            assert grad[at] == pytest.approx((up - full()) / (2 * step), abs=1e-6)
+            part[at] = keep
+    x = rng.normal(size=(2000, 5))
+    y = (x[:, 0] + 0.7 * rng.normal(size=2000) > 0).astype(float)
+    net = quality.train(x[:1500], y[:1500])
+    score = net.probabilities(x[1500:])
+    assert net.learned and ((score > 0.5) == (y[1500:] > 0)).mean() > 0.7
+    for a in np.arange(0, 1, 0.2):  # calibrated: among rows scored alike, the share of label 1 is near the score
+        own = (score >= a) & (score < a + 0.2)
+        assert own.sum() < 20 or abs(y[1500:][own].mean() - score[own].mean()) < 0.15
+
+
 def test_context_sums_do_not_depend_on_partitions(spark):
     docs = C.table(spark, SF, "documents").select(C.text_bytes().alias("body"))
-    assert (quality.context_sums(docs.repartition(5)) == quality.context_sums(docs.coalesce(1))).all()
+    a, b = quality.context_sums(docs.repartition(5)), quality.context_sums(docs.coalesce(1))
+    assert (a.sums == b.sums).all() and (a.load == b.load).all()
 
 
 # ---- 3
@@ -729,6 +795,10 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     for n, rows, schema in (("documents", [(i, t, None, None, None, "x") for i, t in enumerate(TEXTS)], "doc_id long, text string, lang string, source string, n_chars long, score string"), ("labels", [], "doc_id long, quality int, toxic int"), ("benchmark", [], "item_id long, text string")):
         spark.createDataFrame(rows, schema).write.parquet(f"{tmp_path}/{n}.parquet")
     docs = C.table(spark, str(tmp_path), "documents")
-    for name, stage in corpus_pipeline.STAGES[1:]:
+    for name, stage in corpus_pipeline.STAGES:
         docs = C.staged(stage(spark, docs, str(tmp_path)), "odd")
     assert docs.select("doc_id").distinct().count() == len(TEXTS) - 1
+    empty = C.table(spark, str(tmp_path), "documents").where("false")
+    for name, stage in corpus_pipeline.STAGES:
+        empty = C.staged(stage(spark, empty, str(tmp_path)), "empty")
+    assert empty.count() == 0
