@@ -17,10 +17,12 @@ BROADCAST_ROWS = 200_000
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops the documents whose quality score is below the cut."""
+    """Drops the documents whose quality score is below the cut; none where the labels teach nothing."""
     docs = docs.select(*DOCUMENT_COLUMNS)
-    vectors, net = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scores(docs, vectors, net).where(F.col("score") >= quality.CUT).select(*DOCUMENT_COLUMNS)
+    sketch, net = quality.fit(docs, table(spark, sf_dir, "labels"))
+    if not net.learned:
+        return docs
+    return quality.scores(docs, sketch, net).where(F.col("score") >= quality.CUT).select(*DOCUMENT_COLUMNS)
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
