@@ -63,17 +63,41 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def release(make, name: str) -> DataFrame:
-    """The table that make() gives, staged; the tables that were staged for it are removed."""
+    """The table that make() gives, staged; the tables that were staged on the way to it are removed."""
     held = len(_STAGED)
-    out = make()
-    mine = _STAGED[held:]
-    out = staged(out, name)
-    del _STAGED[held:]
-    for path in mine:
-        remove(out.sparkSession, path)
+    out = staged(make(), name)
+    *mine, path = _STAGED[held:]
+    _STAGED[held:] = [path]
+    for x in mine:
+        remove(out.sparkSession, x)
     return out
 
 
+#: Rows of a key from which on a join spreads them, at least; and how many such keys there are at most, in shares of all.
+HOT_ROWS, HOT_SHARE = 1000, 10_000
+
+
+def spread_join(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """A left join on `key`, of which right has one row each. Rows of a key with very many are dealt to several tasks: such
+    keys, HOT_SHARE at most, are broadcast."""
+    counts = staged(left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count("*").alias("_n")), "key-counts")
+    limit = max(HOT_ROWS, (counts.agg(F.sum("_n")).first()[0] or 0) // HOT_SHARE)
+    hot = counts.where(F.col("_n") > limit).select(key, F.ceil(F.col("_n") / limit).cast("int").alias("_parts"))
+    part = F.when(F.col("_parts").isNotNull(), F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.col("_parts")).cast("int"))
+    # rows without a key are spread too: they get one that right doesn't have
+    salt = F.coalesce(part, F.when(F.col(key).isNull(), (F.rand(5) * 1e6).cast("int")), F.lit(0))
+    left = left.join(F.broadcast(hot), key, "left").withColumn("_salt", salt).drop("_parts")
+    many = F.sequence(F.lit(0), F.coalesce("_parts", F.lit(1)) - 1)
+    right = right.join(F.broadcast(hot), key, "left").withColumn("_salt", F.explode(many)).drop("_parts")
+    return left.join(right, [key, "_salt"], "left").drop("_salt")
+
+
+def text_key(column: str = "text") -> Column:
+    """Sixteen bytes of a text's SHA-256, none for null: rows that share it have the same text."""
+    digest = F.unhex(F.substring(F.sha2(F.col(column).cast("binary"), 256), 1, 32))
+    return F.when(F.col(column).isNull(), F.lit("").cast("binary")).otherwise(digest)
+
+
 def text_bytes(column: str = "text") -> Column:
     """A text as UTF-8 bytes, null as none."""
     return F.coalesce(F.col(column), F.lit("")).cast("binary")

@@ -22,21 +22,24 @@ other columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import begin, binary_rows, mix64, prepare, shingle_hashes, staged, table, text_bytes, word_hashes
+from gridloom.llm.common import HOT_ROWS, HOT_SHARE, begin, binary_rows, mix64, prepare, release, shingle_hashes, spread_join, staged, table, text_bytes, text_key, word_hashes
 
 WORDS = 16  # of 64 bits in a bitmap
 LEAF, FAN = 16, 8
 #: The sample that finds common shingles: so many documents, or one in so many if that is more; and the most shingles
 #: that count as common. These change the order of shingles, and with it costs, but no result.
 SAMPLE, ONE_IN, COMMON = 4000, 16, 1 << 20
+#: Pairs that a task gives at a time.
+PAIRS = 1 << 16
 #: Members of a group that one task takes; larger groups are parted.
-BLOCK = 20_000
+BLOCK = 5000
 #: The most of its groups, the first ones, that a node lists; see candidates.
 KEYS = 64
 #: Keys of two numbers that may be broadcast.
@@ -115,7 +118,7 @@ def common_shingles(docs: DataFrame, k: int, sample: int = SAMPLE, one_in: int =
     return got.select("s").toArrow()["s"].to_numpy().view(np.uint64)  # eight bytes each, `most` at most
 
 
-SETS = "doc_id long, h long, n long, node long, bits binary, prefix array<long>"
+SETS = "doc_id long, h binary, n long, node long, bits binary, prefix array<long>"
 
 
 def nodes_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
@@ -256,36 +259,34 @@ def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
         held: dict[str, list] = {}
         now = None
 
-        def solved() -> tuple[list[int], list[int]]:
+        def solved() -> Iterator[pa.RecordBatch]:
             order = np.lexsort((held["node"], held["n"], held["comp"]))
             node, n, comp = (np.array(held[c], np.int64)[order] for c in ("node", "n", "comp"))
             bits = np.frombuffer(b"".join(held["bits"]), np.uint64).reshape(-1, WORDS)[order]
             tree = Tree(n, bits, np.unique(comp, return_inverse=True)[1], node)
             if mode == "screen":
-                found = node[tree.partnered(num, den)].tolist()
-                return found, found
-            pairs = tree.drawn(num, den) if mode == "some" else tree.pairs(num, den, mode == "every")
+                found = pa.array(node[tree.partnered(num, den)], pa.int64())
+                yield pa.RecordBatch.from_arrays([found, found], ["a", "b"])
+                return
+            pairs = iter(tree.drawn(num, den) if mode == "some" else tree.pairs(num, den, mode == "every"))
             if mode != "span":
                 grp = held["grp"][0]
                 before = [{x for x in held["keys"][i] if x < grp} for i in order.tolist()]
                 pairs = ((u, v) for u, v in pairs if before[u].isdisjoint(before[v]))
-            found = [(int(min(node[u], node[v])), int(max(node[u], node[v]))) for u, v in pairs]
-            return [a for a, _ in found], [b for _, b in found]
+            while some := list(islice(pairs, PAIRS)):
+                ends = node[np.array(some, np.int64)]
+                yield pa.RecordBatch.from_arrays([pa.array(ends.min(1)), pa.array(ends.max(1))], ["a", "b"])
 
         for batch in batches:
-            left, right = [], []
             for key, *row in zip(*(batch.column(i).to_pylist() for i in range(len(columns))), strict=True):
                 if key != now:
                     if now is not None and len(held["node"]) > 1:
-                        a, b = solved()
-                        left, right = left + a, right + b
+                        yield from solved()
                     now, held = key, {c: [] for c in columns[1:]}
                 for c, v in zip(held, row, strict=True):
                     held[c].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
         if now is not None and len(held["node"]) > 1:
-            a, b = solved()
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+            yield from solved()
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.select(*columns).repartition(parts, "key").sortWithinPartitions("key")
@@ -345,14 +346,17 @@ def components(links: DataFrame) -> DataFrame:
 def _routed(docs: DataFrame, k: int, num: int, den: int) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """The documents as bytes; their sets, all and those with shingles; and the groups that the sets are routed to."""
     prepare(docs.sparkSession)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("h"), text_bytes().alias("body"))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_key().alias("h"), text_bytes().alias("body"))
     every = staged(nodes_of(rows, k, num, den), "sets")
     some = every.where("node is not null")
     # one row for each distinct set, then for each shingle of its prefix, then for each group with several members
-    w = Window.partitionBy("s")
-    own = some.groupBy("node").agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("s"), "node")
-    own = own.withColumn("size", F.count("*").over(w)).where("size > 1")
-    own = own.withColumn("key", F.xxhash64("size", F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).over(w), F.min("node").over(w), F.max("node").over(w)))
+    own = staged(some.groupBy("node").agg(F.first("prefix").alias("prefix")).select(F.explode("prefix").alias("s"), "node"), "prefixes")
+    sizes = own.groupBy("s").agg(F.count("*").alias("size"), F.sum(F.xxhash64("node").bitwiseAND(F.lit((1 << 40) - 1))).alias("sum"), F.min("node").alias("least"), F.max("node").alias("most")).where("size > 1")
+    keys = sizes.select("s", "size", F.xxhash64("size", "sum", "least", "most").alias("key"))
+    # shingles of very many nodes are few and broadcast, so their rows stay spread
+    limit = max(HOT_ROWS, own.count() // HOT_SHARE)
+    keys = staged(keys, "shingle-keys")
+    own = own.join(F.broadcast(keys.where(F.col("size") > limit)), "s").unionByName(own.join(keys.where(F.col("size") <= limit), "s"))
     groups = staged(own.select("key", "node", "size").distinct(), "groups")
     return rows, every, some, groups
 
@@ -375,14 +379,19 @@ def links(docs: DataFrame, k: int, num: int, den: int, block: int = BLOCK) -> tu
 
 def classes(docs: DataFrame, k: int, num: int, den: int, block: int = BLOCK) -> DataFrame:
     """Of each document: doc_id, h (a hash of its text), n_shingles, component_id. Similar: Jaccard of num / den or more."""
-    rows, every, some, groups = _routed(docs, k, num, den)
-    labels = None if groups.isEmpty() else _links(groups, some, rows, k, num, den, block)
-    out = every.select("doc_id", "h", "n", "node")
-    out = out.withColumn("comp", F.col("node")) if labels is None else out.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    # an empty set is its own component, whose key must not be shared
-    least = out.where("comp is not null").groupBy("comp").agg(F.min("doc_id").alias("least"))
-    out = out.join(least, "comp", "left")
-    return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+    def make() -> DataFrame:
+        rows, every, some, groups = _routed(docs, k, num, den)
+        labels = None if groups.isEmpty() else _links(groups, some, rows, k, num, den, block)
+        least = some.groupBy("node").agg(F.min("doc_id").alias("least"))
+        if labels is not None:
+            both = least.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+            least = spread_join(staged(both, "nodes"), both.groupBy("comp").agg(F.min("least").alias("first")), "comp").select("node", F.col("first").alias("least"))
+        out = spread_join(every.select("doc_id", "h", "n", "node"), least, "node")
+        # an empty set is its own component
+        return out.select("doc_id", "h", F.col("n").alias("n_shingles"), F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"))
+
+    return release(make, "classes")
 
 
 def parted(members: DataFrame, block: int, mode: str) -> DataFrame:
@@ -431,8 +440,8 @@ def _links(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num: in
     for turn in ("span", "some", "every"):
         now = grouped.withColumn("comp", F.col("node")) if labels is None else grouped.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if labels is not None:
-            w = Window.partitionBy("key")
-            now = now.withColumn("open", F.min("comp").over(w) < F.max("comp").over(w)).where("open")
+            open_ = now.groupBy("key").agg(F.min("comp").alias("one"), F.max("comp").alias("other")).where("one < other").select("key")
+            now = spread_join(staged(now, "turn"), staged(open_.withColumn("open", F.lit(True)), "open"), "key").where("open").drop("open")
         if turn != "span":
             now = _listed(now)
         pairs = staged(candidates(parted(now, block, turn), num, den, turn), "pairs")

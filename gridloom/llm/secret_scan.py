@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import staged, table
+from gridloom.llm.common import staged, table, text_key
 
 _VALUE = r"""["']?\x20*[:=]\x20*["']?"""
 #: (kind, pattern, group whose length counts, its least length), in the order in which equal starts are listed.
@@ -40,7 +40,7 @@ _SECRETS, _NAMES, _PLACES = ("assign", "hex", "weak", "blob"), ("access", "ident
 
 def row_key() -> Column:
     """A key that rows share only if they have the same id and text."""
-    return F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("d"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("h"), F.length(F.coalesce("text", F.lit(""))).alias("n"))
+    return F.struct(F.coalesce(F.col("doc_id").cast("string"), F.lit("-")).alias("d"), text_key().alias("h"))
 
 
 def match_lengths(docs: DataFrame) -> DataFrame:
@@ -99,7 +99,9 @@ def scan(docs: DataFrame, scope: int = SCOPE) -> DataFrame:
         return F.size(F.filter("s", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
     rows = rows.select("row", *map(count, base), listed(F.filter("s", lambda s: s["k"] < BASE)).alias("base"), listed(F.col("s")).alias("spans"))
-    out = lengths.select("row", "doc_id").join(rows, "row", "left")
+    # rows without any match need no join, and may be many with one key
+    some = F.greatest(*(F.col(k).isNotNull() for k, *_ in KINDS))
+    out = lengths.where(some).select("row", "doc_id").join(rows, "row", "left").unionByName(lengths.where(~some).select("row", "doc_id"), allowMissingColumns=True)
     zero = [F.coalesce(f"n_{k}", F.lit(0).cast("long")).alias(f"n_{k}") for k in base]
     return out.select("row", "doc_id", *zero, F.sha2(F.coalesce("base", F.lit("")), 256).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"))
 

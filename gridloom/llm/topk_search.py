@@ -1,20 +1,23 @@
 """Operator 3, exact top-k search: ball-tree branch and bound in each shard, with a shared current kth score.
 
-Each partition of the candidates is a shard with a ball tree of its own. A block of queries goes to all shards with a
-kth score that is already reached among the block's own vectors (they are candidates too). In a shard, nodes are opened
-in order of their upper bound q.c + |q|r on the inner product; the search of a query ends when the best bound left is
-below its kth score, which the shared one and the shard's finds both raise. Equal vectors are one point of the tree that
-keeps the rows it may need: the first k besides those of any one id, 2 k at most, so a common vector doesn't slow the
-ties down.
+Candidates are cut into shards of bounded size, each with a ball tree of its own, built once and written. Blocks of queries,
+as many as fit a bounded broadcast, go to the shards in two turns: to a sixteenth of the shards with a kth score that is
+already reached among some of the queries' own vectors (they are candidates too), then to all others with the kth score
+that the first turn reached. In a shard, nodes are opened in order of their upper bound q.c + |q|r on the inner product;
+the search of a query ends when the best bound left is below its kth score, which the shared one and the shard's finds
+both raise. Equal vectors are one point of the tree that keeps the rows it may need: the first k besides those of any one
+id, 2 k at most, so a common vector doesn't slow the ties down.
 
 Rows. Vectors that are null, or hold nulls or non-finite components, and rows without an id take no part. Components
 that one vector lacks count as 0. Rows that share an id are one query (the smallest vector), and none of them is a
-candidate of that query. Other columns are ignored. An empty table, or one without queries, gives no rows.
+candidate of that query. Scores beyond 64 bits become the nearest number of 64 bits. Other columns are ignored. An empty
+table, or one without queries, gives no rows.
 """
 
 from __future__ import annotations
 
 import heapq
+import pickle
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,11 +25,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import staged, table
+from gridloom.llm.common import BATCH_ROWS, release, staged, table
 
 LEAF = 48
-#: Queries that are sent to all shards at once.
-BLOCK = 4096
+#: Rows of a shard, queries that are sent to all shards at once, and queries whose vectors give the first kth scores.
+SHARD, BLOCK, PROBES = 1 << 16, 1 << 15, 2048
+#: One in so many shards takes the first turn.
+FIRST = 16
 #: Above this, sums of products may not be exact in a double, and Python's integers are used.
 EXACT = 1 << 22
 
@@ -99,6 +104,12 @@ class BallTree:
         self.centres, self.radii = np.array(centres), np.array(radii)
         self.sorted = self.x[self.order].astype(np.float64) if self.exact else self.x[self.order].astype(object)
 
+    def widen(self, width: int) -> None:
+        """Adds components of 0 up to `width`."""
+        more = width - self.x.shape[1]
+        if more:
+            self.x, self.centres, self.sorted = (np.pad(a, ((0, 0), (0, more))) for a in (self.x, self.centres, self.sorted))
+
     def search(self, query: np.ndarray, own: int, k: int, least: int | None) -> list[tuple[int, int]]:
         """The k best (score, -id), without the id `own`; scores below `least` may be left out."""
         q = query.astype(np.float64)
@@ -134,63 +145,106 @@ class BallTree:
 
 
 def shared_bounds(ids: np.ndarray, queries: np.ndarray, k: int) -> list[int | None]:
-    """Of each query, the kth best score among the other queries, which the kth best of all can't fall below."""
-    if len(ids) <= k or not (np.abs(queries) <= EXACT).all():
+    """Of each query, the kth best score among some other queries, which the kth best of all can't fall below."""
+    probes = np.arange(0, len(ids), max(1, len(ids) // PROBES))[:PROBES]
+    if len(probes) <= k or not (np.abs(queries) <= EXACT).all():
         return [None] * len(ids)
     f = queries.astype(np.float64)
     out: list[int | None] = []
     for at in range(0, len(ids), 512):
-        scores = f[at : at + 512] @ f.T
-        scores[np.arange(len(scores)), at + np.arange(len(scores))] = -np.inf
+        scores = f[at : at + 512] @ f[probes].T
+        scores[ids[at : at + 512, None] == ids[probes]] = -np.inf
         out += [int(x) for x in -np.partition(-scores, k - 1, axis=1)[:, k - 1]]
     return out
 
 
-def search_block(vectors: DataFrame, ids: np.ndarray, queries: np.ndarray, k: int) -> DataFrame:
+def build_trees(vectors: DataFrame, k: int, shard: int = SHARD) -> DataFrame:
+    """number, tree: the written ball trees of all shards, each of `shard` rows or fewer of one partition."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        number, names, rows = TaskContext.get().partitionId() << 20, [], []
+
+        def tree() -> pa.RecordBatch:
+            width = max(r.shape[1] for r in rows)
+            own = BallTree(np.array(names, np.int64), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in rows]), k)
+            return pa.RecordBatch.from_arrays([pa.array([number], pa.int64()), pa.array([pickle.dumps(own, 5)], pa.binary())], ["number", "tree"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, shard):
+                some = batch.slice(at, shard)
+                if names and len(names) + some.num_rows > shard:
+                    yield tree()
+                    number, names, rows = number + 1, [], []
+                names += some.column(0).to_pylist()
+                rows.append(matrix(some.column(1).to_pylist()))
+        if names:
+            yield tree()
+
+    return staged(vectors.mapInArrow(run, "number long, tree binary"), "ball-trees")
+
+
+def search_block(trees: DataFrame, ids: np.ndarray, queries: np.ndarray, least: list[int | None], k: int) -> DataFrame:
     """query_id, vec_id, score of each shard's best for a block of queries."""
-    spark = vectors.sparkSession
-    sent = spark.sparkContext.broadcast((ids, queries, shared_bounds(ids, queries, k)))
+    sent = trees.sparkSession.sparkContext.broadcast((ids, queries, least))
     limit = (1 << 63) - 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names, rows = [], []
         for batch in batches:
-            names += batch.column(0).to_pylist()
-            rows.append(matrix(batch.column(1).to_pylist()))
-        if not names:
-            return
-        ids, queries, least = sent.value
-        width = max(queries.shape[1], *(r.shape[1] for r in rows), 1)
-        tree = BallTree(np.array(names, np.int64), np.concatenate([np.pad(r, ((0, 0), (0, width - r.shape[1]))) for r in rows]), k)
-        queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
-        out: list[tuple[int, int, int]] = []
-        for own, q, bound in zip(ids.tolist(), queries, least, strict=True):
-            out += [(own, -v, max(-limit, min(limit, s))) for s, v in tree.search(q, own, k, bound)]
-        yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 3)], ["query_id", "vec_id", "score"])
-
-    return vectors.mapInArrow(run, "query_id long, vec_id long, score long")
-
-
-def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, block: int = BLOCK) -> DataFrame:
-    """query_id, rank, vec_id, score: each query's k best of all other rows. is_query: a condition on vec_id."""
-    q = quantised(vectors, scale)
-    asked = q.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q"))
-    n = asked.count()
-    if n > block:
-        asked = staged(asked.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(-(-n // block)))), "queries")
-    found: DataFrame | None = None
-    for part in range(max(1, -(-n // block))):
-        own = (asked if n <= block else asked.where(F.col("part") == part)).select("vec_id", "q").orderBy("vec_id").collect()
-        if own:
-            got = search_block(q, np.array([r.vec_id for r in own], np.int64), matrix([r.q for r in own]), k)
-            got = got if n <= block else staged(got, "found")
-            found = got if found is None else found.unionAll(got)
-    if found is None:
-        return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+            for data in batch.column(0).to_pylist():
+                tree = pickle.loads(data)
+                ids, queries, least = sent.value
+                width = max(queries.shape[1], tree.x.shape[1])
+                tree.widen(width)
+                queries = np.pad(queries, ((0, 0), (0, width - queries.shape[1])))
+                out: list[tuple[int, int, int]] = []
+                for own, q, bound in zip(ids.tolist(), queries, least, strict=True):
+                    out += [(own, -v, max(-limit, min(limit, s))) for s, v in tree.search(q, own, k, bound)]
+                yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (zip(*out, strict=True) if out else [()] * 3)], ["query_id", "vec_id", "score"])
+
+    return trees.select("tree").mapInArrow(run, "query_id long, vec_id long, score long")
+
+
+def best_of(found: DataFrame, k: int) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
+def top_k(vectors: DataFrame, is_query, k: int = 10, scale: int = 1024, block: int = BLOCK, shard: int = SHARD) -> DataFrame:
+    """query_id, rank, vec_id, score: each query's k best of all other rows. is_query: a condition on vec_id."""
+    return release(lambda: _top_k(vectors, is_query, k, scale, block, shard), "top-k")
+
+
+def _top_k(vectors: DataFrame, is_query, k: int, scale: int, block: int, shard: int) -> DataFrame:
+    spark = vectors.sparkSession
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    q = quantised(vectors, scale)
+    asked = staged(q.where(is_query).groupBy("vec_id").agg(F.min("q").alias("q")), "queries")
+    blocks = -(-asked.count() // block)
+    out = spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    if not blocks:
+        return out
+    trees = build_trees(q, k, shard)
+    one_turn = trees.count() < 2 * FIRST
+    for part in range(blocks):
+        own = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == part).orderBy("vec_id").collect()  # a block of queries
+        if not own:
+            continue
+        ids, queries = np.array([r.vec_id for r in own], np.int64), matrix([r.q for r in own])
+        least = shared_bounds(ids, queries, k)
+        turns = [F.lit(True)] if one_turn else [F.pmod(F.xxhash64("number"), F.lit(FIRST)) == 0, F.pmod(F.xxhash64("number"), F.lit(FIRST)) != 0]
+        found = None
+        for turn in turns:
+            got = search_block(trees.where(turn), ids, queries, least, k)
+            found = staged(best_of(got if found is None else found.drop("rank").unionAll(got), k), "found")
+            if turn is not turns[-1]:  # the kth scores that the first shards reached, a row for each query of the block
+                reached = {r.query_id: r.score for r in found.where(F.col("rank") == k).select("query_id", "score").collect()}
+                least = [max((x for x in (b, reached.get(i)) if x is not None), default=None) for i, b in zip(ids.tolist(), least, strict=True)]
+        out = out.unionAll(found)
+    return out
+
+
 def op3_topk_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0)
 

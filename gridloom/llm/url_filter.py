@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import binary_rows, staged, table
+from gridloom.llm.common import binary_rows, release, staged, table
 
 #: (rule, verdict), a host and the start of a path.
 RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "block"), ("example.net/de/8", "block"), ("org/es/", "block"))
@@ -159,7 +159,12 @@ def scored(rows: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def judge(pages: DataFrame, rules=RULES) -> DataFrame:
-    """page_id, host, path, rule, verdict, and the ratio and threshold that verdicts without a rule come from."""
+    """page_id, host, path, rule, verdict, and the ratio and threshold that verdicts without a rule come from; held: rows
+    that a rule judges and the models haven't learnt from."""
+    return release(lambda: _judged(pages, rules), "judged-pages")
+
+
+def _judged(pages: DataFrame, rules) -> DataFrame:
     host, path = host_and_path()
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = rule_and_verdict(rules)
@@ -172,7 +177,7 @@ def judge(pages: DataFrame, rules=RULES) -> DataFrame:
     out = staged(scored(rows, count_contexts(learnt)), "scored-pages")
     cut = calibrated(out.where(known & held).select("kind", "llr")) if both else 0.0
     says = F.when((F.col("llr") >= cut) | F.lit(not both), "allow").otherwise("block")
-    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", says).alias("verdict"), "llr", F.lit(cut).alias("threshold"))
+    return out.select("page_id", "host", "path", "rule", F.coalesce("by_rule", says).alias("verdict"), "llr", F.lit(cut).alias("threshold"), (known & held).alias("held"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -221,8 +221,8 @@ def test_topk_against_brute_force(spark):
     rows = [(i, v) for i, v in enumerate(base)] + [(i, [0.5] * 6) for i in range(300, 400)]
     rows += [(400, None), (401, [1.0, None]), (402, [float("nan")] * 6), (403, [float("inf")] * 6), (None, [1.0] * 6), (500, [0.5] * 6)]
     df = spark.createDataFrame([(i, v, 0) for i, v in rows], "vec_id long, embedding array<float>, rank int").repartition(5)
-    for block in (4096, 2):
-        got = sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 100 == 0, 10, block=block).collect()))
+    for block, shard in ((4096, 1 << 16), (2, 1 << 16), (4096, 7)):
+        got = sorted(map(tuple, topk_search.top_k(df, F.col("vec_id") % 100 == 0, 10, block=block, shard=shard).collect()))
         ok = [(i, np.floor(1024 * np.array(v, np.float32).astype(float)).astype(int)) for i, v in rows if i is not None and v and None not in v and np.isfinite(v).all()]
         want = []
         for i, q in ok:
@@ -268,6 +268,31 @@ def test_secret_spans(spark):
     assert secret_scan.scan(documents(spark, ["x"]).where("false")).count() == 0
 
 
+def test_weak_parts_against_all_pairs(spark):
+    rng = np.random.default_rng(13)
+    found = []
+    for row in range(40):
+        for _ in range(rng.integers(0, 12)):
+            a = int(rng.integers(0, 2000))
+            found.append((str(row), str(rng.choice([k for k, *_ in secret_scan.KINDS])), a, a + int(rng.integers(4, 300))))
+    found = sorted(set(found))
+    partners = {"ident": ("assign", "hex", "weak", "blob"), "endpoint": ("assign", "hex", "weak"), "weak": ("access", "ident", "endpoint"), "blob": ("access", "ident")}
+    want = set()
+    for row, kind, a, b in found:
+        for other, what, c, d in found:
+            if row == other and what in partners.get(kind, ()) and a - d <= 256 and c - b <= 256:
+                want.add((row, kind, a, b))
+    df = spark.createDataFrame(found, "row string, kind string, start long, end long")
+    got = [tuple(r) for r in secret_scan.linked(df).collect()]
+    assert set(got) == want and len(want) > 50 and len(want) < sum(k in partners for _, k, *_ in found)
+
+
+def test_many_equal_rows_and_a_long_text(spark):
+    many = documents(spark, [None] * 300 + [""] * 300 + ["x " * 2_000_000 + "token=abcdefghijklmnop"], [None] * 600 + [1])
+    got = secret_scan.scan(many).collect()
+    assert len(got) == 601 and [r.spans for r in got if r.doc_id == 1] == ["assign:4000000:4000022"]
+
+
 # ---- 5
 
 
@@ -352,6 +377,30 @@ def test_url_rules_and_models(spark):
     assert url_filter.judge(df.where("page_id < 3")).where("verdict = 'allow'").count() == 3
 
 
+def test_urls_are_parsed_as_by_hand(spark):
+    rng = np.random.default_rng(14)
+    bits = ["http", "://", "a.COM", "example.com", "EXAMPLE.net", "org", ".", "/en/", "/de/8", "/es/", "7", "?q=", "#f", "/", "é", ":", "İ.com"]
+    urls = ["".join(rng.choice(bits, rng.integers(1, 7))) for _ in range(1500)]
+    df = spark.createDataFrame([(i % 1400 if i % 7 else None, u) for i, u in enumerate(urls)], "page_id long, url string")
+    got = sorted((str(r.page_id), r.host, r.path, str(r.rule), r.verdict if r.rule else "") for r in url_filter.judge(df).collect())
+    want = []
+    for i, u in enumerate(urls):
+        rest = u.split("://", 1)[1] if "://" in u else ""
+        host, path = re.match(r"([^/?#]*)([^?#]*)", rest).groups()
+        host = "".join(c.lower() if c.isascii() else c for c in host)
+        fits = [(r, v) for r, v in url_filter.RULES if (host == r.split("/")[0] or host.endswith("." + r.split("/")[0])) and path.startswith(r[r.index("/") :])]
+        rule, verdict = max(fits, key=lambda x: len(x[0])) if fits else (None, "")
+        want.append((str(i % 1400 if i % 7 else None), host, path, str(rule), verdict))
+    assert got == sorted(want)
+
+
+def test_url_models_tell_held_out_rows_apart(spark):
+    got = url_filter.judge(C.table(spark, SF.replace("0.001", "0.1"), "pages")).where("held").select("rule", "llr", "threshold").toPandas()
+    allowed = got.rule == "example.com/en/7"
+    right = (got.llr >= got.threshold) == allowed
+    assert len(got) > 100 and right[allowed].mean() > 0.8 and right[~allowed].mean() > 0.8, (right[allowed].mean(), right[~allowed].mean())
+
+
 def test_url_models_count_every_context_by_itself(spark):
     rng = np.random.default_rng(9)
     parts = ["".join(chr(97 + v) for v in rng.integers(0, 26, 30)) for _ in range(1500)]
