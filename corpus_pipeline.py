@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gridloom.llm import decontaminate, jaccard_join, packing, quality, secret_scan
-from gridloom.llm.common import DOCUMENT_COLUMNS, staged, table, tokenizer_path
+from gridloom.llm.common import DOCUMENT_COLUMNS, release, staged, table, text_key, tokenizer_path
 
 #: Flagged rows, of two numbers and a short text, that may be broadcast.
 BROADCAST_ROWS = 200_000
@@ -31,10 +31,10 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Rows that repeat another's doc_id and text go. Of rows without a doc_id, those go that are like a row with one, or
     have the same text as another without.
     """
-    docs = docs.select(*DOCUMENT_COLUMNS).withColumn("_h", F.xxhash64("text")).withColumn("_d", F.coalesce("doc_id", F.lit(-1)))
-    kept = jaccard_join.classes(docs, 5, 80, 100).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = kept.select(F.coalesce("doc_id", F.lit(-1)).alias("_d"), F.col("h").alias("_h")).distinct()
-    return docs.join(kept, ["_d", "_h"], "left_semi").dropDuplicates(["_d", "_h"]).select(*DOCUMENT_COLUMNS)
+    docs = docs.select(*DOCUMENT_COLUMNS).withColumn("_h", text_key())
+    kept = jaccard_join.classes(docs, 5, 80, 100).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_d"), F.col("h").alias("_k")).distinct()
+    same = F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("_h") == F.col("_k"))
+    return docs.join(kept, same, "left_semi").dropDuplicates(["doc_id", "_h"]).select(*DOCUMENT_COLUMNS)
 
 
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -69,7 +69,10 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for i, (_, stage) in enumerate(STAGES):
-        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{i}")
-    return docs
+    def make() -> DataFrame:
+        docs = table(spark, sf_dir, "documents")
+        for i, (_, stage) in enumerate(STAGES):
+            docs = release(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), f"pipeline-{i}")
+        return docs
+
+    return release(make, "pipeline")
