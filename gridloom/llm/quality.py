@@ -72,25 +72,46 @@ def units_of(hashes: np.ndarray) -> np.ndarray:
 def index_entries(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """[n, ENTRIES]: the dimensions and signs of the words' index vectors."""
     h = mix64(hashes[:, None] + np.arange(1, ENTRIES + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(40) & np.uint64(1), 1.0, -1.0)
+    return (h % np.uint64(DIM)).astype(np.int64), np.where(h >> np.uint64(40) & np.uint64(1), 1, -1)
+
+
+def index_vectors(hashes: np.ndarray) -> np.ndarray:
+    """[n, DIM] index vectors."""
+    out = np.zeros((len(hashes), DIM), np.int8)
+    at, sign = index_entries(hashes)
+    row = np.arange(len(hashes))
+    for j in range(ENTRIES):
+        out[row, at[:, j]] += sign[:, j].astype(np.int8)
+    return out
 
 
 def add_contexts(total: np.ndarray, load: np.ndarray, texts: list[np.ndarray]) -> None:
     """Adds to total[unit, dimension] the index vectors of all neighbours, and to load[unit] the words."""
-    if not texts:
+    if not sum(map(len, texts)):
         return
     h = np.concatenate(texts)
-    doc = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
-    units, (at, sign) = units_of(h), index_entries(h)
-    twice = units[0] == units[1]
+    # places with a gap before, between and after the texts, so that nothing is beside what isn't its neighbour
+    place = np.arange(len(h)) + np.repeat(np.arange(1, len(texts) + 1) * REACH, [len(t) for t in texts])
+    order = np.argsort(h, kind="stable")
+    h, place = h[order], place[order]
+    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+    words, counts = h[first], np.diff(np.append(first, len(h)))
+    index = np.zeros((int(place.max()) + 1 + REACH, DIM), np.int8)
+    index[place] = np.repeat(index_vectors(words), counts, axis=0)
+    around = np.zeros_like(index)
+    for d in range(1, REACH + 1):
+        around[:-d] += index[d:]
+        around[d:] += index[:-d]
+    sums = np.add.reduceat(around[place], first, axis=0, dtype=np.int64)
+    units = units_of(words)
     for side in range(2):
-        ok = ~twice if side else np.ones(len(h), bool)
-        load += np.bincount(units[side][ok], minlength=UNITS)
-        for d in range(1, REACH + 1):
-            for left, right in ((slice(None, -d), slice(d, None)), (slice(d, None), slice(None, -d))):
-                own = ok[left] & (doc[left] == doc[right])
-                code = units[side][left][own][:, None] * DIM + at[right][own]
-                total += np.bincount(code.ravel(), sign[right][own].ravel(), UNITS * DIM).astype(np.int64)
+        own = np.arange(len(words)) if not side else np.flatnonzero(units[0] != units[1])  # a shape has one unit
+        own = own[np.argsort(units[side][own], kind="stable")]
+        if len(own):
+            unit = units[side][own]
+            start = np.flatnonzero(np.append(True, unit[1:] != unit[:-1]))
+            total[unit[start]] += np.add.reduceat(sums[own], start, axis=0)
+            load[unit[start]] += np.add.reduceat(counts[own], start)
 
 
 CHUNKS, SALTS = 8, 16
@@ -122,7 +143,7 @@ def context_sums(docs: DataFrame) -> Sketch:
         begin("units")
         from pyspark import TaskContext
 
-        units, total, load = Units(), np.zeros(UNITS * DIM, np.int64), np.zeros(UNITS, np.int64)
+        units, total, load = Units(), np.zeros((UNITS, DIM), np.int64), np.zeros(UNITS, np.int64)
         for batch in batches:
             some, held = [], 0
             for words in word_values(binary_rows(batch, "body"), units.__getitem__, np.uint64):
@@ -133,7 +154,7 @@ def context_sums(docs: DataFrame) -> Sketch:
                         add_contexts(total, load, some)
                         some, held = [], 0
             add_contexts(total, load, some)
-        parts = np.concatenate([total, load]).reshape(CHUNKS, width)
+        parts = np.concatenate([total.ravel(), load]).reshape(CHUNKS, width)
         salt = TaskContext.get().partitionId() % SALTS
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts])], ["chunk", "salt", "data"])
 
@@ -165,10 +186,7 @@ def pooled(text: bytes, hashes: np.ndarray, sketch: Sketch) -> np.ndarray:
     if n:
         words, counts = np.unique(hashes, return_counts=True)
         unit, share = sketch.chosen(words), counts / n
-        vectors = np.zeros((len(words), 2 * DIM))
-        vectors[:, :DIM] = sketch.vectors[unit]
-        at, sign = index_entries(words)
-        np.add.at(vectors, (np.arange(len(words))[:, None], DIM + at), sign / 2)
+        vectors = np.concatenate([sketch.vectors[unit], index_vectors(words) / 2], 1)
         mean = share @ vectors
         out[: 2 * DIM] = mean
         out[2 * DIM : 4 * DIM] = np.sqrt(np.maximum(0.0, share @ vectors**2 - mean**2))
