@@ -97,12 +97,12 @@ def add_contexts(total: np.ndarray, load: np.ndarray, texts: list[np.ndarray]) -
     first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
     words, counts = h[first], np.diff(np.append(first, len(h)))
     index = np.zeros((int(place.max()) + 1 + REACH, DIM), np.int8)
-    index[place] = np.repeat(index_vectors(words), counts, axis=0)
+    index[place] = index_vectors(words).take(np.repeat(np.arange(len(words)), counts), axis=0)
     around = np.zeros_like(index)
     for d in range(1, REACH + 1):
         around[:-d] += index[d:]
         around[d:] += index[:-d]
-    sums = np.add.reduceat(around[place], first, axis=0, dtype=np.int64)
+    sums = np.add.reduceat(around.take(place, axis=0), first, axis=0, dtype=np.int64)
     units = units_of(words)
     for side in range(2):
         own = np.arange(len(words)) if not side else np.flatnonzero(units[0] != units[1])  # a shape has one unit
