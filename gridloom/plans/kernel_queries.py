@@ -111,9 +111,9 @@ def region_colouring(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         nodes = sorted(set(pdf.a) | set(pdf.b))
         c = K.colour_graph(list(zip(pdf.a, pdf.b, strict=True)), nodes)
-        return pd.DataFrame({"image": [pdf.image.iloc[0]], "n_faces": [len(nodes)], "n_colors": [max(c.values()) + 1], "n_adj": [len(pdf)]})
+        return pd.DataFrame({"image": [pdf.image.iloc[0]], "n_faces": [len(nodes)], "n_adj": [len(pdf)], "conflicts": [sum(c[p] == c[q] for p, q in zip(pdf.a, pdf.b, strict=True))]})
 
-    return edges.groupBy("image").applyInPandas(run, "image string, n_faces long, n_colors long, n_adj long")
+    return edges.groupBy("image").applyInPandas(run, "image string, n_faces long, n_adj long, conflicts long")
 
 
 @query("livewire")
@@ -172,7 +172,7 @@ def convex_hull(spark, sf):
     def f(p):
         c = K.hull(p)
         area = abs(float(np.sum(c[:, 0] * np.roll(c[:, 1], -1) - np.roll(c[:, 0], -1) * c[:, 1]))) / 2
-        return {"hull_n": len(c), "defects": K.defects(p, c), "area": round(area, 2)}
+        return {"hull_n": len(c), "defects": K.defects(p, c), "area": round(area, 3)}
 
     return per_polyline(A.event_polylines(spark, sf), f, "hull_n long, defects long, area double")
 
@@ -219,7 +219,7 @@ def tps_rmse(spark, sf):
 def power_spectrum(spark, sf):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         p = K.power_spectrum(pdf.sort_values("n").s.to_numpy(), 32)
-        return pd.DataFrame({"clip": [pdf["clip"].iloc[0]], "frame": [pdf.frame.iloc[0]], "total": [round(float(2 * p.sum() - p[0] - p[-1]), 2)]})
+        return pd.DataFrame({"clip": [pdf["clip"].iloc[0]], "frame": [pdf.frame.iloc[0]], "total": [round(float(2 * p.sum() - p[0] - p[-1]), 1)]})
 
     return _frames(spark, sf).groupBy("clip", "frame").applyInPandas(run, "clip long, frame long, total double")
 

@@ -88,11 +88,7 @@ def lab_means(spark, sf):
     return A.event_rgb(spark, sf).groupBy("image").agg(F.round(F.avg(L), 4).alias("mean_l"), F.round(F.avg(a), 4).alias("mean_a"), F.round(F.avg(b), 4).alias("mean_b"))
 
 
-@query("delta_e_gradient", f"""WITH {PX}, {LAB}, d AS (
-  SELECT p.image, 0.5 * sqrt(pow(r.l - l.l, 2) + pow(r.a - l.a, 2) + pow(r.b - l.b, 2) + pow(d.l - u.l, 2) + pow(d.a - u.a, 2) + pow(d.b - u.b, 2)) AS de
-  FROM lab p JOIN lab l ON l.image = p.image AND l.y = p.y AND l.x = greatest(0, p.x - 1) JOIN lab r ON r.image = p.image AND r.y = p.y AND r.x = least(30, p.x + 1)
-  JOIN lab u ON u.image = p.image AND u.x = p.x AND u.y = greatest(0, p.y - 1) JOIN lab d ON d.image = p.image AND d.x = p.x AND d.y = least(63, p.y + 1)
-) SELECT image, round(max(de), 4) AS max_de, round(avg(de), 4) AS mean_de FROM d GROUP BY image""")
+@query("delta_e_gradient")
 def delta_e_gradient(spark, sf):
     return R.hue_gradient(A.event_rgb(spark, sf)).groupBy("image").agg(F.round(F.max("de"), 4).alias("max_de"), F.round(F.avg("de"), 4).alias("mean_de"))
 
