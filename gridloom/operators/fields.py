@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -10,19 +14,48 @@ from gridloom.operators.raster import along_column, by_image, KEY, along_row, di
 _EIGHT = [(-1, -1), (0, -1), (1, -1), (-1, 0), (1, 0), (-1, 1), (0, 1), (1, 1)]
 
 
-def squared_distance(px: DataFrame, on: Column) -> DataFrame:
-    """op F1: adds d2, the squared distance to the nearest pixel where `on`; null where the image has none.
-
-    Along rows by the last and next such pixel, then over the column's rows, by a join of a column with itself.
-    """
+def _from_rows(px: DataFrame, on: Column, metric: str, name: str) -> DataFrame:
+    """Adds `name`, the least over all rows of a column of metric(rows between, gap along that row): first the gap to the
+    nearest pixel of the row where `on`, then each column's rows by one array, in ever larger steps until none can win."""
     seed = F.when(on, F.col("x"))
     before = F.last(seed, ignorenulls=True).over(along_row().rowsBetween(Window.unboundedPreceding, 0))
     after = F.first(seed, ignorenulls=True).over(along_row().rowsBetween(0, Window.unboundedFollowing))
-    g = px.select(*KEY, F.least(F.col("x") - before, after - F.col("x")).alias("g"))
-    other = g.where("g is not null").select("image", "x", F.col("y").alias("qy"), "g")
-    d = (F.col("y") - F.col("qy")) * (F.col("y") - F.col("qy")) + F.col("g") * F.col("g")
-    least = px.select(*KEY).join(other, ["image", "x"]).groupBy(*KEY).agg(F.min(d).alias("d2"))
-    return px.join(least, KEY, "left")
+    gap = px.select(*KEY, F.least(F.col("x") - before, after - F.col("x")).alias("g"))
+    columns = gap.groupBy("image", "x").agg(F.sort_array(F.collect_list(F.struct("y", "g"))).alias("c"))
+    columns = columns.select("image", "x", F.col("c.y").alias("ys"), F.transform("c.g", lambda g: F.coalesce(g.cast("double"), F.lit(float("inf")))).alias("gs"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pdf[["image", "x", "ys"]].assign(ds=[column_least(np.asarray(y), np.asarray(g), metric) for y, g in zip(pdf.ys, pdf.gs, strict=True)])
+
+    found = columns.mapInPandas(run, "image string, x int, ys array<int>, ds array<double>")
+    rows = found.select("image", "x", F.explode(F.arrays_zip("ys", "ds")).alias("r")).select("image", F.col("r.ys").alias("y"), "x", F.nanvl(F.col("r.ds"), F.lit(None).cast("double")).alias(name))
+    return px.join(rows, KEY, "left")
+
+
+def column_least(ys: np.ndarray, gaps: np.ndarray, metric: str) -> np.ndarray:
+    """Of each row of a column, the least squared or chamfer distance over all rows; NaN where no row has a seed."""
+    h = int(ys.max()) + 1
+    g = np.full(h, np.inf)
+    g[ys] = gaps
+
+    def value(dy: int, g: np.ndarray) -> np.ndarray:
+        return g * g + dy * dy if metric == "square" else np.maximum(g, dy) + 0.41421356237309515 * np.minimum(g, dy)
+
+    best = value(0, g)
+    for dy in range(1, h):
+        if value(dy, np.zeros(1))[0] >= best.max():  # no row so far away is nearer than what is found
+            break
+        with np.errstate(invalid="ignore"):
+            np.minimum(best[dy:], np.where(np.isinf(g[:-dy]), np.inf, value(dy, g[:-dy])), out=best[dy:])
+            np.minimum(best[:-dy], np.where(np.isinf(g[dy:]), np.inf, value(dy, g[dy:])), out=best[:-dy])
+    best = best[ys]
+    return np.where(np.isinf(best), np.nan, best)
+
+
+def squared_distance(px: DataFrame, on: Column) -> DataFrame:
+    """op F1: adds d2, the squared distance to the nearest pixel where `on`; null where the image has none."""
+    return _from_rows(px, on, "square", "d2").withColumn("d2", F.col("d2").cast("long"))
 
 
 def distance(px: DataFrame, threshold: int = 127, to: str = "foreground") -> DataFrame:
@@ -42,16 +75,9 @@ def chamfer(px: DataFrame, on: Column) -> DataFrame:
     """op F5: adds chamfer, the distance by steps of 1 and sqrt(2) to the nearest pixel where `on`.
 
     On a free grid it is the least over seeds of max + (sqrt(2) - 1) min of the two offsets; for a row the best seed is
-    the nearest one, so a row has one candidate for each pixel of another row in its column.
+    the nearest one.
     """
-    seed = F.when(on, F.col("x"))
-    before = F.last(seed, ignorenulls=True).over(along_row().rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(seed, ignorenulls=True).over(along_row().rowsBetween(0, Window.unboundedFollowing))
-    g = px.select(*KEY, F.least(F.col("x") - before, after - F.col("x")).alias("g"))
-    other = g.where("g is not null").select("image", "x", F.col("y").alias("qy"), "g")
-    dy = F.abs(F.col("y") - F.col("qy"))
-    d = F.greatest(dy, F.col("g")) + 0.41421356237309515 * F.least(dy, F.col("g"))
-    return px.join(px.select(*KEY).join(other, ["image", "x"]).groupBy(*KEY).agg(F.min(d).alias("chamfer")), KEY, "left")
+    return _from_rows(px, on, "chamfer", "chamfer")
 
 
 def signed_chamfer(px: DataFrame, threshold: int = 127) -> DataFrame:
@@ -102,11 +128,50 @@ def run_links(r: DataFrame, reach: int) -> DataFrame:
     return a.join(b, ["image", "y"]).where(touch)
 
 
-def connected_components(px: DataFrame, on: Column, eight: bool = True, write=None) -> DataFrame:
+def connected_components(px: DataFrame, on: Column, eight: bool = True) -> DataFrame:
     """op C1: runs (image, y, x0, x1, comp) of each component; comp is its least y * width + x.
 
-    Rows become runs, so nodes are far fewer than pixels; labels spread over links and jump to their label's label until
-    none changes. write(df, name) stores a round's table and reads it again.
+    An image's runs, far fewer than its pixels, are joined in one task each. For an image whose runs a task can't hold,
+    see connected_components_spread().
+    """
+    reach = int(eight)
+    sized = runs(px, on).join(dimensions(px).select("image", "w"), "image")
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values(["y", "x0"]).reset_index(drop=True)
+        comp = joined_runs(pdf.y.to_numpy(), pdf.x0.to_numpy(), pdf.x1.to_numpy(), reach)
+        first = pdf.y.to_numpy().astype(np.int64) * pdf.w.to_numpy() + pdf.x0.to_numpy()
+        return pdf[["image", "y", "x0", "x1"]].assign(comp=first[comp])
+
+    return sized.groupBy("image").applyInPandas(run, "image string, y int, x0 int, x1 int, comp long")
+
+
+def joined_runs(y: np.ndarray, x0: np.ndarray, x1: np.ndarray, reach: int) -> np.ndarray:
+    """Of runs in reading order, the number of each one's component's first run."""
+    parent = list(range(len(y)))
+
+    def find(i: int) -> int:
+        while parent[i] != i:
+            parent[i] = parent[parent[i]]
+            i = parent[i]
+        return i
+
+    ys, a, b = y.tolist(), x0.tolist(), x1.tolist()
+    above = 0
+    for i in range(len(ys)):
+        while ys[above] < ys[i] - 1 or (ys[above] == ys[i] - 1 and b[above] + reach < a[i]):
+            above += 1
+        j = above
+        while ys[j] == ys[i] - 1 and a[j] <= b[i] + reach:
+            p, q = find(i), find(j)
+            parent[max(p, q)] = min(p, q)
+            j += 1
+    return np.array([find(i) for i in range(len(ys))], np.int64)
+
+
+def connected_components_spread(px: DataFrame, on: Column, eight: bool, write) -> DataFrame:
+    """op C1 across tasks, for images that are too large for one: labels spread over links between runs and jump to their
+    label's label until none changes. write(df, name) stores a round's table and reads it again.
     """
     w = dimensions(px).select("image", "w")
     r = write(runs(px, on).join(w, "image").withColumn("id", F.col("y").cast("long") * F.col("w") + F.col("x0")).drop("w"), "runs")
@@ -133,12 +198,12 @@ def component_stats(comps: DataFrame) -> DataFrame:
     return comps.groupBy("image", "comp").agg(F.sum(F.col("x1") - F.col("x0") + 1).alias("area"), F.min("x0").alias("x"), F.min("y").alias("y"), (F.max("x1") - F.min("x0") + 1).alias("w"), (F.max("y") - F.min("y") + 1).alias("h"))
 
 
-def euler(px: DataFrame, write, threshold: int = 127) -> DataFrame:
+def euler(px: DataFrame, threshold: int = 127) -> DataFrame:
     """op C3: components, holes (background components off the border) and chi, both with eight neighbours."""
     on = foreground(threshold)
-    fg = component_stats(connected_components(px, on, True, write)).groupBy("image").agg(F.count("*").alias("components"))
+    fg = component_stats(connected_components(px, on)).groupBy("image").agg(F.count("*").alias("components"))
     size = dimensions(px).select("image", F.col("w").alias("iw"), F.col("h").alias("ih"))
-    bg = component_stats(connected_components(px, ~on, True, write)).join(size, "image")
+    bg = component_stats(connected_components(px, ~on)).join(size, "image")
     bg = bg.where("x > 0 and y > 0 and x + w < iw and y + h < ih").groupBy("image").agg(F.count("*").alias("holes"))
     out = size.select("image").join(fg, "image", "left").join(bg, "image", "left")
     c, h = F.coalesce("components", F.lit(0)), F.coalesce("holes", F.lit(0))
@@ -154,9 +219,9 @@ def euler_quads(px: DataFrame, threshold: int = 127) -> DataFrame:
     return q.groupBy("image").agg(one.alias("q1"), three.alias("q3"), diagonal.alias("qd")).select("image", ((F.col("q1") - F.col("q3") - 2 * F.col("qd")) / 4).cast("int").alias("chi"))
 
 
-def canny(marks: DataFrame, write) -> DataFrame:
+def canny(marks: DataFrame) -> DataFrame:
     """op N14, second part: of canny_marks(), the pixels in components that hold a strong one."""
-    comps = connected_components(marks, F.lit(True), True, write)
+    comps = connected_components(marks, F.lit(True))
     at = marks.join(comps, (marks.image == comps.image) & (marks.y == comps.y) & marks.x.between(comps.x0, comps.x1)).select(marks.image, marks.y, marks.x, marks.v, "comp")
     strong = at.where("v = 255").select("image", "comp").distinct()
     return at.join(strong, ["image", "comp"], "left_semi").select(*KEY, "comp")

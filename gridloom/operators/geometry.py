@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gridloom.operators.kernels import hull
+
 
 def along() -> WindowSpec:
     return Window.partitionBy("poly").orderBy("i")
@@ -115,6 +119,17 @@ def simplification_error(full: DataFrame, kept: DataFrame) -> DataFrame:
     return both.groupBy("poly", "i").agg(F.min(d).alias("d")).groupBy("poly").agg(F.max("d").alias("max_err"))
 
 
+def hull_area(points: DataFrame, key: str) -> DataFrame:
+    """op G14: (key, hull_area) of points (key, x, y): one pass over each group's points in order, in its task."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        c = hull(pdf[["x", "y"]].to_numpy(float))
+        area = abs(float(np.sum(c[:, 0] * np.roll(c[:, 1], -1) - np.roll(c[:, 0], -1) * c[:, 1]))) / 2
+        return pd.DataFrame({key: [pdf[key].iloc[0]], "hull_area": [area]})
+
+    return points.groupBy(key).applyInPandas(run, points.select(key, F.lit(0.0).alias("hull_area")).schema)
+
+
 def hull_edges(points: DataFrame) -> DataFrame:
     """op G14 as a relation: the pairs of points of which all others lie on one side. For small sets, as a check."""
     p = points.select("poly", "x", "y").distinct()

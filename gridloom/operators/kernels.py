@@ -97,8 +97,46 @@ def distance_to(mask: np.ndarray) -> np.ndarray:
     rows = np.arange(h)
     for x in np.unique(xs):
         column[:, x] = np.abs(rows[:, None] - ys[xs == x][None]).min(1)
-    gap = (np.arange(w)[:, None] - np.arange(w)[None]) ** 2
-    return np.sqrt((column[:, None, :] ** 2 + gap[None]).min(2))
+    out, square = np.full((h, w), np.inf), column**2
+    for x in np.unique(xs):  # one column of seeds at a time, so memory stays that of the image
+        np.minimum(out, square[:, x, None] + (np.arange(w) - x) ** 2, out=out)
+    return np.sqrt(out)
+
+
+def sobel(a: np.ndarray) -> np.ndarray:
+    """Size of the Sobel gradient over eight, borders repeated."""
+    p = np.pad(np.asarray(a, float), 1, mode="edge")
+    smooth = lambda q, axis: q.take(range(q.shape[axis] - 2), axis) + 2 * q.take(range(1, q.shape[axis] - 1), axis) + q.take(range(2, q.shape[axis]), axis)
+    return np.hypot(smooth(p[:, 2:] - p[:, :-2], 0), smooth(p[2:] - p[:-2], 1)) / 8
+
+
+def log_crossings(a: np.ndarray, sigma: float = 1.4, reach: int = 5) -> np.ndarray:
+    """Inner pixels where the Laplacian of Gaussian changes its sign against the left or upper neighbour."""
+    d = np.arange(-reach, reach + 1)
+    r2 = d[:, None] ** 2 + d[None] ** 2
+    k = (r2 - 2 * sigma**2) / sigma**4 * np.exp(-r2 / (2 * sigma**2))
+    k -= k.mean()
+    h, w = a.shape
+    p = np.pad(np.asarray(a, float), reach, mode="edge")
+    on = np.round(sum(k[i, j] * p[i : i + h, j : j + w] for i in range(2 * reach + 1) for j in range(2 * reach + 1)), 6) >= 0
+    out = np.zeros((h, w), bool)
+    out[1:-1, 1:-1] = (on[1:-1, 1:-1] != on[1:-1, :-2]) | (on[1:-1, 1:-1] != on[:-2, 1:-1])
+    return out
+
+
+def livewire_cost(a: np.ndarray) -> np.ndarray:
+    """op C18: low on strong edges and on zero crossings."""
+    m = sobel(a)
+    return 0.02 + 0.45 * (1 - m / max(1e-9, m.max())) + np.where(log_crossings(a), 0.0, 0.35)
+
+
+def lab(rgb: np.ndarray) -> np.ndarray:
+    """op P2 for (h, w, 3) in 0..255: CIE L*a*b* (D65)."""
+    c = np.asarray(rgb, float) / 255
+    c = np.where(c <= 0.04045, c / 12.92, ((c + 0.055) / 1.055) ** 2.4)
+    xyz = c @ np.array([[0.4124564, 0.3575761, 0.1804375], [0.2126729, 0.7151522, 0.0721750], [0.0193339, 0.1191920, 0.9503041]]).T / [0.95047, 1.0, 1.08883]
+    f = np.where(xyz > 0.008856, np.cbrt(xyz), 7.787 * xyz + 16 / 116)
+    return np.stack([116 * f[..., 1] - 16, 500 * (f[..., 0] - f[..., 1]), 200 * (f[..., 1] - f[..., 2])], -1)
 
 
 def watershed_of_mask(mask: np.ndarray, least: float = 1.5) -> np.ndarray:

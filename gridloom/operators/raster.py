@@ -329,3 +329,33 @@ def ncc_scan(px: DataFrame, template: DataFrame, stride: int = 8) -> DataFrame:
     grid = dimensions(px).join(t, "image").where("w >= tw and h >= th").withColumn("oy", F.explode(F.expr(f"sequence(0, h - th, {stride})"))).withColumn("ox", F.explode(F.expr(f"sequence(0, w - tw, {stride})"))).select("image", "oy", "ox")
     best = F.max_by(F.struct("oy", "ox", "ncc"), F.struct(F.round("ncc", 9), -F.col("oy"), -F.col("ox")))
     return ncc(px, template, grid).groupBy("image").agg(best.alias("b")).select("image", F.col("b.oy").alias("peak_y"), F.col("b.ox").alias("peak_x"), F.col("b.ncc").alias("peak_ncc"))
+
+
+# ---- margins
+
+
+def pad(px: DataFrame, margin: int, value: int = 0) -> DataFrame:
+    """op P10: `margin` more pixels of a value on every side."""
+    size = dimensions(px)
+    grid = size.select("image", F.explode(F.sequence(F.lit(0), F.col("h") + 2 * margin - 1)).alias("y"), "w").select("image", "y", F.explode(F.sequence(F.lit(0), F.col("w") + 2 * margin - 1)).alias("x"))
+    moved = px.select("image", (F.col("y") + margin).alias("y"), (F.col("x") + margin).alias("x"), "v")
+    return grid.join(moved, KEY, "left").select(*KEY, F.coalesce("v", F.lit(value)).cast(px.schema["v"].dataType).alias("v"))
+
+
+def grown(boxes: DataFrame, px: DataFrame, margin: int) -> DataFrame:
+    """op P10: boxes (image, bx, by, w, h) with a margin on every side, within their images."""
+    size = dimensions(px).select("image", F.col("w").alias("iw"), F.col("h").alias("ih"))
+    x0, y0 = F.greatest(F.lit(0), F.col("bx") - margin), F.greatest(F.lit(0), F.col("by") - margin)
+    x1, y1 = F.least(F.col("iw"), F.col("bx") + F.col("w") + margin), F.least(F.col("ih"), F.col("by") + F.col("h") + margin)
+    return boxes.join(size, "image").select("image", x0.alias("bx"), y0.alias("by"), (x1 - x0).alias("w"), (y1 - y0).alias("h"))
+
+
+def gradient_at(px: DataFrame, at: DataFrame) -> DataFrame:
+    """op N18 between pixels: of points (image, px, py), the bilinear value's differences over one pixel each way, as dx, dy."""
+    steps = F.array(*(F.struct(F.lit(n).alias("n"), F.lit(a).alias("a"), F.lit(b).alias("b")) for n, a, b in (("r", 0.5, 0.0), ("l", -0.5, 0.0), ("d", 0.0, 0.5), ("u", 0.0, -0.5))))
+    many = at.distinct().withColumn("_s", F.explode(steps)).select("image", F.col("px").alias("_x"), F.col("py").alias("_y"), F.col("_s.n").alias("_n"), (F.col("px") + F.col("_s.a")).alias("px"), (F.col("py") + F.col("_s.b")).alias("py"))
+    size = dimensions(px)
+    many = many.join(size, "image").withColumn("px", F.greatest(F.lit(0.0), F.least(F.col("w") - 1.0, F.col("px")))).withColumn("py", F.greatest(F.lit(0.0), F.least(F.col("h") - 1.0, F.col("py"))))
+    value = sample_bilinear(px, many.select("image", "px", "py").distinct()).select("image", "px", "py", "value")
+    got = many.join(value, ["image", "px", "py"]).groupBy("image", F.col("_x").alias("px"), F.col("_y").alias("py")).agg(*(F.max(F.when(F.col("_n") == n, F.col("value"))).alias(n) for n in "rldu"))
+    return got.select("image", "px", "py", (F.col("r") - F.col("l")).alias("dx"), (F.col("d") - F.col("u")).alias("dy"))

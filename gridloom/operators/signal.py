@@ -3,10 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
+from gridloom.operators.kernels import poles
+
 
 def along() -> WindowSpec:
     return Window.partitionBy("clip").orderBy("t")
@@ -159,3 +164,25 @@ def collapse_runs(rows: DataFrame, key: str, order: list[str], value: str) -> Da
     kept = rows.withColumn("_p", F.lag(value).over(w)).where(~F.col(value).eqNullSafe(F.col("_p")))
     listed = F.sort_array(F.collect_list(F.struct(*order, F.col(value).alias("_v"))))
     return kept.groupBy(key).agg(F.count("*").alias("runs"), F.array_join(F.transform(listed, lambda x: x["_v"]), " ").alias("text"))
+
+
+def vowel_strings(samples: DataFrame, order: int = 16, size: int = FRAME, hop: int = HOP, rate: float = RATE, limits: tuple[float, float, float] = (0.08, 1.5e-4, 0.35)) -> DataFrame:
+    """op A1 to A15, U7: (clip, runs, text), the vowels of each clip (clip, t, s) in order: pre-emphasis, framing, energy and
+    crossing gate, linear prediction, poles, formants, median over three frames, nearest vowel, runs put together. A clip
+    without a sounding frame has none and isn't listed. limits: as gate() takes them. Only the polynomials' roots are found in NumPy."""
+    raw = pre_emphasis(samples)
+    framed = frames(raw, size, hop)
+    coefficients = packed(framed).select("clip", "frame", levinson(autocorrelation(F.col("xs"), order), order).alias("a"))
+
+    def roots(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"clip": pdf["clip"], "frame": pdf.frame, "poles": [[{"freq": f, "bw": b} for f, b in poles(np.array(a), rate)] for a in pdf.a]})
+
+    kind = samples.schema["clip"].dataType.simpleString()
+    found = coefficients.mapInPandas(roots, f"clip {kind}, frame long, poles array<struct<freq: double, bw: double>>")
+    fs = repair(F.transform(formant_list(F.col("poles"), rate), lambda p: p["freq"]))
+    f = found.withColumn("_f", fs).select("clip", "frame", *(F.coalesce(F.get("_f", i), F.lit(0.0)).alias(f"f{i + 1}") for i in range(3)))
+    sound = energy(framed).join(zero_crossing_rate(framed), ["clip", "frame"]).join(f, ["clip", "frame"])
+    kept = smoothed(gate(sound, *limits).where(~F.col("silent")), "f1", "f2", "f3")
+    named = nearest_vowel(kept, "f1_smooth", "f2_smooth", "f3_smooth")
+    return collapse_runs(named, "clip", ["frame"], "vowel")

@@ -54,7 +54,7 @@ def watershed_mask(spark, sf):
 @query("watershed_gradient")
 def watershed_gradient(spark, sf):
     def f(a):
-        relief = np.hypot(*np.gradient(a))
+        relief = K.sobel(a)
         w = K.watershed(relief, K.minima(relief))
         return {"n_basins": int(w.max()), "n_watershed": int((w == 0).sum())}
 
@@ -72,17 +72,17 @@ def slic(spark, sf):
 
 @query("fh_segments")
 def fh_segments(spark, sf):
-    return per_image(A.event_rgb(spark, sf), lambda a: {"fh_labels": int(K.graph_segments(a).max()) + 1}, "fh_labels long")
+    return per_image(A.event_rgb(spark, sf), lambda a: {"fh_labels": int(K.graph_segments(K.lab(a)).max()) + 1}, "fh_labels long")
 
 
 @query("graph_cut")
 def graph_cut(spark, sf):
-    return per_image(A.event_rgb(spark, sf), lambda a: {"fg_pixels": int(K.graph_cut(a, (4, 8, 20, 40)).sum())}, "fg_pixels long")
+    return per_image(A.event_rgb(spark, sf), lambda a: {"fg_pixels": int(K.graph_cut(K.lab(a), (4, 8, 20, 40)).sum())}, "fg_pixels long")
 
 
 @query("kmeans_lab")
 def kmeans_lab(spark, sf):
-    return per_image(A.event_rgb(spark, sf), lambda a: {"spread": round(float(np.ptp(K.lloyd(a.reshape(-1, 3), 4))), 3)}, "spread double")
+    return per_image(A.event_rgb(spark, sf), lambda a: {"spread": round(float(np.ptp(K.lloyd(K.lab(a).reshape(-1, 3), 4))), 3)}, "spread double")
 
 
 @query("max_flow")
@@ -122,8 +122,7 @@ def livewire(spark, sf):
         m = K.components(a > 60)
         ring = K.trace_boundary(m == np.bincount(m.ravel())[1:].argmax() + 1) if m.any() else np.zeros((0, 2), int)
         seeds = K.seeds_along(ring, 12)
-        slope = np.hypot(*np.gradient(a))
-        return {"n_seeds": len(seeds), "n_points": len(K.trace_through(0.02 + 0.45 * (1 - slope / max(1e-9, slope.max())), seeds))}
+        return {"n_seeds": len(seeds), "n_points": len(K.trace_through(K.livewire_cost(a), seeds))}
 
     return per_image(A.event_raster(spark, sf), f, "n_seeds long, n_points long")
 
@@ -234,6 +233,6 @@ def lpc_formants(spark, sf):
             yield pd.DataFrame({"clip": pdf["clip"], "frame": pdf.frame, "poles": [[{"freq": f, "bw": b} for f, b in K.poles(np.array(a), S.RATE)] for a in pdf.a]})
 
     roots = p.mapInPandas(run, "clip long, frame long, poles array<struct<freq: double, bw: double>>")
-    fs = S.repair(F.transform(F.filter("poles", lambda q: (q["freq"] > 50) & (q["freq"] < S.RATE / 2 - 50)), lambda q: q["freq"]))
+    fs = S.repair(F.transform(S.formant_list(F.col("poles")), lambda q: q["freq"]))
     got = roots.withColumn("fs", fs).select("clip", "frame", *(F.coalesce(F.get("fs", i), F.lit(0.0)).alias(f"f{i + 1}") for i in range(3)))
     return S.nearest_vowel(got).groupBy("vowel").agg(big(F.count("*"), "n"))

@@ -20,8 +20,6 @@ WHERE p.x < 30 AND p.y < 63 AND ((p.r >= 0) <> (l.r >= 0) OR (p.r >= 0) <> (u.r
 m AS (SELECT image, y, x, sqrt(gx * gx + gy * gy) AS m, max(sqrt(gx * gx + gy * gy)) OVER (PARTITION BY image) AS top FROM g)
 SELECT m.image, round(sum(0.02 + 0.45 * (1 - CASE WHEN top > 0 THEN m / top ELSE 0 END) + CASE WHEN z.image IS NULL THEN 0.35 ELSE 0 END), 3) AS total FROM m LEFT JOIN z ON z.image = m.image AND z.y = m.y AND z.x = m.x GROUP BY m.image"""
 
-ORACLES["evaluate_mask"] = f"SELECT a.image, iou, f1 FROM ({RASTER['mask_iou']}) a JOIN ({RASTER['boundary_f1']}) b ON a.image = b.image"
-
 ORACLES["crease_spine"] = f"""{TOPHAT}, {LOG}, v AS MATERIALIZED (SELECT image, y, x, round(greatest(0, r) + t, 6) AS v FROM t JOIN r USING (image, y, x)),
 g AS (SELECT *, coalesce(lead(v) OVER {_ROW}, v) - coalesce(lag(v) OVER {_ROW}, v) AS dx, coalesce(lead(v) OVER {_COLUMN}, v) - coalesce(lag(v) OVER {_COLUMN}, v) AS dy, max(v) OVER (PARTITION BY image) AS top FROM v),
 h AS (SELECT *, CASE WHEN abs(dx) >= 0.4142 * abs(dy) THEN sign(dx) ELSE 0 END AS ax, CASE WHEN abs(dy) >= 0.4142 * abs(dx) THEN sign(dy) ELSE 0 END AS ay FROM g WHERE v > 0.12 * top)
@@ -76,3 +74,25 @@ ORACLES["region_colouring"] = f"{_BAND} SELECT image, CAST(count(DISTINCT l) AS
 _CELLS = """c AS (SELECT p.image, p.y, p.x, (p.v < 90)::INT AS a, (r.v < 90)::INT AS b, (d.v < 90)::INT AS c, (e.v < 90)::INT AS d FROM px p
 JOIN px r ON r.image = p.image AND r.y = p.y AND r.x = p.x + 1 JOIN px d ON d.image = p.image AND d.x = p.x AND d.y = p.y + 1 JOIN px e ON e.image = p.image AND e.x = p.x + 1 AND e.y = p.y + 1)"""
 ORACLES["dual_contouring"] = f"WITH {PX}, {_CELLS} SELECT image, CAST(count(*) FILTER (a + b + c + d BETWEEN 1 AND 3) AS BIGINT) AS n_vertices, CAST(count(*) FILTER (a <> b AND y > 0) + count(*) FILTER (a <> c AND x > 0) AS BIGINT) AS n_edges FROM c GROUP BY image"
+
+ORACLES["evaluate_mask"] = f"""SELECT a.image, iou, f1, tightness, megapixels FROM ({RASTER['mask_iou']}) a JOIN ({RASTER['boundary_f1']}) b ON a.image = b.image
+JOIN ({ORACLES['tightness'].replace(", 4) AS tightness", ", 6) AS tightness")}) c ON c.image = a.image JOIN (WITH {PX} SELECT image, round(count(*) / 1e6, 6) AS megapixels FROM px WHERE v > 60 GROUP BY image) d ON d.image = a.image"""
+
+_TURNED = "SELECT poly AS grp, i, x + 3 AS x, y * 1.25 AS y FROM pl"
+ORACLES["evaluate_polyline"] = f"""WITH {PL}, o AS ({_TURNED}), ab AS (SELECT p.poly, p.i, min((p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y)) AS d FROM pl p JOIN o ON o.grp = p.poly GROUP BY 1, 2),
+ba AS (SELECT p.grp AS poly, p.i, min((p.x - o.x) * (p.x - o.x) + (p.y - o.y) * (p.y - o.y)) AS d FROM o p JOIN pl o ON o.poly = p.grp GROUP BY 1, 2),
+m AS (SELECT poly, max(sqrt(d)) AS m1, avg(sqrt(d)) AS a1, sqrt(avg(d)) AS rmse FROM ab GROUP BY 1), n AS (SELECT poly, max(sqrt(d)) AS m2, avg(sqrt(d)) AS a2 FROM ba GROUP BY 1),
+l AS (SELECT poly, sum(sqrt((nx - x) * (nx - x) + (ny - y) * (ny - y))) AS length, sum(sqrt((nx - x) * (nx - x) + 1.5625 * (ny - y) * (ny - y))) AS other_length FROM sg GROUP BY 1)
+SELECT poly, round(greatest(m1, m2), 4) AS hausdorff, round((a1 + a2) / 2, 4) AS chamfer, round(rmse, 4) AS rmse, round(length, 3) AS length, round(other_length, 3) AS other_length FROM m JOIN n USING (poly) JOIN l USING (poly)"""
+
+ORACLES["pad_grow"] = f"""WITH {PX}, b AS (SELECT image, greatest(0, min(x) - 3) AS bx, greatest(0, min(y) - 3) AS by_, least(31, max(x) + 4) AS ex, least(64, max(y) + 4) AS ey FROM px WHERE v > 127 GROUP BY image)
+SELECT px.image, CAST(37 * 70 AS BIGINT) AS n, CAST(sum((x + 3) * v) AS BIGINT) AS mx, CAST(max(ex - bx) AS INTEGER) AS w, CAST(max(ey - by_) AS INTEGER) AS h FROM px JOIN b USING (image) GROUP BY 1"""
+
+ORACLES["gradient_between"] = f"""WITH {PX}, n AS (SELECT image, y, x, v, lead(v) OVER {_ROW} AS r, lead(v) OVER {_COLUMN} AS d FROM px), e AS (SELECT *, lead(r) OVER {_COLUMN} AS e FROM n)
+SELECT image, round(sum(abs((r + e) / 2.0 - (v + d) / 2.0)), 4) AS dx, round(sum(abs((d + e) / 2.0 - (v + r) / 2.0)), 4) AS dy FROM e WHERE x < 30 AND y < 63 GROUP BY image"""
+
+#: Tokens of several letters: a place where two conversations' roles differ counts once.
+ORACLES["token_errors"] = """WITH t AS (SELECT conv_id, string_agg(CASE role WHEN 'user' THEN 'a' WHEN 'assistant' THEN 'b' ELSE 'c' END, '' ORDER BY turn) AS s FROM conversations GROUP BY 1)
+SELECT conv_id, round(levenshtein(s, 'ababab') / 6.0, 6) AS per FROM t"""
+
+ORACLES["label_edges"] = f"WITH {PX}, lb AS (SELECT image, y, x, v // 100 AS label FROM px) SELECT image, CAST(count(*) FILTER (label <> coalesce(r, label) OR label <> coalesce(d, label)) AS BIGINT) AS edge FROM (SELECT *, lead(label) OVER {_ROW} AS r, lead(label) OVER {_COLUMN} AS d FROM lb) GROUP BY image"

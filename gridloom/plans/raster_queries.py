@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 from gridloom.operators import fields as D
 from gridloom.operators import metrics as E
 from gridloom.operators import raster as R
-from gridloom.plans.store import write
 from gridloom.sources import adapters as A
 
 QUERIES, ORACLES = {}, {}
@@ -280,7 +279,7 @@ CCL = """l AS (
 
 @query("ccl_components", f"WITH RECURSIVE {PX}, {CCL} SELECT c.image, CAST(comp AS BIGINT) AS comp, CAST(count(*) AS BIGINT) AS area, min(x) AS x, min(y) AS y, max(x) - min(x) + 1 AS w, max(y) - min(y) + 1 AS h FROM c JOIN l ON l.image = c.image AND l.id = c.id GROUP BY 1, 2")
 def ccl_components(spark, sf):
-    s = D.component_stats(D.connected_components(A.event_raster(spark, sf), R.foreground(180), True, write))
+    s = D.component_stats(D.connected_components(A.event_raster(spark, sf), R.foreground(180)))
     return s.select("image", "comp", big(F.col("area"), "area"), "x", "y", "w", "h")
 
 
@@ -290,7 +289,7 @@ def euler_synthetic(spark, sf):
     for n in ("donut", "glyph_O", "glyph_1", "blob", "concave_star"):
         px = A.synthetic(spark, n)
         out = px if out is None else out.unionAll(px)
-    return D.euler(out, write).select("image", *(F.col(c).cast("int").alias(c) for c in ("components", "holes", "chi")))
+    return D.euler(out).select("image", *(F.col(c).cast("int").alias(c) for c in ("components", "holes", "chi")))
 
 
 @query("euler_quads", f"""WITH {PX}, q AS (SELECT p.image, p.y - dy.range AS qy, p.x - dx.range AS qx, count(*) AS n, sum(1 << CAST(dx.range + 2 * dy.range AS INTEGER)) AS m FROM px p CROSS JOIN range(2) dx CROSS JOIN range(2) dy WHERE p.v > 60 GROUP BY 1, 2, 3)
@@ -301,7 +300,7 @@ def euler_quads(spark, sf):
 
 @query("canny_edges")
 def canny_edges(spark, sf):
-    return D.canny(R.canny_marks(A.event_raster(spark, sf)), write).groupBy("image").agg(big(F.count("*"), "edge_pixels"))
+    return D.canny(R.canny_marks(A.event_raster(spark, sf))).groupBy("image").agg(big(F.count("*"), "edge_pixels"))
 
 
 @query("watershed_minima", f"WITH {PX}, {NB} SELECT image, CAST(count(*) AS BIGINT) AS n FROM (SELECT image, y, x, max(c) AS c, min(v) AS m FROM nb GROUP BY 1, 2, 3) WHERE c <= m AND x > 0 AND y > 0 AND x < 30 AND y < 63 GROUP BY image")
@@ -364,7 +363,7 @@ def boundary_f1(spark, sf):
 @query("evaluate_mask")
 def evaluate_mask(spark, sf):
     px = A.event_raster(spark, sf)
-    return E.evaluate_mask(R.binary(px, 60), R.binary(px, 120)).select("image", F.round("iou", 6).alias("iou"), F.round("f1", 6).alias("f1"))
+    return E.evaluate_mask(R.binary(px, 60), R.binary(px, 120)).select("image", *(F.round(c, 6).alias(c) for c in ("iou", "f1", "tightness", "megapixels")))
 
 
 @query("synthetic_areas", """SELECT image, CAST(count(*) AS BIGINT) AS area, CAST(sum(x) AS BIGINT) AS sx, CAST(sum(y) AS BIGINT) AS sy FROM (
@@ -378,3 +377,20 @@ def synthetic_areas(spark, sf):
         px = A.synthetic(spark, n).where(R.foreground(128))
         out = px if out is None else out.unionAll(px)
     return out.groupBy("image").agg(big(F.count("*"), "area"), big(F.sum("x"), "sx"), big(F.sum("y"), "sy"))
+
+
+@query("pad_grow")
+def pad_grow(spark, sf):
+    """op P10: margins around an image, and around its foreground's box."""
+    px = A.event_raster(spark, sf)
+    padded = R.pad(px, 3).groupBy("image").agg(big(F.count("*"), "n"), big(F.sum(F.col("x") * F.col("v")), "mx"))
+    boxes = R.grown(R.mask_bbox(px), px, 3).select("image", F.col("w").cast("int").alias("w"), F.col("h").cast("int").alias("h"))
+    return padded.join(boxes, "image")
+
+
+@query("gradient_between")
+def gradient_between(spark, sf):
+    """op N18 at the middle of each square of four pixels."""
+    px = A.event_raster(spark, sf)
+    at = px.where("x < 30 and y < 63").select("image", (F.col("x") + 0.5).alias("px"), (F.col("y") + 0.5).alias("py"))
+    return R.gradient_at(px, at).groupBy("image").agg(*(F.round(F.sum(F.abs(c)), 4).alias(c) for c in ("dx", "dy")))

@@ -362,3 +362,19 @@ def merged_pole_repair(spark, sf):
 def mean_luma(spark, sf):
     """op A16, S22: the mean of a frame's pixels."""
     return A.event_raster(spark, sf).groupBy("image").agg(F.round(F.avg("v"), 4).alias("mean"))
+
+
+@query("evaluate_polyline")
+def evaluate_polyline(spark, sf):
+    """op E8: each polyline against itself moved and stretched."""
+    p = A.event_polylines(spark, sf)
+    other = p.select("poly", "i", (F.col("x") + 3).alias("x"), (F.col("y") * 1.25).alias("y"))
+    e = E.evaluate_polyline(p, other)
+    return e.select("poly", *(F.round(c, d).alias(c) for c, d in (("hausdorff", 4), ("chamfer", 4), ("rmse", 4), ("length", 3), ("other_length", 3))))
+
+
+@query("token_errors")
+def token_errors(spark, sf):
+    """op E12 with tokens of several letters."""
+    t = A.read(spark, sf, "conversations").groupBy("conv_id").agg(F.transform(F.sort_array(F.collect_list(F.struct("turn", "role"))), lambda x: x["role"]).alias("l"))
+    return t.select("conv_id", F.round(E.token_error_rate(F.array(*(F.lit(x) for x in ("user", "assistant") * 3)), F.col("l")), 6).alias("per"))

@@ -81,3 +81,10 @@ def pair_by_stem(spark, sf):
     right = c.where("c_custkey % 3 < 2").select(F.concat(F.lit("b/"), "c_custkey", F.when(F.col("c_custkey") % 3 == 1, "_mask").otherwise(""), F.lit(".png")).alias("path"))
     more = c.where("c_custkey % 3 = 0").select(F.concat(F.lit("b/"), "c_custkey", F.lit("_gt.png")).alias("path"))
     return O.pair_by_stem(left, right.unionAll(more))
+
+
+@query("label_edges")
+def label_edges(spark, sf):
+    """op K7: boundaries of a label raster."""
+    labels = A.event_raster(spark, sf).withColumn("label", F.expr("cast(v div 100 as int)")).drop("v")
+    return O.label_boundaries(labels).groupBy("image").agg(big(F.count(F.when(F.col("v") > 0, 1)), "edge"))

@@ -12,8 +12,10 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from gridloom.operators.geometry import rasterise
+from gridloom.operators.raster import luma
 
 IMAGE = "image string, width int, height int, channels int, data binary"
 SUFFIXES = ("png", "jpg", "jpeg", "pgm", "ppm", "bmp", "gif")
@@ -115,10 +117,66 @@ def decode_images(files: DataFrame) -> DataFrame:
 
 
 def to_pixels(images: DataFrame) -> DataFrame:
-    """Long pixels (image, y, x, c, v) of decoded images, without leaving the JVM."""
-    p = images.select("image", "width", "channels", F.hex("data").alias("_h"), F.explode(F.sequence(F.lit(0), F.col("width") * F.col("height") * F.col("channels") - 1)).alias("k"))
-    v = F.conv(F.substring(F.col("_h"), 2 * F.col("k") + 1, F.lit(2)), 16, 10).cast("int")
-    return p.select("image", F.expr("cast(k div (width * channels) as int)").alias("y"), F.expr("cast(k div channels % width as int)").alias("x"), F.expr("cast(k % channels as int)").alias("c"), v.alias("v"))
+    """Long pixels (image, y, x, c, v) of decoded images."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for image, width, channels, data in zip(pdf.image, pdf.width, pdf.channels, pdf.data, strict=True):
+                v = np.frombuffer(data, np.uint8)
+                for at in range(0, len(v), 1 << 20):  # a large image in parts
+                    k = np.arange(at, min(at + (1 << 20), len(v)))
+                    yield pd.DataFrame({"image": image, "y": (k // (width * channels)).astype(np.int32), "x": (k // channels % width).astype(np.int32), "c": (k % channels).astype(np.int32), "v": v[k].astype(np.int32)})
+
+    return images.select("image", "width", "channels", "data").mapInPandas(run, "image string, y int, x int, c int, v int")
+
+
+def gray(pixels: DataFrame) -> DataFrame:
+    """op S2: pixels (image, y, x, c, v) as gray (image, y, x, v): one channel as it is, of three the luma."""
+    p = pixels.groupBy("image", "y", "x").agg(*(F.max(F.when(F.col("c") == k, F.col("v"))).alias(f"c{k}") for k in range(3)))
+    return p.select("image", "y", "x", F.when(F.col("c2").isNull(), F.col("c0")).otherwise(luma(F.col("c0"), F.col("c1"), F.col("c2"))).alias("v"))
+
+
+def audio(files: DataFrame) -> DataFrame:
+    """op S21: of (path, content), the samples (clip, t, s) of WAV files at 16 kHz; clip is the path. Others give none."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            for path, raw in zip(pdf.path, pdf.content, strict=True):
+                found = decode_wav(raw)
+                if found is not None:
+                    s = found[0]
+                    for at in range(0, len(s), 1 << 20):
+                        part = s[at : at + (1 << 20)]
+                        yield pd.DataFrame({"clip": path, "t": np.arange(at, at + len(part)), "s": part})
+
+    return files.select("path", "content").mapInPandas(run, "clip string, t long, s double")
+
+
+def whole_texts(spark: SparkSession, path: str) -> DataFrame:
+    """op S9: (path, text), each file's whole text."""
+    return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("text"))
+
+
+def write_tables(rows: DataFrame, folder: str, by: str, suffix: str = ".tsv") -> DataFrame:
+    """op K5: a TSV file below folder for each value of `by`, with a header, rows in their columns' order; gives path, bytes."""
+    names = [c for c in rows.columns if c != by]
+    line = F.concat_ws("\t", *(F.regexp_replace(F.coalesce(F.col(c).cast("string"), F.lit("")), "[\t\r\n]", " ") for c in names))
+    files = rows.groupBy(by).agg(F.sort_array(F.collect_list(line)).alias("l"))
+    text = F.concat(F.lit("\t".join(names) + "\n"), F.array_join("l", "\n"), F.lit("\n"))
+    return write_files(files.select(F.concat(F.col(by).cast("string"), F.lit(suffix)).alias("path"), text.cast("binary").alias("content")), folder)
+
+
+def manifest(written: DataFrame, title: str) -> DataFrame:
+    """op K6: one row (title, files, bytes, json) that sums up files (path, bytes) as a JSON document."""
+    listed = F.sort_array(F.collect_list(F.struct("path", "bytes")))
+    one = written.agg(F.count("*").alias("files"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"), listed.alias("entries"))
+    return one.select(F.lit(title).alias("title"), "files", "bytes", F.to_json(F.struct(F.lit(title).alias("title"), "files", "bytes", "entries")).alias("json"))
+
+
+def rendered(paths: DataFrame, folder: str) -> DataFrame:
+    """op K8: (atom, kind, path), of written files atom__kind.suffix below folder."""
+    stem = F.regexp_extract("path", r"([^/]*?)\.[^./]*$", 1)
+    return paths.select(F.split(stem, "__")[0].alias("atom"), F.coalesce(F.get(F.split(stem, "__"), 1), F.lit("")).alias("kind"), F.concat(F.lit(folder.rstrip("/") + "/"), "path").alias("path"))
 
 
 def to_pgm(px: DataFrame) -> DataFrame:
@@ -167,15 +225,32 @@ def overlay(px: DataFrame, ink: DataFrame, value: int = 255) -> DataFrame:
     return px.join(marked, ["image", "y", "x"], "left").withColumn("v", F.when(F.col("_i").isNotNull(), value).otherwise(F.expr("cast(v div 2 as int)"))).drop("_i")
 
 
+def label_boundaries(labels: DataFrame, value: int = 255) -> DataFrame:
+    """op K7: (image, y, x, label) with v `value` where the right or lower neighbour has another label, else 0."""
+    right, down = (F.lead("label").over(Window.partitionBy("image", a).orderBy(b)) for a, b in (("y", "x"), ("x", "y")))
+    edge = F.coalesce(right != F.col("label"), F.lit(False)) | F.coalesce(down != F.col("label"), F.lit(False))
+    return labels.withColumn("v", F.when(edge, value).otherwise(0))
+
+
+def box_ink(boxes: DataFrame) -> DataFrame:
+    """op K7: (image, y, x) of the sides of boxes (image, x, y, w, h) of whole numbers, for overlay()."""
+    b = boxes.select("image", *(F.col(c).cast("int").alias(c) for c in "xywh"))
+    rows = b.select("image", "x", "w", F.explode(F.expr("array(y, y + h - 1)")).alias("y")).select("image", "y", F.explode(F.expr("sequence(x, x + w - 1)")).alias("x"))
+    columns = b.select("image", "y", "h", F.explode(F.expr("array(x, x + w - 1)")).alias("x")).select("image", F.explode(F.expr("sequence(y, y + h - 1)")).alias("y"), "x")
+    return rows.unionByName(columns).distinct()
+
+
 def label_colour(label: Column) -> Column:
     """op K7."""
     return F.when(label > 0, 40 + (label * 47) % 200).otherwise(0)
 
 
 def read_tsv(spark: SparkSession, path: str) -> DataFrame:
-    """op S7: rows after the header as file, label, extra and all fields; blank lines and carriage returns go."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("i", "line"))
-    return tsv_rows(lines.where("i > 0"))
+    """op S7: rows after the header as file, label, extra and all fields; blank lines and carriage returns go. Lines are
+    read in parallel; a file's first line is the one that begins where the file does."""
+    lines = spark.read.text(path).select(F.col("value").alias("line"), F.col("_metadata.file_block_start").alias("at"), F.spark_partition_id().alias("p"), F.monotonically_increasing_id().alias("k"), F.input_file_name().alias("f"))
+    first = lines.where("at = 0").groupBy("f").agg(F.min("k").alias("k"))
+    return tsv_rows(lines.join(F.broadcast(first), ["f", "k"], "left_anti"))
 
 
 def tsv_rows(lines: DataFrame) -> DataFrame:
@@ -211,14 +286,25 @@ def coco_mask(polygons: DataFrame, width: int, height: int) -> DataFrame:
     return inside.join(polygons.select("poly", "stem").distinct(), "poly").select("stem", "y", "x").distinct()
 
 
+def prefixes(stem: Column) -> Column:
+    """All beginnings of a stem, itself among them; none of an empty one."""
+    return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(stem), F.lit(1))), lambda n: F.substr(stem, F.lit(1), n)), lambda x: x != "")
+
+
 def pair_by_stem(images: DataFrame, truths: DataFrame) -> DataFrame:
-    """op S16: each image path with the ground truth of the same stem, or that with a known ending, in this order."""
+    """op S16: each image path with the ground truth of the same stem, or that with a known ending, in this order, or else
+    the first one whose stem begins with the image's."""
     stem = lambda c: F.regexp_extract(c, r"([^/]*?)(?:\.[^./]*)?$", 1)
     ends = ("", "_mask", "_gt", "-mask", "_label")
     wanted = F.array(*(F.struct(F.lit(k).alias("k"), F.concat(stem("path"), F.lit(e)).alias("s")) for k, e in enumerate(ends)))
     a = images.select("path", F.explode(wanted).alias("w")).select("path", "w.*")
     b = truths.select(F.col("path").alias("gt_path"), stem("path").alias("s"))
-    found = a.join(b, "s").withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("k", "gt_path"))).where("_n = 1").select("path", "gt_path")
+    found = a.join(b, "s")
+    # else a truth whose stem begins with the image's
+    rest = images.join(found, "path", "left_anti").select("path", stem("path").alias("s"))
+    cut = b.select("gt_path", F.explode(prefixes(F.col("s"))).alias("s"))
+    found = found.select("path", "k", "gt_path").unionAll(rest.join(cut, "s").select("path", F.lit(len(ends)).alias("k"), "gt_path"))
+    found = found.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("k", "gt_path"))).where("_n = 1").select("path", "gt_path")
     return images.select("path").join(found, "path", "left")
 
 
@@ -233,13 +319,67 @@ LAYOUTS = {
 }
 
 
+ALIASES = {"ade": "ade20k", "bsds": "bsds500", "bsd": "bsds500", "dis": "dis5k", "ms_coco": "coco", "mscoco": "coco"}
+
+
+def resolved(spark: SparkSession, folder: str, inner: str) -> str | None:
+    """op S15, S25: the folder below `folder` by the names of inner, whatever their case; null if there is none."""
+    j = spark._jvm.org.apache.hadoop.fs
+    at = j.Path(folder)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in inner.split("/"):
+        if not fs.exists(at):
+            return None
+        found = sorted(x.getPath().getName() for x in fs.listStatus(at) if x.isDirectory() and x.getPath().getName().lower() == name.lower())
+        if not found:
+            return None
+        at = j.Path(at, name if name in found else found[0])
+    return at.toString()
+
+
 def dataset(spark: SparkSession, name: str, root: str) -> DataFrame:
-    """op S13, S14, S15, S17: path and gt_path of a data set under a root folder. Raises ValueError for other names."""
-    if name.lower() not in LAYOUTS:
+    """op S13, S14, S15, S17: path and gt_path of a data set under a root folder, by name or alias, whatever the case of
+    both. Without its folder, no rows: use synthetic rasters instead. Raises ValueError for other names."""
+    key = ALIASES.get(name.lower(), name.lower())
+    if key not in LAYOUTS:
         raise ValueError(f"no data set is named {name!r}; there are {', '.join(LAYOUTS)}")
-    images, truths = LAYOUTS[name.lower()]
-    left = list_images(spark, f"{root}/{images}").select("path")
-    return pair_by_stem(left, list_images(spark, f"{root}/{truths}").select("path")) if truths else left.withColumn("gt_path", F.lit(None).cast("string"))
+    images, truths = (x and resolved(spark, root, x) for x in LAYOUTS[key])
+    if images is None:
+        return spark.createDataFrame([], "path string, gt_path string")
+    left = list_images(spark, images).select("path")
+    return pair_by_stem(left, list_images(spark, truths).select("path")) if truths else left.withColumn("gt_path", F.lit(None).cast("string"))
+
+
+class RasterSource(DataSource):
+    """op U3, S13: closed-form rasters and boxes as a Python data source: spark.read.format("gridloom").option("name", ...)."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "gridloom"
+
+    def schema(self) -> str:
+        return "image string, y int, x int, v int"
+
+    def reader(self, schema) -> DataSourceReader:
+        return RasterReader(dict(self.options))
+
+
+class RasterReader(DataSourceReader):
+    """Rows of a disk or a ring: options name, size, radius, hole; each partition has a band of lines."""
+
+    def __init__(self, options: dict):
+        self.image = options.get("name", "disk")
+        self.size, self.radius, self.hole = (int(options.get(k, d)) for k, d in (("size", 64), ("radius", 20), ("hole", -1)))
+
+    def partitions(self) -> list[InputPartition]:
+        return [InputPartition(y) for y in range(0, self.size, 256)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        c = self.size // 2
+        for y in range(partition.value, min(partition.value + 256, self.size)):
+            for x in range(self.size):
+                d = (x - c) ** 2 + (y - c) ** 2
+                yield self.image, y, x, 255 if self.hole**2 * (self.hole >= 0) - (self.hole < 0) < d <= self.radius**2 else 0
 
 
 def sample_list(rows: DataFrame, contains: str = "", most: int | None = None) -> DataFrame:

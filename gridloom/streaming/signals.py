@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from gridloom.plans.store import folder
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -48,11 +49,18 @@ def pre_emphasis(stream: DataFrame, a: float = 0.95) -> DataFrame:
 
 
 def finished(stream: DataFrame, mode: str) -> DataFrame:
-    """What a stream gives for all that there is now, as a table."""
-    name = f"stream_{uuid.uuid4().hex}"
-    q = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+    """What a stream gives for all that there is now, as a table in the folder that the cluster shares: each micro-batch is
+    written there, in place of the one before in mode complete, beside it in mode append. A batch that is tried again
+    takes its own place, so none counts twice."""
+    spark = stream.sparkSession
+    path = folder(spark, "stream")
+
+    def keep(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(path if mode == "complete" else f"{path}/batch={number}")
+
+    q = stream.writeStream.foreachBatch(keep).outputMode(mode).option("checkpointLocation", folder(spark, "stream-state")).trigger(availableNow=True).start()
     try:
         q.awaitTermination()
     finally:
         q.stop()
-    return stream.sparkSession.table(name)
+    return spark.read.schema(stream.schema).parquet(path).select(stream.columns)

@@ -17,13 +17,13 @@ from gridloom.sources import adapters as A
 from gridloom.sources import formats as O
 
 SF = "/root/testdata/sf0.001"
-SOME = ["sobel_energy", "signed_edt_minmax", "rag_edges", "hu_moments", "resample_64", "rect_intersects_grid", "knn_exact", "frames_hamming_rms", "vowel_argmin", "run_collapse", "netpbm_round_trip", "stream_sliding", "mask_iou"]
+SOME = ["sobel_energy", "signed_edt_minmax", "rag_edges", "hu_moments", "resample_64", "rect_intersects_grid", "knn_exact", "frames_hamming_rms", "vowel_argmin", "run_collapse", "netpbm_round_trip", "stream_sliding", "stream_sessions", "stream_pre_emphasis", "mask_iou", "ccl_components", "canny_edges", "euler_synthetic", "edt_to_fg", "signed_chamfer", "chamfer_closed_form", "evaluate_mask", "evaluate_polyline", "pad_grow", "gradient_between", "token_errors", "label_edges", "convex_hull", "tightness", "turning_function", "crease_spine", "delta_e_gradient", "power_spectrum", "region_colouring", "dual_contouring"]
 
 
 @pytest.mark.parametrize("name", SOME)
 def test_query_matches_sql(spark, name):
     con = duckdb.connect()
-    for t in ("events", "embeddings"):
+    for t in ("events", "embeddings", "conversations"):
         con.sql(f"create view {t} as select * from '{SF}/{t}.parquet'")
     want = con.sql(registry.ORACLES[name]).df()
     got = registry.QUERIES[name](spark, SF).toPandas()[list(want.columns)]
@@ -51,7 +51,10 @@ def test_unknown_synthetic_raster(spark):
 
 def test_components_match_a_flood_fill(spark):
     px = registry.raster_queries.A.event_raster(spark, SF)
-    got = D.connected_components(px, R.foreground(100), True, write).groupBy("image").agg(F.countDistinct("comp").alias("n")).collect()
+    one = D.connected_components(px, R.foreground(100))
+    spread = D.connected_components_spread(px, R.foreground(100), True, write).select(one.columns)
+    assert sorted(map(tuple, one.collect())) == sorted(map(tuple, spread.collect()))
+    got = one.groupBy("image").agg(F.countDistinct("comp").alias("n")).collect()
     p = px.toPandas()
     for r in got:
         own = p[p.image == r.image]
@@ -135,3 +138,91 @@ def test_image_formats(spark, tmp_path):
     px = O.to_pixels(O.decode_images(O.list_images(spark, str(tmp_path))))
     assert px.count() == 12 and px.agg(F.sum("v")).first()[0] == a.sum()
     assert O.read_tsv(spark, str(tmp_path / "index.tsv")).select("file", "label", "extra").collect() == [("one.pgm", "x", "extra")]
+
+
+def test_wav_files_to_vowels(spark, tmp_path):
+    """Two made-up vowels, by resonances at their formants, with silence between them."""
+    import wave
+
+    rng = np.random.default_rng(2)
+
+    def vowel(formants, n=8000):
+        s = np.zeros(n)
+        s[::133] = 1.0  # a voice of 120 Hz
+        for f in formants:
+            r, w = np.exp(-np.pi * 70 / S.RATE), 2 * np.pi * f / S.RATE
+            out = np.zeros(n)
+            for i in range(n):
+                out[i] = s[i] + 2 * r * np.cos(w) * (out[i - 1] if i else 0) - r * r * (out[i - 2] if i > 1 else 0)
+            s = out
+        return s / np.abs(s).max()
+
+    quiet = 1e-5 * rng.normal(size=4000)
+    for name, order in (("one", (4, 3)), ("two", (3, 4))):
+        s = np.concatenate([quiet, *(np.concatenate([vowel(S.VOWELS[k][3:6]), quiet]) for k in order)])
+        with wave.open(str(tmp_path / f"{name}.wav"), "wb") as f:
+            f.setparams((1, 2, S.RATE, 0, "NONE", ""))
+            f.writeframes((s * 30000).astype("<i2").tobytes())
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.wav").load(str(tmp_path)).select("path", "content")
+    got = {r["clip"].rsplit("/", 1)[1]: r.text.split() for r in S.vowel_strings(O.audio(files)).collect()}
+    assert got == {"one.wav": ["AE", "EH"], "two.wav": ["EH", "AE"]}
+    assert O.audio(files.withColumn("content", F.lit(b"no sound"))).count() == 0
+
+
+def test_data_sets_and_sinks(spark, tmp_path):
+    for folder, names in (("Images", ("a1.PGM", "b2.pgm", "c3.pgm")), ("masks", ("a1.pgm", "b2-x7.pgm"))):
+        (tmp_path / folder).mkdir()
+        for n in names:
+            (tmp_path / folder / n).write_bytes(O.encode_pgm(np.arange(6).reshape(2, 3)))
+    rows = {r.path.rsplit("/", 1)[1]: r.gt_path and r.gt_path.rsplit("/", 1)[1] for r in O.dataset(spark, "DIS", str(tmp_path)).collect()}
+    assert rows == {"a1.PGM": "a1.pgm", "b2.pgm": "b2-x7.pgm", "c3.pgm": None}
+    assert O.dataset(spark, "coco", str(tmp_path)).count() == 0 and O.resolved(spark, str(tmp_path), "nothing") is None
+    with pytest.raises(ValueError):
+        O.dataset(spark, "unknown", str(tmp_path))
+    image = O.decode_images(O.list_images(spark, str(tmp_path / "masks")))
+    assert sorted(r.v for r in O.gray(O.to_pixels(image)).collect()) == sorted([*range(6)] * 2)
+    rows = spark.createDataFrame([("iou", "a", 1.5), ("iou", "b\tc", None), ("f1", "a", 2.0)], "atom string, name string, score double")
+    written = O.write_tables(rows, str(tmp_path / "out"), "atom")
+    sizes = {r.path: r.bytes for r in written.collect()}
+    assert (tmp_path / "out" / "iou.tsv").read_text().splitlines() == ["name\tscore", "a\t1.5", "b c\t"] and set(sizes) == {"iou.tsv", "f1.tsv"}
+    one = O.manifest(spark.createDataFrame(list(sizes.items()), "path string, bytes long"), "run").first()
+    assert (one.files, one.bytes) == (2, sum(sizes.values())) and '"title":"run"' in one.json
+    assert O.whole_texts(spark, str(tmp_path / "out")).count() == 2
+    names = spark.createDataFrame([("ccl__mask.pgm",), ("edt.pgm",)], "path string")
+    assert [tuple(r) for r in O.rendered(names, "/x/").collect()] == [("ccl", "mask", "/x/ccl__mask.pgm"), ("edt", "", "/x/edt.pgm")]
+
+
+def test_table_lines_are_read_in_parallel(spark, tmp_path):
+    for name in "ab":
+        (tmp_path / f"{name}.tsv").write_text("file\tlabel\textra\n" + "".join(f"{name}{i}.wav\t{i}\tx\r\n\n" for i in range(5000)))
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "20000")
+    got = O.read_tsv(spark, str(tmp_path))
+    assert got.count() == 10_000 and got.where("file = 'file'").isEmpty() and got.select("label").distinct().count() == 5000
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "128m")
+
+
+def test_rasters_as_a_data_source(spark):
+    spark.dataSource.register(O.RasterSource)
+    ring = spark.read.format("gridloom").option("name", "ring").option("size", 300).option("radius", 40).option("hole", 20).load()
+    d = (F.col("x") - 150) * (F.col("x") - 150) + (F.col("y") - 150) * (F.col("y") - 150)
+    assert ring.count() == 90_000 and ring.where((F.col("v") > 0) != ((d <= 1600) & (d > 400))).isEmpty()
+    assert spark.read.format("gridloom").load().where("v > 0").count() == spark.read.format("gridloom").option("hole", 0).load().where("v > 0").count() + 1
+
+
+def test_box_ink_and_margins(spark):
+    boxes = spark.createDataFrame([("i", 1, 2, 4, 3)], "image string, x int, y int, w int, h int")
+    assert {(r.y, r.x) for r in O.box_ink(boxes).collect()} == {(y, x) for y in range(2, 5) for x in range(1, 5) if y in (2, 4) or x in (1, 4)}
+
+
+def test_column_distances_of_sparse_columns():
+    rng = np.random.default_rng(1)
+    for _ in range(50):
+        h = int(rng.integers(1, 40))
+        g = np.where(rng.random(h) < 0.4, rng.integers(0, 30, h).astype(float), np.inf)
+        dy = np.abs(np.arange(h)[:, None] - np.arange(h)[None])
+        with np.errstate(invalid="ignore"):
+            square = (g[None] ** 2 + dy**2).min(1)
+            chamfer = np.where(np.isinf(g[None]), np.inf, np.maximum(dy, g[None]) + 0.41421356237309515 * np.minimum(dy, g[None])).min(1)
+        for metric, want in (("square", square), ("chamfer", chamfer)):
+            got = D.column_least(np.arange(h), g, metric)
+            assert np.allclose(np.where(np.isnan(got), np.inf, got), want)
