@@ -291,19 +291,19 @@ def prefixes(stem: Column) -> Column:
     return F.filter(F.transform(F.sequence(F.lit(1), F.greatest(F.length(stem), F.lit(1))), lambda n: F.substr(stem, F.lit(1), n)), lambda x: x != "")
 
 
-def pair_by_stem(images: DataFrame, truths: DataFrame) -> DataFrame:
-    """op S16: each image path with the ground truth of the same stem, or that with a known ending, in this order, or else
-    the first one whose stem begins with the image's."""
+def pair_by_stem(images: DataFrame, truths: DataFrame, by_prefix: bool = True) -> DataFrame:
+    """op S16: each image path with the ground truth of the same stem, or that with a known ending, in this order, or else,
+    by_prefix, the first one whose stem begins with the image's (so that 2 gets 21 where nothing is named after 2)."""
     stem = lambda c: F.regexp_extract(c, r"([^/]*?)(?:\.[^./]*)?$", 1)
     ends = ("", "_mask", "_gt", "-mask", "_label")
     wanted = F.array(*(F.struct(F.lit(k).alias("k"), F.concat(stem("path"), F.lit(e)).alias("s")) for k, e in enumerate(ends)))
     a = images.select("path", F.explode(wanted).alias("w")).select("path", "w.*")
     b = truths.select(F.col("path").alias("gt_path"), stem("path").alias("s"))
-    found = a.join(b, "s")
-    # else a truth whose stem begins with the image's
-    rest = images.join(found, "path", "left_anti").select("path", stem("path").alias("s"))
-    cut = b.select("gt_path", F.explode(prefixes(F.col("s"))).alias("s"))
-    found = found.select("path", "k", "gt_path").unionAll(rest.join(cut, "s").select("path", F.lit(len(ends)).alias("k"), "gt_path"))
+    found = a.join(b, "s").select("path", "k", "gt_path")
+    if by_prefix:
+        rest = images.join(found, "path", "left_anti").select("path", stem("path").alias("s"))
+        cut = b.select("gt_path", F.explode(prefixes(F.col("s"))).alias("s"))
+        found = found.unionAll(rest.join(cut, "s").select("path", F.lit(len(ends)).alias("k"), "gt_path"))
     found = found.withColumn("_n", F.row_number().over(Window.partitionBy("path").orderBy("k", "gt_path"))).where("_n = 1").select("path", "gt_path")
     return images.select("path").join(found, "path", "left")
 

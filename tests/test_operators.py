@@ -226,3 +226,22 @@ def test_column_distances_of_sparse_columns():
         for metric, want in (("square", square), ("chamfer", chamfer)):
             got = D.column_least(np.arange(h), g, metric)
             assert np.allclose(np.where(np.isnan(got), np.inf, got), want)
+
+
+def rows_and_sql(spark, name, folder):
+    """A query's rows and its SQL's, as text, in order."""
+    con = duckdb.connect()
+    for f in sorted(folder.glob("*.parquet")):
+        con.sql(f"create view {f.stem} as select * from '{f}'")
+    want = con.sql(registry.ORACLES[name]).df()
+    cols = list(want.columns)
+    got = registry.QUERIES[name](spark, str(folder)).toPandas()[cols]
+    return [list(map(tuple, d.sort_values(cols).astype(str).to_numpy())) for d in (got, want)]
+
+
+def test_pairs_by_stem_match_sql(spark, tmp_path):
+    duckdb.sql(f"copy (select i as c_custkey from range(-20, 300) t(i) union all select null) to '{tmp_path}/customer.parquet' (format parquet)")
+    got, want = rows_and_sql(spark, "pair_by_stem", tmp_path)
+    assert len(want) == 321 and got == want
+    images, truths = (spark.createDataFrame([(p,) for p in own], "path string") for own in (["a/2.png", "a/3.png"], ["b/21.png", "b/3_gt.png", "b/30.png"]))
+    assert sorted(map(tuple, O.pair_by_stem(images, truths).collect())) == [("a/2.png", "b/21.png"), ("a/3.png", "b/3_gt.png")]
