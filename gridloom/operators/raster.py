@@ -313,22 +313,24 @@ def hue_gradient(rgb: DataFrame) -> DataFrame:
 # ---- template matching
 
 
-def ncc(px: DataFrame, template: DataFrame, offsets: DataFrame) -> DataFrame:
-    """op N19, N20: zero-mean correlation of template (image, ty, tx, tv) at offsets (image, oy, ox), by six sums."""
+def ncc(px: DataFrame, template: DataFrame, offsets: DataFrame, flat: float | None = None) -> DataFrame:
+    """op N19, N20: zero-mean correlation of template (image, ty, tx, tv) at offsets (image, oy, ox), by six sums. Where
+    the window or the template is all of one value: flat, or else 1 for equal sums and 0 for others."""
     at = offsets.join(template, "image").select("image", "oy", "ox", (F.col("oy") + F.col("ty")).alias("y"), (F.col("ox") + F.col("tx")).alias("x"), F.col("tv").cast("double").alias("t"))
     rows = at.join(px.select(*KEY, F.col("v").cast("double").alias("p")), KEY)
     s = rows.groupBy("image", "oy", "ox").agg(F.count("*").alias("n"), F.sum("p").alias("sp"), F.sum("t").alias("st"), F.sum(F.col("p") * F.col("p")).alias("pp"), F.sum(F.col("t") * F.col("t")).alias("tt"), F.sum(F.col("p") * F.col("t")).alias("pt"))
     den = F.sqrt(F.greatest(F.lit(0.0), (F.col("pp") - F.col("sp") * F.col("sp") / F.col("n")) * (F.col("tt") - F.col("st") * F.col("st") / F.col("n"))))
-    value = F.when(den > 1e-8, (F.col("pt") - F.col("sp") * F.col("st") / F.col("n")) / den).otherwise(F.when(F.col("sp") == F.col("st"), 1.0).otherwise(0.0))
+    value = F.when(den > 1e-8, (F.col("pt") - F.col("sp") * F.col("st") / F.col("n")) / den).otherwise(F.when(F.col("sp") == F.col("st"), 1.0).otherwise(0.0) if flat is None else F.lit(flat))
     return s.select("image", "oy", "ox", "n", value.alias("ncc"))
 
 
-def ncc_scan(px: DataFrame, template: DataFrame, stride: int = 8) -> DataFrame:
-    """op N21: the best place of a template on a coarse grid, the first in reading order among equals."""
+def ncc_scan(px: DataFrame, template: DataFrame, stride: int = 8, flat: float | None = None) -> DataFrame:
+    """op N21: the best place of a template on a coarse grid, the first in reading order among equals. NaN, which flat may
+    be (see ncc), is above all numbers."""
     t = template.groupBy("image").agg((F.max("tx") + 1).alias("tw"), (F.max("ty") + 1).alias("th"))
     grid = dimensions(px).join(t, "image").where("w >= tw and h >= th").withColumn("oy", F.explode(F.expr(f"sequence(0, h - th, {stride})"))).withColumn("ox", F.explode(F.expr(f"sequence(0, w - tw, {stride})"))).select("image", "oy", "ox")
     best = F.max_by(F.struct("oy", "ox", "ncc"), F.struct(F.round("ncc", 9), -F.col("oy"), -F.col("ox")))
-    return ncc(px, template, grid).groupBy("image").agg(best.alias("b")).select("image", F.col("b.oy").alias("peak_y"), F.col("b.ox").alias("peak_x"), F.col("b.ncc").alias("peak_ncc"))
+    return ncc(px, template, grid, flat).groupBy("image").agg(best.alias("b")).select("image", F.col("b.oy").alias("peak_y"), F.col("b.ox").alias("peak_x"), F.col("b.ncc").alias("peak_ncc"))
 
 
 # ---- margins

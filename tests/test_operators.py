@@ -245,3 +245,17 @@ def test_pairs_by_stem_match_sql(spark, tmp_path):
     assert len(want) == 321 and got == want
     images, truths = (spark.createDataFrame([(p,) for p in own], "path string") for own in (["a/2.png", "a/3.png"], ["b/21.png", "b/3_gt.png", "b/30.png"]))
     assert sorted(map(tuple, O.pair_by_stem(images, truths).collect())) == [("a/2.png", "b/21.png"), ("a/3.png", "b/3_gt.png")]
+
+
+def test_correlation_peaks_of_flat_windows_match_sql(spark, tmp_path):
+    # a: flat at (8, 0) alone; b: flat everywhere, template too; c: nowhere
+    cell = "cast('2024-01-01' as timestamp) + interval (x) day as ts, y as user_id"
+    both = "range(64) a(y), range(31) b(x), range(4) c(k)"
+    a = f"select {cell}, 'a' as event_type from {both} where k < (x + 2 * y) % 4 and not (y between 8 and 15 and x < 8)"
+    c = f"select {cell}, 'c' as event_type from {both} where k < (x * y + x) % 5"
+    duckdb.sql(f"copy (select row_number() over () as event_id, * from ({a} union all select {cell}, 'b' from {both} where k = 0 union all {c})) to '{tmp_path}/events.parquet' (format parquet)")
+    got, want = rows_and_sql(spark, "ncc_scan_peak", tmp_path)
+    assert got == want and [r[3] == "nan" for r in got] == [True, True, False] and got[0][1:3] == ("8", "0")
+    px = A.event_raster(spark, str(tmp_path))
+    t = px.where("y between 8 and 15 and x between 8 and 15").selectExpr("image", "y - 8 ty", "x - 8 tx", "v tv")
+    assert [tuple(r) for r in R.ncc_scan(px, t).orderBy("image").select("image", "peak_ncc").collect()][1] == ("b", 1.0)
