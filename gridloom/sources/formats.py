@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from gridloom.operators.geometry import rasterise
+from gridloom.operators.geometry import spans
 from gridloom.operators.raster import luma
 
 IMAGE = "image string, width int, height int, channels int, data binary"
@@ -281,9 +281,13 @@ def coco_polygons(index: DataFrame) -> DataFrame:
 
 
 def coco_mask(polygons: DataFrame, width: int, height: int) -> DataFrame:
-    """op S12: (stem, y, x) of the pixels in any ring of an image."""
-    inside = rasterise(polygons.select("poly", "i", "x", "y"), width, height)
-    return inside.join(polygons.select("poly", "stem").distinct(), "poly").select("stem", "y", "x").distinct()
+    """op S12: (stem, y, x) of the pixels in any ring of an image. Runs get their stem and lose what earlier runs of the row
+    cover before they become pixels, so no pixel is joined, shuffled or compared."""
+    inside = spans(polygons.select("poly", "i", "x", "y"), width, height)
+    inside = inside.join(polygons.select("poly", "stem").distinct(), "poly").select("stem", "y", "x0", "x1")
+    before = F.max("x1").over(Window.partitionBy("stem", "y").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1))
+    fresh = inside.withColumn("x0", F.greatest("x0", before + 1)).where("x0 <= x1")
+    return fresh.select("stem", "y", F.explode(F.sequence("x0", "x1")).alias("x"))
 
 
 def prefixes(stem: Column) -> Column:

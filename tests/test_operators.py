@@ -1,5 +1,7 @@
 """Operators on closed forms, invariants of kernels, and queries against their SQL."""
 
+import json
+
 import duckdb
 import numpy as np
 import pytest
@@ -259,3 +261,23 @@ def test_correlation_peaks_of_flat_windows_match_sql(spark, tmp_path):
     px = A.event_raster(spark, str(tmp_path))
     t = px.where("y between 8 and 15 and x between 8 and 15").selectExpr("image", "y - 8 ty", "x - 8 tx", "v tv")
     assert [tuple(r) for r in R.ncc_scan(px, t).orderBy("image").select("image", "peak_ncc").collect()][1] == ("b", 1.0)
+
+
+def test_masks_of_overlapping_rings_hold_each_pixel_once(spark, tmp_path):
+    rings = [[[1, 1, 9, 1, 9, 6, 1, 6], [4, 2, 14, 2, 14, 8, 4, 8]], [[0, 0, 3, 0, 3, 9, 0, 9], [5, 3, 7, 3, 7, 5, 5, 5], [12, 0, 19, 0, 12, 9]]]
+    doc = {"images": [{"id": k, "file_name": f"m{k}.jpg", "width": 20, "height": 10} for k in range(2)], "annotations": [{"image_id": k, "segmentation": own} for k, own in enumerate(rings)]}
+    polygons = O.coco_polygons(spark.createDataFrame([(json.dumps(doc),)], "j string").select(F.from_json("j", O.COCO).alias("d")).select("d.*"))
+    mask = O.coco_mask(polygons, 20, 10)
+    got = sorted(map(tuple, mask.select("stem", "y", "x").collect()))
+    inside = G.rasterise(polygons.select("poly", "i", "x", "y"), 20, 10).join(polygons.select("poly", "stem").distinct(), "poly")
+    assert got == sorted({tuple(r) for r in inside.select("stem", "y", "x").collect()}) and len(got) > 100
+    # pixels, which are many times the rows that they are made of, meet no join and no shuffle
+    plan = mask._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.index("sequence(x0") < min(plan.index(x) for x in ("Join", "Window"))
+    assert not any(x in plan[: plan.index("sequence(x0")] for x in ("Aggregate", "Join"))
+
+
+def test_coco_masks_match_sql(spark, tmp_path):
+    duckdb.sql(f"copy (select i as event_id, i % 700 as user_id, cast((i * 37) % 480 as double) + 0.25 as value from range(3000) t(i)) to '{tmp_path}/events.parquet' (format parquet)")
+    got, want = rows_and_sql(spark, "coco_masks", tmp_path)
+    assert len(want) == 700 and got == want
