@@ -1,6 +1,7 @@
 """Operators on closed forms, invariants of kernels, and queries against their SQL."""
 
 import json
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -13,6 +14,7 @@ from gridloom.operators import geometry as G
 from gridloom.operators import kernels as K
 from gridloom.operators import raster as R
 from gridloom.operators import signal as S
+from gridloom.operators import similarity as I
 from gridloom.plans import registry
 from gridloom.plans.store import write
 from gridloom.sources import adapters as A
@@ -281,3 +283,35 @@ def test_coco_masks_match_sql(spark, tmp_path):
     duckdb.sql(f"copy (select i as event_id, i % 700 as user_id, cast((i * 37) % 480 as double) + 0.25 as value from range(3000) t(i)) to '{tmp_path}/events.parquet' (format parquet)")
     got, want = rows_and_sql(spark, "coco_masks", tmp_path)
     assert len(want) == 700 and got == want
+
+
+def test_cosine_neighbours_match_the_pairwise_metric(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(I, "QUERIES", 7)  # several blocks
+    rng = np.random.default_rng(3)
+    vecs = rng.integers(-3, 4, (60, 5)).astype(float)
+    vecs[20:30], vecs[30:34], vecs[40] = vecs[3], 2 * vecs[5], 0  # copies, multiples, no length
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(vecs.tolist())], "id long, vec array<double>")
+    queries = rows.where("id % 2 = 0")
+    got = {(r.query_id, r["rank"]): r for r in I.cosine_knn(queries, rows, 3).collect()}
+    want = I.knn(queries, rows, 3, lambda a, b: 1 - F.greatest(F.lit(-1.0), F.least(F.lit(1.0), I.cosine(a, b)))).collect()
+    assert len(got) == len(want) == 90
+    assert all(abs(1 - r.dist - got[r.query_id, r["rank"]].cosine) < 1e-12 for r in want)
+    assert [got[20, k].id for k in (1, 2, 3)] == [3, 21, 22]  # of equals the least, not the query itself
+    assert I.cosine_knn(queries.where("false"), rows, 3).count() == 0
+    # queries by rows: no join of vectors
+    assert "NestedLoop" not in I.cosine_knn(queries, rows, 3)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_nearest_in_chunks_equals_all_at_once():
+    rng = np.random.default_rng(4)
+    vecs, ids = rng.integers(-2, 3, (500, 4)).astype(float), rng.permutation(500)
+    one, many = (I.Nearest(ids[:80], vecs[:80], 2) for _ in range(2))
+    one.add(ids, vecs)
+    for at in range(0, 500, 37):
+        many.add(ids[at : at + 37], np.ascontiguousarray(vecs[at : at + 37]))
+    assert all((x == y).all() for a, b in zip(one.rows, many.rows, strict=True) for x, y in zip(a, b, strict=True))
+
+
+def test_cosine_top1_matches_sql(spark):
+    got, want = rows_and_sql(spark, "cosine_top1", Path(SF))
+    assert want and got == want
