@@ -315,3 +315,24 @@ def test_nearest_in_chunks_equals_all_at_once():
 def test_cosine_top1_matches_sql(spark):
     got, want = rows_and_sql(spark, "cosine_top1", Path(SF))
     assert want and got == want
+
+
+@pytest.mark.parametrize("slabs", [1, 3, 16])
+def test_box_hits_equal_the_pairs(spark, slabs):
+    rng = np.random.default_rng(slabs)
+    whole = rng.integers(0, 9, (150, 4)) * [1, 1, 0.5, 0.5]  # many shared places, many sides of 0
+    loose = np.concatenate([rng.normal(0, 9, (100, 2)), rng.exponential(4, (100, 2))], 1)
+    same = np.tile([4.0, 4.0, 0.0, 2.0], (40, 1))
+    odd = [[float("nan"), 1.0, 2.0, 2.0], [1.0, 1.0, float("inf"), 3.0], [1.0, 1.0, 2.0, float("nan")], [2.0, None, 1.0, 1.0]]
+    rows = [(i, *v) for i, v in enumerate([*whole.tolist(), *loose.tolist(), *same.tolist(), *odd])]
+    a, b = (spark.createDataFrame(own, "id long, x double, y double, w double, h double") for own in (rows[::2] + rows[-4:-1], rows[20:]))
+    want = G.box_join_brute(a.distinct(), b).where("a <> b").groupBy("a").agg(F.count("*").alias("hits"), F.sum("b").alias("ids"))
+    got = G.box_hits(a.distinct(), b, slabs=slabs)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect())) and want.count() > 60
+    assert G.box_hits(a, b.where("false"), slabs=slabs).count() == 0
+
+
+def test_box_hits_take_no_pairs(spark):
+    b = spark.range(20000).selectExpr("id", "cast(id % 7 as double) x", "cast(id % 11 as double) y", "50d w", "50d h")
+    got = G.box_hits(b, b, write).agg(F.count("*"), F.min("hits"), F.max("hits"), F.sum("ids")).first()
+    assert tuple(got) == (20000, 19999, 19999, 19999 * 19999 * 10000)
