@@ -312,13 +312,36 @@ def begin(kind: str) -> None:
     if _LAST != kind:
         import gc
 
-        _CACHES.clear()
-        for x in (_WORDS, _WORDS.old):
-            x.clear()
         gc.collect()
+        empty()
         _LAST = kind
 
 
+def empty() -> None:
+    """The caches go, and what the allocators hold in reserve goes back to the system."""
+    import ctypes
+
+    _CACHES.clear()
+    for x in (_WORDS, _WORDS.old):
+        x.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc alone has it
+    if trim:
+        trim(0)
+
+
+def light(kind: str, run):
+    """run(batches) as a task of its kind that leaves nothing behind: a worker that waits beside its executor's JVM, which
+    may be at its largest then, holds neither caches nor freed memory."""
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        begin(kind)
+        yield from run(batches)
+        empty()
+
+    return task
+
+
 def word_cache(path: str) -> WordCache:
     """One cache for each vocabulary and worker process."""
     begin("tokens")

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import HOT_ROWS, HOT_SHARE, begin, binary_rows, mix64, prepare, release, shingle_hashes, spread_join, staged, table, text_bytes, text_key, word_hashes
+from gridloom.llm.common import HOT_ROWS, HOT_SHARE, binary_rows, light, mix64, prepare, release, shingle_hashes, spread_join, staged, table, text_bytes, text_key, word_hashes
 
 WORDS = 16  # of 64 bits in a bitmap
 LEAF, FAN = 16, 8
@@ -108,13 +108,12 @@ def common_shingles(docs: DataFrame, k: int, sample: int = SAMPLE, one_in: int =
     n = docs.count()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("shingles")
         for batch in batches:
             own = list(shingle_sets(binary_rows(batch, "body"), k))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(own).view(np.int64) if own else [], pa.int64())], ["s"])
 
     some = docs if n <= sample else docs.where(F.pmod(F.xxhash64("body"), F.lit(1 << 30)) < max(sample * (1 << 30) // n, (1 << 30) // one_in))
-    got = some.mapInArrow(run, "s long").groupBy("s").count().where("count >= 3").orderBy(F.desc("count"), "s").limit(most)
+    got = some.mapInArrow(light("shingles", run), "s long").groupBy("s").count().where("count >= 3").orderBy(F.desc("count"), "s").limit(most)
     return got.select("s").toArrow()["s"].to_numpy().view(np.uint64)  # eight bytes each, `most` at most
 
 
@@ -127,7 +126,6 @@ def nodes_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("shingles")
         for batch in batches:
             n, node, bits, pre = [], [], [], []
             for own in shingle_sets(binary_rows(batch, "body"), k):
@@ -137,7 +135,7 @@ def nodes_of(docs: DataFrame, k: int, num: int, den: int) -> DataFrame:
                 pre.append(prefix(own, sent.value, num, den).view(np.int64) if len(own) else [])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64()), pa.array(node, pa.int64()), pa.array(bits, pa.binary()), pa.array(pre, pa.list_(pa.int64()))], ["doc_id", "h", "n", "node", "bits", "prefix"])
 
-    return docs.select("doc_id", "h", "body").mapInArrow(run, SETS)
+    return docs.select("doc_id", "h", "body").mapInArrow(light("shingles", run), SETS)
 
 
 class Tree:
@@ -255,7 +253,6 @@ def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
     columns = ["key", "node", "n", "bits", "comp", *(["grp", "keys"] if mode in ("some", "every") else [])]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("shingles")
         held: dict[str, list] = {}
         now = None
 
@@ -290,14 +287,13 @@ def candidates(members: DataFrame, num: int, den: int, mode: str) -> DataFrame:
 
     parts = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = members.select(*columns).repartition(parts, "key").sortWithinPartitions("key")
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(light("pairs", run), "a long, b long").distinct()
 
 
 def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """The pairs whose sets are similar. sets: node, n, wide, own. Their wide bitmaps are compared before the sets."""
 
     def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("shingles")
         for batch in batches:
             a, b, n, x, m, y = (batch.column(i).to_pylist() for i in range(6))
             over = [most_shared(i, np.frombuffer(p, np.uint64), j, np.frombuffer(q, np.uint64)) for i, p, j, q in zip(n, x, m, y, strict=True)]
@@ -305,7 +301,6 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
     def exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("shingles")
         for batch in batches:
             keep = []
             for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
@@ -319,8 +314,8 @@ def verified(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame
             left = left.join(sets.select(F.col("node").alias(side), *(F.col(c).alias(c + side) for c in columns)), side)
         return left.select("a", "b", *(c + side for side in ("a", "b") for c in columns))
 
-    some = staged(joined(pairs, ["n", "wide"]).mapInArrow(bounded, "a long, b long"), "bounded")
-    return joined(some, ["own"]).mapInArrow(exact, "a long, b long")
+    some = staged(joined(pairs, ["n", "wide"]).mapInArrow(light("pairs", bounded), "a long, b long"), "bounded")
+    return joined(some, ["own"]).mapInArrow(light("pairs", exact), "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -414,7 +409,6 @@ def _members(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num:
     """The members of groups that may be similar to another one, and their sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("shingles")
         for batch in batches:
             own = list(shingle_sets(binary_rows(batch, "body"), k))
             columns = [[fingerprint(x) for x in own], [len(x) for x in own], [wide(x).tobytes() for x in own], [x.tobytes() for x in own]]
@@ -429,7 +423,7 @@ def _members(groups: DataFrame, every: DataFrame, rows: DataFrame, k: int, num:
     wanted = staged(grouped.select(F.col("rep.d").alias("d"), F.col("rep.h").alias("h")).distinct(), "wanted")
     wanted = F.broadcast(wanted) if wanted.count() <= BROADCAST_ROWS else wanted
     texts = rows.withColumn("d", F.coalesce("doc_id", F.lit(-1))).join(wanted, ["d", "h"], "left_semi")
-    sets = staged(texts.select("body").mapInArrow(run, "node long, n long, wide binary, own binary"), "verify-sets")
+    sets = staged(texts.select("body").mapInArrow(light("shingles", run), "node long, n long, wide binary, own binary"), "verify-sets")
     return grouped.drop("rep"), sets
 
 

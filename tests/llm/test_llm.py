@@ -851,3 +851,22 @@ def test_pipeline_of_odd_rows(spark, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         empty = C.staged(stage(spark, empty, str(tmp_path)), "empty")
     assert empty.count() == 0
+
+
+def test_a_light_task_leaves_no_memory_behind():
+    def resident():
+        return int(re.search(r"VmRSS:\s+(\d+)", open("/proc/self/status").read())[1]) / 1024
+
+    held = []
+
+    def run(batches):
+        for batch in batches:
+            list(C.word_hashes([b" ".join(b"w%d" % i for i in range(50_000))]))
+            assert len(C._WORDS) >= 50_000
+            some = [np.ones(8000) for _ in range(4000)]  # 256 MB in small pieces
+            held.append(some[-1])  # which keeps the heap from shrinking by itself
+            held.append(resident())
+            yield batch
+
+    assert list(C.light("test", run)(iter([1]))) == [1]
+    assert not C._WORDS and not C._WORDS.old and resident() < held[1] - 150
