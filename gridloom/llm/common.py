@@ -140,6 +140,11 @@ SIGNS = bytes(c for c in range(33, 127) if not chr(c).isalnum() and chr(c) not i
 #: The characters by which byte-level vocabularies write bytes: printable ones of Latin 1 stand for themselves, the others
 #: follow from U+0100 on.
 BYTE_CHARACTERS = {b: 256 + i for i, b in enumerate(x for x in range(256) if not (33 <= x <= 126 or 161 <= x <= 172 or 174 <= x <= 255))}
+#: The same by number, for UTF-32; a space stays.
+_VOCABULARY = np.array([32 if b == 32 else BYTE_CHARACTERS.get(b, b) for b in range(256)], "<u4")
+#: A word in lower case of ASCII letters and of those that UTF-8 writes with 0xC3.
+_PLAIN_WORD = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
+_SIGN, _LETTER = (np.array([chr(c).isalpha() and c < 128 if letter else c in SIGNS for c in range(256)]) for letter in (False, True))
 #: Bytes of text that are taken apart at once.
 CHUNK = 4 << 20
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
@@ -210,39 +215,103 @@ class WordCache(TwoGenerations):
     def whole(self, text: bytes) -> bytes:
         return np.asarray(self.tokenizer.encode(text.decode("utf-8", "replace"), add_special_tokens=False).ids, "<u4").tobytes()
 
+    def ids_of(self, units: list[bytes]) -> list[bytes]:
+        """Of each of these distinct units (see units_of), the ids; words that are new are made ready for the model together."""
+        out = list(map(self.get, units))
+        new = [i for i, x in enumerate(out) if x is None]
+        words = [i for i in new if units[i] not in self.old and _PLAIN_WORD.fullmatch(units[i])]
+        # bytes as the vocabulary's characters; the spaces between words stay
+        text = _VOCABULARY[np.frombuffer(b" ".join([units[i] for i in words]), np.uint8)].tobytes().decode("utf-32-le")
+        tokenize, packed = self.model.tokenize, self.packed
+        for i, word in zip(words, text.split(" "), strict=False):
+            out[i] = ids = b"".join([packed[t.id] for t in tokenize(word)])
+            self.keep(units[i], ids)
+        for i in new:
+            if out[i] is None:
+                out[i] = self[units[i]]
+        return out
+
     def encode(self, text: bytes) -> bytes:
         """The ids of a short text."""
         return b"".join(map(self.__getitem__, text.split())) if self.parted else self.whole(text)
 
-    def encode_all(self, texts: list[bytes]) -> Iterator[np.ndarray]:
-        """Of each text in turn, the ids. Texts are taken apart together, long ones bit by bit."""
+    def encode_all(self, texts: list[bytes], chunk: int = CHUNK) -> Iterator[np.ndarray]:
+        """Of each text in turn, the ids. Texts are taken apart together, `chunk` bytes at once, long ones bit by bit."""
         if not self.parted:
             yield from (np.frombuffer(self.whole(t), "<u4") for t in texts)
             return
 
-        def flat(pieces: list[bytes], own: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            ids = list(map(self.__getitem__, pieces))
+        def flat(pieces: pa.BinaryArray, own: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            units, counts = units_of(pieces)
+            code = units.dictionary_encode()
+            ids = self.ids_of(byte_strings(code.dictionary))
             sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-            n = sizes[own]
-            last = np.cumsum(n)
-            place = np.repeat((np.cumsum(sizes) - sizes)[own] - last + n, n)
-            place += np.arange(len(place))
-            return np.frombuffer(b"".join(ids), "<u4")[place], np.append(0, last)[ends]
+            values, after = gathered(np.frombuffer(b"".join(ids), "<u4"), np.append(0, np.cumsum(sizes)), code.indices.to_numpy())
+            values, after = gathered(values, after[np.append(0, np.cumsum(counts))], own)
+            return values, after[ends]
 
         # characters below U+0100 are in lower case the same before and after the normaliser; special tokens are not
-        yield from by_text((t.lower() if b"<" not in t and t and np.frombuffer(t, np.uint8).max() < 0xC4 else t for t in texts), flat)
-
-
-def pieces_of(texts: list[bytes]) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+        yield from by_text((t.lower() if b"<" not in t and t and np.frombuffer(t, np.uint8).max() < 0xC4 else t for t in texts), flat, chunk)
+
+
+def units_of(pieces: pa.BinaryArray) -> tuple[pa.BinaryArray, np.ndarray]:
+    """The units of the pieces in turn, and how many each piece has: the signs before its word, the word in lower case, the
+    signs after it, where the word has only ASCII letters and those that UTF-8 writes with 0xC3; else the piece."""
+    _, offsets, buffer = pieces.buffers()
+    n = len(pieces)
+    bounds = np.frombuffer(offsets, np.int32, n + 1, 4 * pieces.offset) if n else np.zeros(1, np.int32)
+    base, size = int(bounds[0]), int(bounds[-1] - bounds[0])
+    data = np.frombuffer(buffer, np.uint8, size, base).copy() if size else np.zeros(0, np.uint8)
+    bounds = bounds - np.int32(base)
+    start, end = bounds[:-1], bounds[1:]
+    signs, letters = _SIGN[data], _LETTER[data]
+    # the second byte of a letter of two; none begins a piece
+    second = np.flatnonzero(data[:-1] == 0xC3) + 1
+    x = data[second]
+    first_of_piece = np.zeros(size + 1, bool)
+    first_of_piece[start] = True
+    second = second[(x >= 0x80) & (x <= 0xBF) & (x != 0x97) & (x != 0xB7) & ~first_of_piece[second]]
+    letters[second] = letters[second - 1] = True
+    other = np.flatnonzero(~signs).astype(np.int32)
+    before = np.append(0, np.cumsum(~signs, dtype=np.int32))
+    i, j = before[start], before[end]
+    other = np.append(other, np.int32(size))
+    some = i < j
+    word, after = np.where(some, other[i], end), np.where(some, other[j - 1] + np.int32(1), end)
+    known = np.append(0, np.cumsum(letters, dtype=np.int32))
+    plain = some & (known[after] - known[word] == after - word)
+    # all signs, or not so plain: a unit of its own
+    word, after = np.where(plain, word, end), np.where(plain, after, end)
+    upper = (data >= 65) & (data <= 90)
+    upper[second] = data[second] <= 0x9E
+    if upper.any():
+        data[upper & np.repeat(plain, end - start)] += 32
+    cuts = np.stack([start, word, after], 1).ravel()
+    full = np.diff(np.append(cuts, np.int32(size))) > 0
+    places = np.append(cuts[full], np.int32(size)).astype(np.int32)
+    return pa.BinaryArray.from_buffers(pa.binary(), len(places) - 1, [None, pa.py_buffer(places), pa.py_buffer(data)]), full.reshape(-1, 3).sum(1)
+
+
+def gathered(values: np.ndarray, bounds: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The values of the items `own` in turn, item i having those from bounds[i] to bounds[i + 1]; and the places in them
+    at which the items end, with 0 before."""
+    n = np.diff(bounds)[own]
+    ends = np.append(0, np.cumsum(n))
+    place = np.repeat(bounds[own] - ends[:-1], n)
+    place += np.arange(len(place))
+    return values[place], ends
+
+
+def pieces_of(texts: list[bytes]) -> tuple[pa.BinaryArray, np.ndarray, np.ndarray]:
     """The distinct pieces between ASCII white space, the number of each piece of the texts in turn, and the places in
     these at which texts end, with 0 before. Empty pieces may be among them."""
     data = pa.array(texts, pa.binary())
     pieces = pc.ascii_split_whitespace(pa.StringArray.from_buffers(len(data), *data.buffers()[1:]))
     code = pieces.flatten().cast(pa.binary()).dictionary_encode()
-    return byte_strings(code.dictionary), code.indices.to_numpy(), pieces.offsets.to_numpy()
+    return code.dictionary, code.indices.to_numpy(), pieces.offsets.to_numpy()
 
 
-def by_text(texts, flat) -> Iterator[np.ndarray]:
+def by_text(texts, flat, chunk: int = CHUNK) -> Iterator[np.ndarray]:
     """Of each text in turn, its part of what flat(*pieces_of(some texts)) gives: values, and where texts end in them."""
     own: list[bytes] = []
     size = 0
@@ -255,11 +324,11 @@ def by_text(texts, flat) -> Iterator[np.ndarray]:
                 yield values[a:b]
 
     for text in texts:
-        if size + len(text) > CHUNK:
+        if size + len(text) > chunk:
             yield from done(own)
             own, size = [], 0
-        if len(text) > CHUNK:
-            yield np.concatenate([next(done([t])) for t in slices(text, CHUNK)])
+        if len(text) > chunk:
+            yield np.concatenate([next(done([t])) for t in slices(text, chunk)])
         else:
             own.append(text)
             size += len(text)
@@ -269,7 +338,8 @@ def by_text(texts, flat) -> Iterator[np.ndarray]:
 def word_values(texts: list[bytes], value, dtype=np.int64) -> Iterator[np.ndarray]:
     """Of each text in turn, value(word) of its words between ASCII white space."""
 
-    def flat(pieces: list[bytes], own: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def flat(distinct: pa.BinaryArray, own: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        pieces = byte_strings(distinct)
         if b"" in pieces:
             keep = own != pieces.index(b"")
             ends = np.append(0, np.cumsum(keep))[ends]

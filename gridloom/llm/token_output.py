@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import binary_rows, crc32, prepare, staged, table, text_bytes, tokenizer_path, word_cache
+from gridloom.llm.common import BATCH_BYTES, binary_rows, crc32, prepare, staged, table, text_bytes, tokenizer_path, word_cache
 
 MAGIC = b"CMR2"
 #: Ids of a segment (a segment ends with the document that reaches it), of a block, and blocks that a segment aims at.
@@ -58,11 +58,13 @@ class Alphabet:
     def __init__(self, symbols: np.ndarray, classes: np.ndarray, shares: np.ndarray, first: np.ndarray, bits: int):
         self.symbols, self.classes, self.shares, self.first, self.bits = symbols, classes.astype(np.int32), shares.astype(np.int32), first, bits
         self.small = self.classes.astype(np.int8)
+        #: The type of an id's number with a confidence: the smaller, the more of a model's table a processor's cache holds.
+        self.kind = np.int16 if len(symbols) <= 1 << 13 else np.int32
         order = np.argsort(self.classes, kind="stable")
         ends = np.cumsum(shares[order])
         self.place = np.empty(len(shares), np.int32)
         self.place[order] = (ends - shares[order]) % (1 << bits)
-        self.owner = np.zeros(CLASSES << bits, np.int32)
+        self.owner = np.zeros(CLASSES << bits, self.kind)
         for c in range(CLASSES):
             own = order[self.classes[order] == c]
             if len(own):
@@ -98,7 +100,7 @@ class Model:
 
     def __init__(self, lanes: int, alphabet: Alphabet):
         self.alphabet = alphabet
-        self.table = np.full((lanes << ORDER2) + (lanes << ORDER1), -4, np.int32)  # of order 2, then of order 1: id and confidence
+        self.table = np.full((lanes << ORDER2) + (lanes << ORDER1), -4, alphabet.kind)  # of order 2, then of order 1: id and confidence
         weights = np.zeros((4, 4, 2, 2), np.int32)
         weights[..., 0] = (np.arange(4, dtype=np.int32) * (1 << 21) + (1 << 20))[:, None, None]
         weights[:, :, 0, 1] = np.array([1 << 19, 1 << 20, 3 << 20, 1 << 22])
@@ -106,24 +108,25 @@ class Model:
         self.weights = np.tile(weights.reshape(-1, 2).view(np.int64).ravel(), lanes)
         lane = np.arange(lanes, dtype=np.int32)
         self.base = np.stack([lane << ORDER2, (lanes << ORDER2) + (lane << ORDER1)])
-        self.lane, self.state = lane, lane << 5
-        self.a = np.zeros(lanes, np.int32)
-        self.b = np.zeros(lanes, np.int32)
+        self.lane, self.state = lane, (lane << 5).astype(np.intp)
         start = np.cumsum(alphabet.first) - alphabet.first
         self.starts = np.tile(np.append(start, 1 << SHARE).astype(np.int32)[:, None], (1, lanes))
-        self.recent, self.steps = np.zeros((ROUND, lanes), np.int8), 0
         hit = np.full((3, 2), LEAST_WEIGHT, np.int32)
         hit[1, 0] = hit[2, 1] = MOST_WEIGHT
         self.goal = hit.view(np.int64).ravel()
-        self.step = np.array([-1, -1, -1, -1, 1, 1, 1, 0], np.int32)
 
-    def predict(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Candidates of order 2 and 1, and how much of 2**28 each has; order 0 has the rest, 2**24 at least."""
-        at = self.b * _MULTIPLIERS
-        at[0] += self.a * np.int32(-1028477379)
+    def places(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The places in the table, of order 2 and of order 1, after the ids a and b; of one step or of several."""
+        b = b.astype(np.int32)
+        at = b[..., None, :] * _MULTIPLIERS
+        at[..., 0, :] += a * np.int32(-1028477379)
         at >>= _SHIFTS
         at &= _MASKS
         at += self.base
+        return at.astype(np.intp)
+
+    def predict(self, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Candidates of order 2 and 1, and how much of 2**28 each has; order 0 has the rest, 2**24 at least."""
         self.at = at
         self.entry = e = self.table.take(at)
         self.candidates = c = e >> 2
@@ -131,18 +134,14 @@ class Model:
         iw = s[0] << 3
         iw += s[1] << 1
         iw += c[0] == c[1]
-        iw += self.state
-        self.iw = iw
+        self.iw = iw = iw + self.state
         self.w = w = self.weights.take(iw).view(np.int32)
         return c, w[::2] << TOTAL - WEIGHT, w[1::2] << TOTAL - WEIGHT
 
-    def class_interval(self, unit: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start of the classes c in order 0's part, and the width of a share in them."""
-        at = c * np.int32(len(unit))
-        at += self.lane
+    def class_interval(self, unit: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Start of the classes at these places of `starts` in order 0's part, and the width of a share in them."""
         low = self.starts.take(at)
-        at += np.int32(len(unit))
-        inner = self.starts.take(at)
+        inner = self.starts.take(at + len(self.lane))
         inner -= low
         inner *= unit
         inner >>= self.alphabet.bits
@@ -150,8 +149,11 @@ class Model:
         return low, inner
 
     def order0(self, rest: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Start and width of the ids x where neither candidate hits."""
-        low, inner = self.class_interval(((1 << TOTAL) - rest) >> SHARE, self.alphabet.classes.take(x))
+        """Start and width of the ids x where neither candidate hits; of several steps between two turns."""
+        at = self.alphabet.classes.take(x).astype(np.intp)
+        at *= len(self.lane)
+        at += self.lane
+        low, inner = self.class_interval(((1 << TOTAL) - rest) >> SHARE, at)
         low += rest
         start = self.alphabet.place.take(x)
         start *= inner
@@ -166,8 +168,10 @@ class Model:
         np.maximum(v, 0, out=v)
         q = (v / unit).astype(np.int32)
         np.minimum(q, (1 << SHARE) - 1, out=q)
-        c = (self.starts[1:CLASSES] <= q).view(np.int8).sum(0, dtype=np.int8).astype(np.int32)
-        low, inner = self.class_interval(unit, c)
+        c = (self.starts[1:CLASSES] <= q).view(np.int8).sum(0, dtype=np.int8).astype(np.intp)
+        at = c * len(unit)
+        at += self.lane
+        low, inner = self.class_interval(unit, at)
         v -= low
         place = (v / inner).astype(np.int32)
         np.minimum(place, (1 << self.alphabet.bits) - 1, out=place)
@@ -175,10 +179,11 @@ class Model:
         c += place
         x = self.alphabet.owner.take(c)
         low += rest
-        start = self.alphabet.place.take(x)
+        at = x.astype(np.intp)
+        start = self.alphabet.place.take(at)
         start *= inner
         start += low
-        inner *= self.alphabet.shares.take(x)
+        inner *= self.alphabet.shares.take(at)
         return x, start, inner
 
     def update(self, ids: np.ndarray, hit2: np.ndarray, hit1: np.ndarray) -> None:
@@ -189,23 +194,26 @@ class Model:
         goal += w
         self.weights[self.iw] = goal.view(np.int64)
         right = self.candidates == ids
-        fresh = self.sure == 0
-        fresh &= ~right
-        new = self.step.take(self.sure + (right.view(np.int8) << 2))
-        new += self.entry
-        np.copyto(new, ids << 2, where=fresh)
+        wrong = ~right
+        # a candidate gains confidence, up to 3, or loses it; without any it gives way to the id
+        new = self.entry + (right & (self.sure != 3))
+        new -= wrong.view(np.int8)
+        wrong &= self.sure == 0
+        change = new ^ (ids << 2)
+        change &= -wrong.view(np.int8).astype(new.dtype)
+        new ^= change
         self.table[self.at] = new
-        self.recent[self.steps % ROUND] = self.alphabet.small.take(ids)
-        self.steps += 1
-        if self.steps % ROUND == 0:
-            unit = ((1 << SHARE) - CLASSES * LEAST_SHARE) // ROUND
-            for j in range(1, CLASSES):
-                goal = (self.recent < j).view(np.int8).sum(0, dtype=np.int8) * np.int32(unit)
-                goal += j * LEAST_SHARE
-                goal -= self.starts[j]
-                goal >>= 1
-                self.starts[j] += goal
-        self.a, self.b = self.b, ids
+
+    def turn(self, ids: np.ndarray) -> None:
+        """After ROUND steps with these ids: the class shares move."""
+        recent = self.alphabet.small.take(ids)
+        unit = ((1 << SHARE) - CLASSES * LEAST_SHARE) // ROUND
+        for j in range(1, CLASSES):
+            goal = (recent < j).view(np.int8).sum(0, dtype=np.int8) * np.int32(unit)
+            goal += j * LEAST_SHARE
+            goal -= self.starts[j]
+            goal >>= 1
+            self.starts[j] += goal
 
 
 _MULTIPLIERS, _SHIFTS, _MASKS = (np.array(x, np.int32)[:, None] for x in ((-2048144789, -1640531527), (9, 8), ((1 << ORDER2) - 1, (1 << ORDER1) - 1)))
@@ -213,13 +221,30 @@ _MULTIPLIERS, _SHIFTS, _MASKS = (np.array(x, np.int32)[:, None] for x in ((-2048
 
 def chosen(start: np.ndarray, width: np.ndarray, hit2: np.ndarray, hit1: np.ndarray, f2: np.ndarray, f1: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and width of what is coded: a candidate's share where one hits, else order 0's."""
-    np.copyto(start, f2, where=hit1)
-    np.copyto(width, f1, where=hit1)
-    np.copyto(start, 0, where=hit2)
-    np.copyto(width, f2, where=hit2)
+    two, one = -hit2.view(np.int8).astype(np.int32), -hit1.view(np.int8).astype(np.int32)
+    none = ~(two | one)
+    start &= none
+    start |= f2 & one
+    width &= none
+    width |= f1 & one
+    width |= f2 & two
     return start.astype(np.uint64), width.astype(np.uint64)
 
 
+def renewed(low: np.ndarray, rng: np.ndarray, due: np.ndarray) -> np.ndarray:
+    """Where a range is `due`, being under 2**32: cuts it to what `low` leaves of its upper 32 bits, so that no carry can
+    reach these, and drops these from both. Returns by how many bits each was shifted."""
+    room = ~low
+    room &= _LOW32
+    room += np.uint64(1)
+    np.minimum(rng, room, out=rng, where=due)
+    bits = due.astype(np.uint64)
+    bits <<= np.uint64(5)
+    low <<= bits
+    rng <<= bits
+    return bits
+
+
 def counted(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """The distinct ids in order, the number of each id among them, and their counts."""
     top = int(ids.max()) + 1 if len(ids) else 0
@@ -258,30 +283,37 @@ def encode(ids: np.ndarray, block: int = BLOCK, lanes: int = LANES, most: int =
 
 def _encode_blocks(at: np.ndarray, alphabet: Alphabet, size: int, k: int) -> tuple[np.ndarray, np.ndarray]:
     """The words that come out, and the block of each."""
-    grid = np.zeros(k * size, np.int32)
+    grid = np.zeros(k * size, alphabet.kind)
     grid[: len(at)] = at
-    grid = np.ascontiguousarray(grid.reshape(k, size).T)
+    grid = np.concatenate([np.zeros((2, k), alphabet.kind), grid.reshape(k, size).T])  # two steps of number 0 before the first
     low, rng = np.zeros(k, np.uint64), np.full(k, 0xFFFFFFFFFFFFFFFF, np.uint64)
     model, who, words = Model(k, alphabet), [], []
-    for step in range(size):
-        x = grid[step]
-        c, f2, f1 = model.predict()
-        hit2 = c[0] == x
-        hit1 = (c[1] == x) & ~hit2
+    for first in range(2, size + 2, ROUND):
+        # the model learns from some steps, then these go to the coder
+        x = grid[first : first + ROUND]
+        n = len(x)
+        places = model.places(grid[first - 2 : first - 2 + n], grid[first - 1 : first - 1 + n])
+        f2, f1, hit2, hit1 = np.empty((n, k), np.int32), np.empty((n, k), np.int32), np.empty((n, k), bool), np.empty((n, k), bool)
+        for i in range(n):
+            c, f2[i], f1[i] = model.predict(places[i])
+            np.equal(c[0], x[i], out=hit2[i])
+            np.greater(c[1] == x[i], hit2[i], out=hit1[i])
+            model.update(x[i], hit2[i], hit1[i])
         start, width = chosen(*model.order0(f2 + f1, x), hit2, hit1, f2, f1)
-        model.update(x, hit2, hit1)
-        r = rng >> _28
-        start *= r
-        low += start
-        width *= r
-        rng = width
-        if len(out := np.flatnonzero(rng <= _LOW32)):
-            lo, ra = low.take(out), rng.take(out)
-            cross = ((lo ^ (lo + ra - np.uint64(1))) >> _32) != 0
-            np.copyto(ra, (~lo & _LOW32) + np.uint64(1), where=cross)
-            who.append(out.astype(np.int32))
-            words.append((lo >> _32).astype("<u4"))
-            low[out], rng[out] = lo << _32, ra << _32
+        if n == ROUND:
+            model.turn(x)
+        high, due = np.empty((n, k), "<u4"), np.empty((n, k), bool)
+        for i in range(n):
+            r = rng >> _28
+            start[i] *= r
+            low += start[i]
+            rng = width[i]
+            rng *= r
+            np.less_equal(rng, _LOW32, out=due[i])
+            high[i] = low >> _32
+            renewed(low, rng, due[i])
+        who.append(np.nonzero(due)[1].astype(np.int32))
+        words.append(high[due])
     for _ in range(2):
         who.append(np.arange(k, dtype=np.int32))
         words.append((low >> _32).astype("<u4"))
@@ -347,10 +379,11 @@ def _decode_blocks(payload: np.ndarray, place: np.ndarray, alphabet: Alphabet, s
     code = (word[place] << _32) | word[place + 1]
     place = place + 2
     low, rng = np.zeros(k, np.uint64), np.full(k, 0xFFFFFFFFFFFFFFFF, np.uint64)
-    model, grid = Model(k, alphabet), np.empty((size, k), np.int32)
+    model, grid = Model(k, alphabet), np.empty((size, k), alphabet.kind)
     most = np.uint64((1 << TOTAL) - 1)
+    a = b = np.zeros(k, alphabet.kind)
     for step in range(size):
-        c, f2, f1 = model.predict()
+        c, f2, f1 = model.predict(model.places(a, b))
         r = rng >> _28
         v = code - low
         v //= r
@@ -365,18 +398,17 @@ def _decode_blocks(payload: np.ndarray, place: np.ndarray, alphabet: Alphabet, s
         start, width = chosen(start, width, hit2, hit1, f2, f1)
         model.update(x, hit2, hit1)
         grid[step] = x
+        a, b = b, x
+        if step % ROUND == ROUND - 1:
+            model.turn(grid[step + 1 - ROUND : step + 1])
         start *= r
         low += start
         width *= r
         rng = width
-        if len(out := np.flatnonzero(rng <= _LOW32)):
-            lo, ra = low.take(out), rng.take(out)
-            cross = ((lo ^ (lo + ra - np.uint64(1))) >> _32) != 0
-            np.copyto(ra, (~lo & _LOW32) + np.uint64(1), where=cross)
-            at = place.take(out)
-            code[out] = (code.take(out) << _32) | word.take(np.minimum(at, end))
-            place[out] = at + 1
-            low[out], rng[out] = lo << _32, ra << _32
+        due = rng <= _LOW32
+        code <<= renewed(low, rng, due)
+        code |= word.take(np.minimum(place, end)) * due
+        place += due
     return grid
 
 
@@ -404,7 +436,7 @@ def write_segments(docs: DataFrame, path: str, end_id: int, segment: int = SEGME
             return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types, strict=True)], ["shard", "segment", "before", "n_ids", "doc_ids", "lengths", "payload"])
 
         for batch in batches:
-            for doc_id, ids in zip(batch.column(0).to_pylist(), cache.encode_all(binary_rows(batch, "body")), strict=True):
+            for doc_id, ids in zip(batch.column(0).to_pylist(), cache.encode_all(binary_rows(batch, "body"), BATCH_BYTES), strict=True):
                 own += [ids, end]
                 names.append(doc_id)
                 held += len(ids) + 1

@@ -111,6 +111,28 @@ def test_ids_are_the_tokenizers_own():
     other = C.WordCache(C.tokenizer_path("byte_bpe_50k.json"))
     assert not other.parted and next(other.encode_all([b"two  words"])).tolist() == other.tokenizer.encode("two  words", add_special_tokens=False).ids
 
+
+def test_a_word_is_tokenised_once_whatever_signs_and_case_it_has():
+    cache = C.WordCache(PATH)
+    texts = ["Été, (été) ÉTÉ. été!? #été", "Anblewh, anblewh. ANBLEWH #anblewh", " ", "×été÷ ªb b. <été> 'b", "anblewh" * 20 + ", été"]
+    got = [x.tolist() for x in cache.encode_all([t.encode() for t in texts])]
+    assert got == [encoded(t, 0)[:-1] for t in texts]
+    plain = {w for w in cache if w.decode().isalpha() and w.decode() != "ªb"}
+    assert plain == {"été".encode(), b"anblewh", b"b"}
+    assert {w for w in cache if w not in plain} == {b",", b"(", b")", b".", b"!?", b"#", *(w.encode() for w in ("×été÷", "ªb", "<été>", "'b"))}
+
+
+@pytest.mark.parametrize(("symbols", "kind", "sum_of_words"), [(8192, np.int16, 664057889), (8193, np.int32, 886277558)])
+def test_entries_take_the_smaller_type_that_holds_them(symbols, kind, sum_of_words):
+    """And the blocks are those that entries of 32 bits gave."""
+    ids = (np.arange(40_000) * 7919 % 65_536 % symbols).astype("<u4")
+    ids[20_000:] = ids[:20_000] // 50
+    ids[:symbols] = np.arange(symbols)
+    assert token_output.Alphabet.of(*np.unique(ids, return_counts=True)).kind == kind
+    data = token_output.encode(ids, 700, 64)
+    assert (token_output.decode(data) == ids).all() and (token_output.decode(data, 5) == ids[5 * 625 : 6 * 625]).all()
+    assert zlib.crc32(token_output._opened(data)[2]) == sum_of_words  # without the header, which zlib packs
+
 def test_token_output(spark, odd):
     got = token_output.read_segments(token_output.write_segments(odd, PATH, 1, segment=50)).collect()
     got.sort(key=lambda r: r.start)
