@@ -400,6 +400,18 @@ def empty() -> None:
         trim(0)
 
 
+def collect_heaps(spark: SparkSession) -> None:
+    """The driver lets go of broadcasts and shuffles that nothing refers to any more, then the executors' JVMs collect their
+    garbage and give the system what that frees: a stage whose workers need memory doesn't begin beside a heap at its
+    largest. There are as many tasks as cores, so each executor gets one where none is busy; one without keeps its heap."""
+    import gc
+
+    gc.collect()
+    spark._jvm.java.lang.System.gc()
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).select(F.reflect(F.lit("java.lang.System"), F.lit("gc"))).collect()
+
+
 def light(kind: str, run):
     """run(batches) as a task of its kind that leaves nothing behind: a worker that waits beside its executor's JVM, which
     may be at its largest then, holds neither caches nor freed memory."""

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import TwoGenerations, begin, binary_rows, mix64, prepare, table, text_bytes, word_values
+from gridloom.llm.common import TwoGenerations, binary_rows, light, mix64, prepare, table, text_bytes, word_values
 
 SEED = 2
 #: Words of an item that is aligned, and of one of which two seeds are asked for.
@@ -213,7 +213,6 @@ def count_seeds(docs: DataFrame, block: Block) -> np.ndarray:
     sent = docs.sparkSession.sparkContext.broadcast(block)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("seeds")
         block = sent.value
         vocabulary, total = Vocabulary(block.known), np.zeros(len(block.codes), np.int64)
         for batch in batches:
@@ -223,7 +222,7 @@ def count_seeds(docs: DataFrame, block: Block) -> np.ndarray:
         yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(total[some])], ["seed", "n"])
 
     out = np.zeros(len(block.codes), np.int64)
-    for r in docs.select("body").mapInArrow(run, "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # as many rows as the block has seeds
+    for r in docs.select("body").mapInArrow(light("seeds", run), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).collect():  # as many rows as the block has seeds
         out[r.seed] = r.n
     return out
 
@@ -244,7 +243,6 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str], least: floa
         sent = docs.sparkSession.sparkContext.broadcast(block)
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
-            begin("seeds")
             block = sent.value
             vocabulary = Vocabulary(block.known)
             for batch in batches:
@@ -253,7 +251,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, keep: list[str], least: floa
                 found = [a + b for a, b in zip(batch.column(at).to_pylist(), found, strict=True)]
                 yield batch.set_column(at, "matches", pa.array(found, _ARROW))
 
-        out = out.mapInArrow(run, out.schema)
+        out = out.mapInArrow(light("seeds", run), out.schema)
     return out.drop("_body")
 
 

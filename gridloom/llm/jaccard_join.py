@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import HOT_ROWS, HOT_SHARE, binary_rows, light, mix64, prepare, release, shingle_hashes, spread_join, staged, table, text_bytes, text_key, word_hashes
+from gridloom.llm.common import HOT_ROWS, HOT_SHARE, binary_rows, collect_heaps, light, mix64, prepare, release, shingle_hashes, spread_join, staged, table, text_bytes, text_key, word_hashes
 
 WORDS = 16  # of 64 bits in a bitmap
 LEAF, FAN = 16, 8
@@ -377,6 +377,7 @@ def classes(docs: DataFrame, k: int, num: int, den: int, block: int = BLOCK) ->
 
     def make() -> DataFrame:
         rows, every, some, groups = _routed(docs, k, num, den)
+        collect_heaps(docs.sparkSession)
         labels = None if groups.isEmpty() else _links(groups, some, rows, k, num, den, block)
         least = some.groupBy("node").agg(F.min("doc_id").alias("least"))
         if labels is not None:

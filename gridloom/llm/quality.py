@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gridloom.llm.common import TwoGenerations, begin, binary_rows, mix64, prepare, shingle_hashes, table, text_bytes, word_values
+from gridloom.llm.common import TwoGenerations, binary_rows, light, mix64, prepare, shingle_hashes, table, text_bytes, word_values
 
 #: Units of each of the two tables of plain words, and of shapes; dimensions, entries of an index vector, reach of contexts.
 WORDS, SHAPES, DIM, ENTRIES, REACH = 1 << 14, 512, 32, 4, 2
@@ -140,7 +140,6 @@ def context_sums(docs: DataFrame) -> Sketch:
     width = UNITS * (DIM + 1) // CHUNKS
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("units")
         from pyspark import TaskContext
 
         units, total, load = Units(), np.zeros((UNITS, DIM), np.int64), np.zeros(UNITS, np.int64)
@@ -159,7 +158,6 @@ def context_sums(docs: DataFrame) -> Sketch:
         yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([salt] * CHUNKS, pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in parts])], ["chunk", "salt", "data"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("units")
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, data in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), strict=True):
@@ -168,8 +166,8 @@ def context_sums(docs: DataFrame) -> Sketch:
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([0] * len(total), pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in total.values()])], ["chunk", "salt", "data"])
 
-    partial = docs.select("body").mapInArrow(count, PARTIAL)
-    rows = partial.repartition(CHUNKS * SALTS, "chunk", "salt").mapInArrow(add, PARTIAL).repartition(CHUNKS, "chunk").mapInArrow(add, PARTIAL).collect()  # the sketch itself, of fixed size
+    partial = docs.select("body").mapInArrow(light("units", count), PARTIAL)
+    rows = partial.repartition(CHUNKS * SALTS, "chunk", "salt").mapInArrow(light("units", add), PARTIAL).repartition(CHUNKS, "chunk").mapInArrow(light("units", add), PARTIAL).collect()  # the sketch itself, of fixed size
     out = np.zeros((CHUNKS, width), np.int64)
     for r in rows:
         out[r.chunk] += np.frombuffer(zlib.decompress(r.data), "<i8")
@@ -282,13 +280,12 @@ def features(rows: DataFrame, sketch: Sketch) -> DataFrame:
     sent = rows.sparkSession.sparkContext.broadcast(sketch)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("units")
         units = Units()
         for batch in batches:
             x = list(pooled_all(binary_rows(batch, "body"), sent.value, units))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float64()))], ["doc_id", "quality", "x"])
 
-    return rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "body").mapInArrow(run, "doc_id long, quality int, x array<double>")
+    return rows.select("doc_id", F.col("quality").cast("int").alias("quality"), "body").mapInArrow(light("units", run), "doc_id long, quality int, x array<double>")
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> tuple[Sketch, Network]:
@@ -309,7 +306,6 @@ def scores(docs: DataFrame, sketch: Sketch, net: Network) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((sketch, net))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        begin("units")
         units = Units()
         for batch in batches:
             sketch, net = sent.value
@@ -318,7 +314,7 @@ def scores(docs: DataFrame, sketch: Sketch, net: Network) -> DataFrame:
             yield batch.select(keep).append_column("score", pa.array(net.probabilities(x), pa.float64()))
 
     prepare(docs.sparkSession)
-    return docs.withColumn("_body", text_bytes()).mapInArrow(run, docs.select("*", F.lit(0.0).alias("score")).schema)
+    return docs.withColumn("_body", text_bytes()).mapInArrow(light("units", run), docs.select("*", F.lit(0.0).alias("score")).schema)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

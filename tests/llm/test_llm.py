@@ -892,3 +892,34 @@ def test_a_light_task_leaves_no_memory_behind():
 
     assert list(C.light("test", run)(iter([1]))) == [1]
     assert not C._WORDS and not C._WORDS.old and resident() < held[1] - 150
+
+
+@pytest.fixture
+def full_collections(spark):
+    beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+    old = [b for b in beans if re.search("Old|MarkSweep|MSC", b.getName())]
+    return lambda: sum(b.getCollectionCount() for b in old)
+
+
+def test_heaps_are_collected_by_driver_and_executors(spark, full_collections):
+    before = full_collections()
+    C.collect_heaps(spark)
+    assert full_collections() >= before + 2  # in local mode both are one JVM
+
+
+def test_every_pipeline_stage_begins_with_small_heaps(spark, full_collections):
+    docs = C.table(spark, SF, "documents").limit(20)
+    for _, stage in corpus_pipeline.STAGES:
+        before = full_collections()
+        stage(spark, docs, SF)
+        assert full_collections() >= before + 2
+
+
+def test_tasks_of_quality_and_decontamination_are_light(spark, monkeypatch):
+    made = []
+    for module in (quality, decontaminate):
+        monkeypatch.setattr(module, "light", lambda kind, run: made.append(kind) or C.light(kind, run))
+    docs = C.table(spark, SF, "documents")
+    for _, stage in (corpus_pipeline.STAGES[0], corpus_pipeline.STAGES[2]):
+        stage(spark, docs, SF)
+    assert made == ["units"] * 5 + ["seeds"] * 2
