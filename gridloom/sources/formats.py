@@ -280,10 +280,11 @@ def coco_polygons(index: DataFrame) -> DataFrame:
     return rings.join(images, "image_id")
 
 
-def coco_mask(polygons: DataFrame, width: int, height: int) -> DataFrame:
-    """op S12: (stem, y, x) of the pixels in any ring of an image. Runs get their stem and lose what earlier runs of the row
-    cover before they become pixels, so no pixel is joined, shuffled or compared."""
-    inside = spans(polygons.select("poly", "i", "x", "y"), width, height)
+def coco_mask(polygons: DataFrame, width: int | None = None, height: int | None = None) -> DataFrame:
+    """op S12: (stem, y, x) of the pixels in any ring of an image, within width and height, or else the image's own. Runs get
+    their stem and lose what earlier runs of the row cover before they become pixels, so no pixel is joined, shuffled or
+    compared."""
+    inside = spans(polygons, F.col("width") if width is None else width, F.col("height") if height is None else height)
     inside = inside.join(polygons.select("poly", "stem").distinct(), "poly").select("stem", "y", "x0", "x1")
     before = F.max("x1").over(Window.partitionBy("stem", "y").orderBy("x0", "x1").rowsBetween(Window.unboundedPreceding, -1))
     fresh = inside.withColumn("x0", F.greatest("x0", before + 1)).where("x0 <= x1")

@@ -285,6 +285,13 @@ def test_coco_masks_match_sql(spark, tmp_path):
     assert len(want) == 700 and got == want
 
 
+def test_coco_masks_beyond_one_width_match_sql(spark, tmp_path):
+    # greatest values past 589, where a width of 600 ended, below 0 and missing; events of no user
+    duckdb.sql(f"copy (select i as event_id, nullif(i % 40, 39) as user_id, case when i % 40 = 3 then null else (i % 40 - 6) * 55.5 - i // 40 end as value from range(120) t(i)) to '{tmp_path}/events.parquet' (format parquet)")
+    got, want = rows_and_sql(spark, "coco_masks", tmp_path)
+    assert len(want) == 40 and got == want and len({p for _, p in want}) > 30
+
+
 def test_cosine_neighbours_match_the_pairwise_metric(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(I, "QUERIES", 7)  # several blocks
     rng = np.random.default_rng(3)
