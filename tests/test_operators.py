@@ -319,6 +319,40 @@ def test_nearest_in_chunks_equals_all_at_once():
     assert all((x == y).all() for a, b in zip(one.rows, many.rows, strict=True) for x, y in zip(a, b, strict=True))
 
 
+def test_cosine_top1_of_repeated_ids_matches_sql(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    vecs = rng.normal(size=(60, 5))
+    rows = [(i, v + 1e-4 * (i % 40 > 0) * rng.normal(size=5)) for i, v in enumerate(vecs) for _ in range(50)]  # as equals, or just near
+    rows += [(100 * i + 1, vecs[i]) for i in (0, 40)]
+    spark.createDataFrame([(i, v.tolist()) for i, v in rows], "vec_id long, embedding array<double>").coalesce(1).write.parquet(f"{tmp_path}/all")
+    next((tmp_path / "all").glob("*.parquet")).rename(tmp_path / "embeddings.parquet")
+    got, want = rows_and_sql(spark, "cosine_top1", tmp_path)
+    assert [r[0] for r in want] == ["0", "20", "40"] and {r[1] for r in want} >= {"1", "4001"} and got == want
+
+
+@pytest.mark.parametrize("n", [1, 60])
+def test_cosine_top1_without_vectors_matches_sql(spark, tmp_path, n):
+    vec = "case when i not in (20, 21) then [1 + i, (i * i) % 7, 3 - i]::float[] end"
+    duckdb.sql(f"copy (select nullif(i, 5) as vec_id, {vec} as embedding from range({n}) t(i)) to '{tmp_path}/embeddings.parquet' (format parquet)")
+    got, want = ([tuple(x.removesuffix(".0").replace("<NA>", "nan") for x in r) for r in own] for own in rows_and_sql(spark, "cosine_top1", tmp_path))
+    assert [r[0] for r in want] == (["0", "20", "40"] if n > 1 else []) and got == want
+
+
+@pytest.mark.parametrize("k", [1, 3])
+def test_nearest_of_repeated_ids_equal_all_pairs(k):
+    rng = np.random.default_rng(k)
+    vecs, ids = rng.integers(-2, 3, (300, 3)).astype(float), rng.integers(0, 12, 300)
+    nearest = I.Nearest(ids[:40], vecs[:40], k)
+    for at in range(0, 300, 150):
+        nearest.add(ids[at : at + 150], np.ascontiguousarray(vecs[at : at + 150]))
+    n = np.linalg.norm(vecs, axis=1)
+    cos = np.round(np.where(np.outer(n[:40], n) > 0, vecs[:40] @ vecs.T / np.maximum(np.outer(n[:40], n), 1e-12), 0), 9)
+    want = [sorted((-c, i) for c, i in zip(row, ids, strict=True) if i != own)[:k] for row, own in zip(cos, ids[:40], strict=False)]
+    q, i, c = nearest.rows[0]
+    got = [sorted((-x, y) for x, y in zip(np.round(c[q == at], 9), i[q == at], strict=True)) for at in range(40)]
+    assert [[x for x, _ in own] for own in got] == [[x for x, _ in own] for own in want]
+
+
 def test_cosine_top1_matches_sql(spark):
     got, want = rows_and_sql(spark, "cosine_top1", Path(SF))
     assert want and got == want
